@@ -1 +1 @@
-
+"""Scalar functions and Arrow functions."""

@@ -1,4 +1,4 @@
-"""All queries of the monitoring engine, by name."""
+"""All queries of the monitoring engine, by name, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changewatch.plans.queries import ORACLE, QUERIES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
