@@ -27,9 +27,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """Whole-file JSON. Missing and unreadable files give no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    held = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    t = spark.read.schema(held).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return t.filter("_bad is null").drop("_bad")
+    whole = spark.read.text(path, wholetext=True).filter(F.try_parse_json("value").isNotNull())
+    return whole.select(F.from_json("value", schema).alias("j")).select("j.*")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
