@@ -4,10 +4,10 @@
    table of fixed size (``buckets`` counts).
 2. Each document's shingles get weights, and consistent weighted samples of
    them its signature. Documents of equal weighted shingles are one *node*.
-3. Signatures are banded. In every bucket the nodes are compared with one of
-   them, its leader, by the weighted Jaccard similarity of whole texts. Those
-   that it does not match go on to further rounds with twice as many new
-   leaders each, until no bucket holds two that are unresolved.
+3. Signatures are banded. In every bucket the nodes are compared with its most
+   central one by the weighted Jaccard similarity of whole texts. Those that
+   it does not match are compared with more of the bucket's nodes, all of them
+   in small buckets, in two further rounds.
 4. Matches are contracted to connected components by alternating stars.
 
 The weight of a shingle is its count times 1 + ``damping`` * idf / largest idf.
@@ -326,38 +326,48 @@ def components(edges: DataFrame) -> Table:
     return out
 
 
+#: Members with which those that no leader matched are compared in each further round; in buckets of no more nodes, all.
+FURTHER = (3, 6)
+
+
 def matches(members: DataFrame, fetch, weights: Weights) -> DataFrame:
-    """(a, b) pairs of nodes found similar, from (key, node) rows of the bands; ``fetch`` gives (node, text) for nodes."""
-    found, tables, round_no = None, [], 0
-    counted = members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    open_ = Table(members.join(counted, "key").select("key", F.col("node").alias("a"), "b"), "members")
-    while True:
-        pairs = Table(open_.df.filter("a <> b").select("a", "b").distinct(), "pairs")
+    """(a, b) pairs of nodes found similar, from (key, node) rows of the bands; ``fetch`` gives (node, text) for nodes.
+
+    The first leader of a bucket is its most central node, whose buckets hold
+    most: in a family of copies that is the text they were made from, which is
+    nearer to each than they are to each other.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = Table(members.join(sizes, "key"), "shared")
+    central = shared.df.groupBy("node").agg(F.sum("n").alias("central"))
+    leaders = shared.df.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
+    open_ = Table(shared.df.select("key", F.col("node").alias("a")).join(leaders, "key"), "open")
+    found = []
+    for round_no in range(len(FURTHER) + 1):
+        pairs = Table(open_.df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         texts = Table(fetch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct()), "texts")
-        checked = Table(verify(pairs.df, texts.df, weights), "checked")
+        good = Table(verify(pairs.df, texts.df, weights).filter("matches").select("a", "b"), "good")
         pairs.drop()
         texts.drop()
-        good = checked.df.filter("matches").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        # who matched a leader of its bucket, or was one, is done with this bucket
-        done = good.unionByName(open_.df.select("a", "b").filter("a = b"))
-        rest = open_.df.join(done, ["a", "b"], "left_semi").select("key", "a").distinct()
-        left = open_.df.select("key", "a").distinct().join(rest, ["key", "a"], "left_anti")
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("first")).filter("n > 1")
-        left = Table(left.join(sizes, "key"), "open")
-        tables.append(open_)
-        if left.df.isEmpty():
-            left.drop()
+        found.append(good.df)
+        if round_no == len(FURTHER):
             break
-        round_no += 1
-        # twice as many leaders as in the round before: the first, and those whose hash falls in the share
-        share = (F.lit(2.0**round_no) / F.col("n")) * F.lit(float(1 << 20))
-        lead = left.df.filter((F.col("a") == F.col("first")) | (F.pmod(F.xxhash64("a", F.lit(round_no)), F.lit(1 << 20)) < share)).select("key", F.col("a").alias("b"))
-        open_ = Table(left.df.select("key", "a").join(lead, "key").select("key", "a", "b"), "members")
-        left.drop()
-    for t in tables:
-        t.drop()
-    return found
+        # a row is done if its node matched a node of its bucket, or leads it
+        both = good.df.unionByName(good.df.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("matched", F.lit(True))
+        done = F.bool_or((F.col("a") == F.col("b")) | F.coalesce("matched", F.lit(False)))
+        rest = Table(open_.df.join(both, ["a", "b"], "left").groupBy("key", "a").agg(done.alias("done")).filter("not done").select("key", "a"), "rest")
+        open_.drop()
+        # by chance that depends on the node, so that reruns agree
+        chance = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        lead = shared.df.filter(chance < FURTHER[round_no] / F.col("n")).select("key", F.col("node").alias("b"))
+        open_ = Table(rest.df.join(lead, "key").select("key", "a", "b"), "open")
+        rest.drop()
+    open_.drop()
+    shared.drop()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def classes(docs: DataFrame, params: Params = Params(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
