@@ -71,7 +71,7 @@ def lace(frames: list[bytes], track: int, time: int, kind: str | None = None) ->
     elif kind == "fixed":
         head += bytes([len(frames) - 1])
     elif kind == "ebml":
-        head += bytes([len(frames) - 1]) + _size(sizes[0]) + b"".join(_signed(b - a) for a, b in zip(sizes[:-2], sizes[1:-1], strict=True))
+        head += bytes([len(frames) - 1]) + b"".join([_size(sizes[0]), *(_signed(b - a) for a, b in zip(sizes[:-2], sizes[1:-1], strict=True))][: len(frames) - 1])
     return head + b"".join(frames)
 
 
