@@ -62,3 +62,31 @@ g AS (SELECT source, any_value(room) - coalesce(sum(size) FILTER (WHERE inside),
 l AS (SELECT i.source, arg_min({{'doc_id': i.doc_id, 'size': i.size}}, [abs(size - gap), i.z, coalesce(i.doc_id, -1)::DOUBLE, size::DOUBLE]) AS last FROM i JOIN g ON i.source IS NOT DISTINCT FROM g.source WHERE z IS NOT NULL AND NOT inside AND abs(size - gap) < gap GROUP BY i.source)
 SELECT i.doc_id, i.size, source_size, target, (sure + CASE WHEN inside OR (z IS NOT NULL AND coalesce(i.doc_id, -1) = coalesce(l.last.doc_id, -1) AND l.last IS NOT NULL AND i.size = l.last.size) THEN 1 ELSE 0 END) * i.size AS taken
 FROM i LEFT JOIN l ON i.source IS NOT DISTINCT FROM l.source"""
+
+
+def url_filters(rules: Sequence[tuple[str, str]], levels: int = 3, many: int = 20, varied: float = 0.3, alike: float = 2.0, smoothing: float = 5.0, reject_at: float = 0.6) -> str:
+    def fits(rule: str) -> str:
+        host, slash, path = rule.partition("/")
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}')"
+
+    longest_first = sorted(rules, key=lambda r: -len(r[1]))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest_first)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest_first)
+    out = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+t AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS rv,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[0-9a-fA-F]{{8,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS shape FROM u),
+s0 AS (SELECT host, shape, count(*) AS n, count(rv) AS labelled, count(*) FILTER (WHERE rv = 'block') AS blocked, '' AS template FROM t GROUP BY host, shape)"""
+    for d in range(1, levels + 1):
+        out += f""",
+w{d} AS (SELECT host, template FROM (SELECT host, template, shape[{d}] AS seg, sum(n) AS n FROM s{d - 1} WHERE len(shape) >= {d} GROUP BY ALL) GROUP BY host, template HAVING count(*) >= {many} AND count(*) >= {varied} * sum(n)),
+s{d} AS (SELECT s.host, shape, n, labelled, blocked, CASE WHEN len(shape) >= {d} THEN s.template || '/' || CASE WHEN w.host IS NOT NULL THEN '*' ELSE shape[{d}] END ELSE s.template END AS template FROM s{d - 1} s LEFT JOIN w{d} w ON s.host = w.host AND s.template = w.template)"""
+    return out + f""",
+tree AS (SELECT host, shape, n, labelled, blocked, template || CASE WHEN len(shape) > {levels} THEN '/**' ELSE '' END AS template FROM s{levels}),
+a AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM tree GROUP BY host, template),
+c AS (SELECT *, coalesce((SELECT sum(b) / sum(l) FROM a HAVING sum(l) > 0), 0.0) AS corpus, regexp_replace(template, '/[^/{{}}*]+((?:/[^/]*[{{}}*][^/]*)*)$', '/*\\1') AS branch FROM a),
+f AS (SELECT *, sum(l) OVER x AS fl, sum(b) OVER x AS fb, count(*) OVER x AS fn FROM c WINDOW x AS (PARTITION BY host, branch)),
+g AS (SELECT *, (fb + {smoothing} * corpus) / (fl + {smoothing}) AS share FROM f),
+m AS (SELECT *, CASE WHEN fn > 1 AND (l = 0 OR abs(b / l - share) <= {alike} * sqrt(share * (1 - share) / greatest(1, l))) THEN branch ELSE template END AS merged FROM g),
+v AS (SELECT host, template, CASE WHEN (sum(b) OVER y + {smoothing} * corpus) / (sum(l) OVER y + {smoothing}) >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict FROM m WINDOW y AS (PARTITION BY host, merged))
+SELECT page_id, t.host, path, rule, coalesce(rv, v.verdict) AS verdict FROM t JOIN tree USING (host, shape) JOIN v ON v.host = t.host AND v.template = tree.template"""

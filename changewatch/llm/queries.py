@@ -78,5 +78,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_mixing, op4_quality_rules, op5_token_counts, op6_near_dedup, op7_pii, op8_url_filters, op9_chat_format, op10_matroska)}
-#: The others need tokenizers, models, samples, parsers of bytes, or a tree; tests/llm has them against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.mixing(), "op4_quality_rules": oracles.QUALITY_RULES, "op9_chat_format": oracles.chat_format(PROBE)}
+#: The others need tokenizers, models, samples, or parsers of bytes; tests/llm has them against brute force.
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.mixing(), "op4_quality_rules": oracles.QUALITY_RULES, "op8_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE)}

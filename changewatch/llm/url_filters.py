@@ -67,7 +67,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 def shape_of(path: Column) -> Column:
     """The path's segments (array) with runs of digits, and of 8 or more hexadecimal digits, as wildcards; empty segments are left out."""
     seg = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(seg, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8,}", "{h}"), r"[0-9]+", "{n}"))
+    return F.transform(seg, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{8,}", "{h}"), r"[0-9]+", "{n}"))
 
 
 def templates(shapes: DataFrame, params: Params) -> DataFrame:
