@@ -60,7 +60,9 @@ def diff_moved(moved: DataFrame, cfg: Config = Config(), *, old: str = "prior_st
     """
     make = udfs.unified_diff(cfg.diff.context_lines, cfg.diff.max_diff_chars)
     t = moved.repartition(F.col("set_name"), F.col("url")).withColumn("diff", make(F.col(old), F.col(new), F.col(label)))
-    return t.withColumn("tags", fingerprint(F.array_join(changed_lines(F.col("diff.text")), "\n"), cfg.fingerprint.watchlist))
+    # a column of its own, so that it is worked out once for all patterns
+    t = t.withColumn("_changed", F.array_join(changed_lines(F.col("diff.text")), "\n"))
+    return t.withColumn("tags", fingerprint(F.col("_changed"), cfg.fingerprint.watchlist)).drop("_changed")
 
 
 def line_differences(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:

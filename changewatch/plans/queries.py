@@ -318,7 +318,7 @@ _PATTERN_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END"
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_PATTERN_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
 def fingerprint_tags(spark, d) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", F.array_join(D.pattern_tags(_tagged_text()), ",").alias("tags"))
+    return C.table(spark, d, "documents").select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.pattern_tags(F.col("t")), ",").alias("tags"))
 
 
 _WATCH_SQL = ", ".join(f"CASE WHEN contains(lower(t), '{w.lower()}') THEN 'watchlist:{w}' END" for w in sorted(set(WATCHLIST)))
@@ -326,7 +326,7 @@ _WATCH_SQL = ", ".join(f"CASE WHEN contains(lower(t), '{w.lower()}') THEN 'watch
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_WATCH_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
 def watchlist_hits(spark, d) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", F.array_join(D.watch_tags(_tagged_text(), WATCHLIST), ",").alias("tags"))
+    return C.table(spark, d, "documents").select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.watch_tags(F.col("t"), WATCHLIST), ",").alias("tags"))
 
 
 @query()
