@@ -5,10 +5,11 @@
 2. Each document's shingles get weights, and consistent weighted samples of
    them its signature. Documents of equal weighted shingles are one *node*.
 3. Signatures are banded. In every bucket the nodes are compared with its most
-   central one by the weighted Jaccard similarity of whole texts. Those that
-   it does not match are compared with more of the bucket's nodes, all of them
-   in small buckets, in two further rounds.
-4. Matches are contracted to connected components by alternating stars.
+   central one by the weighted Jaccard similarity of whole texts, and matches
+   are contracted to connected components by alternating stars.
+4. In buckets that still hold several components, the nodes outside the
+   largest are compared with all of the bucket's nodes, in blocks, and what
+   they link is contracted again. So no similar pair of a bucket is lost.
 
 The weight of a shingle is its count times 1 + ``damping`` * idf / largest idf.
 With the plain idf, a big family of near copies would weigh down the very
@@ -326,48 +327,138 @@ def components(edges: DataFrame) -> Table:
     return out
 
 
-#: Members with which those that no leader matched are compared in each further round; in buckets of no more nodes, all.
-FURTHER = (3, 6)
+#: A block of a bucket's nodes holds about so many at most, and so many characters.
+BLOCK_NODES, BLOCK_CHARS = 1024, 16_000_000
+_COLUMNS = 2048
+
+
+def similar(left: list[str], right: list[str], weights: Weights) -> np.ndarray:
+    """Which texts of ``left`` reach the similarity with which of ``right``, as a matrix of booleans.
+
+    The n-th occurrence of a shingle is a column of its own, so that the common
+    weight of two texts is a product of rows; columns are taken in bounded runs.
+    """
+    n, least = len(left), weights.params.similarity
+    vectors = [shingles(t, weights.params.words) for t in (*left, *right)]
+    row = np.repeat(np.arange(len(vectors)), [int(c.sum()) for _, c in vectors])
+    counts = np.concatenate([c for _, c in vectors])
+    hashes = np.concatenate([h for h, _ in vectors])
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    unit = weights.unit(weights.levels(hashes)).repeat(counts)
+    total = np.bincount(row, unit, len(vectors))
+    _, column = np.unique(hashes.repeat(counts) + _mixed(nth.astype(np.uint64)), return_inverse=True)
+    # only columns that both sides have count
+    has = np.zeros((2, int(column.max(initial=-1)) + 1), dtype=bool)
+    has[(row >= n).astype(np.int8), column] = True
+    both = has.all(axis=0)
+    keep = both[column]
+    row, unit, column = row[keep], unit[keep], (np.cumsum(both) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, unit, column = row[order], unit[order], column[order]
+    common = np.zeros((n, len(right)))
+    for start in range(0, int(both.sum()), _COLUMNS):
+        part = slice(*np.searchsorted(column, (start, start + _COLUMNS)))
+        dense = np.zeros((len(vectors), _COLUMNS))
+        dense[row[part], column[part] - start] = np.sqrt(unit[part])
+        common += dense[:n] @ dense[n:].T
+    value = common / np.maximum(total[:n, None] + total[None, n:] - common, 1e-300)
+    out = value >= least
+    for i, j in np.argwhere(np.abs(value - least) < 1e-9):  # by the one definition, whatever the order of sums
+        (a, ca), (b, cb) = vectors[i], vectors[n + j]
+        out[i, j] = weighted_jaccard((a, weights(a, ca)), (b, weights(b, cb))) >= least
+    return out
+
+
+def links(nodes: tuple[list, list], roots: tuple[list, list], texts: tuple[list[str], list[str]], weights: Weights) -> list[tuple[bytes, bytes]]:
+    """Pairs (a, b) that link whatever roots are linked by similar texts of the two sides: one for each union."""
+    label = {r: i for i, r in enumerate(dict.fromkeys((*roots[0], *roots[1])))}
+    mine, theirs = (np.array([label[r] for r in side]) for side in roots)
+    found = similar(*texts, weights)
+    out = []
+    for i in np.flatnonzero(found.any(axis=1)):
+        for j in np.flatnonzero(found[i]):
+            if (new := mine[i]) != (old := theirs[j]):
+                out.append((nodes[0][i], nodes[1][j]))
+                mine[mine == old] = new
+                theirs[theirs == old] = new
+    return out
+
+
+def remaining(shared: DataFrame, roots: DataFrame, fetch, weights: Weights) -> Table:
+    """(a, b) links between nodes of a bucket that are not of one component yet, from (key, node, n) rows and (node, root).
+
+    In each bucket every node outside its largest component is compared with
+    all nodes of the bucket. Both are cut into blocks, and two blocks meet in
+    one group of bounded size; pairs never become rows.
+    """
+    rooted = shared.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    crowd = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    open_ = Table(rooted.join(crowd, "key").select("key", "node", "root", (F.col("root") != F.col("crowd")).alias("outside")), "open")
+    texts = Table(fetch(open_.df.select("node").distinct()).withColumn("chars", F.length("text")), "texts")
+
+    def blocks(which) -> F.Column:
+        return F.greatest(F.ceil(F.count_if(which) / BLOCK_NODES), F.ceil(F.sum(F.when(which, F.col("chars")).otherwise(0)) / BLOCK_CHARS), F.lit(1))
+
+    sizes = open_.df.join(texts.df.select("node", "chars"), "node").groupBy("key").agg(blocks(F.col("outside")).alias("outs"), blocks(~F.col("outside")).alias("ins"))
+    chance = F.xxhash64("node", F.lit(5))
+    place = F.when(F.col("outside"), F.pmod(chance, "outs")).otherwise(F.col("outs") + F.pmod(chance, "ins")).alias("place")
+    placed = open_.df.join(sizes, "key").select("key", "node", "root", "outside", "outs", "ins", place)
+    # a block outside the crowd meets all blocks and itself; a block of the crowd meets those outside it
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("outs") + F.col("ins") - 1), lambda q: F.col("outside") | (q < F.col("outs")))
+    cells = placed.select("key", "node", "root", "place", F.explode(met).alias("q")).select("key", F.least("place", "q").alias("i"), F.greatest("place", "q").alias("j"), "place", "node", "root")
+    dealt = cells.join(texts.df.select("node", "text"), "node").select("key", "i", "j", "place", "node", "root", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            sides = [[r for r in rows if r[0] == p] for p in now[1:]]
+            if all(sides):
+                pairs = links(*(tuple([r[x] for r in side] for side in sides) for x in (1, 2, 3)), weights)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+        now, rows = None, []
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", "place", "node", "root", "text")]
+            for key, i, j, *row in zip(*columns, strict=True):
+                if now != (key, i, j):
+                    if rows:
+                        yield from flush()
+                    now, rows = (key, i, j), []
+                rows.append(row)
+        if rows:
+            yield from flush()
+
+    out = Table(dealt.mapInArrow(run, "a binary, b binary"), "links")
+    open_.drop()
+    texts.drop()
+    return out
 
 
 def matches(members: DataFrame, fetch, weights: Weights) -> DataFrame:
-    """(a, b) pairs of nodes found similar, from (key, node) rows of the bands; ``fetch`` gives (node, text) for nodes.
+    """(a, b) links of nodes found similar, from (key, node) rows of the bands; ``fetch`` gives (node, text) for nodes.
 
-    The first leader of a bucket is its most central node, whose buckets hold
-    most: in a family of copies that is the text they were made from, which is
-    nearer to each than they are to each other.
+    Whatever two nodes share a bucket and are similar, the links connect them.
+    Every node of a bucket meets its most central node first, whose buckets
+    hold most: in a family of copies that is the text they were made from,
+    which is nearer to each than they are to each other. What that leaves
+    apart is compared in blocks.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = Table(members.join(sizes, "key"), "shared")
     central = shared.df.groupBy("node").agg(F.sum("n").alias("central"))
     leaders = shared.df.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
-    open_ = Table(shared.df.select("key", F.col("node").alias("a")).join(leaders, "key"), "open")
-    found = []
-    for round_no in range(len(FURTHER) + 1):
-        pairs = Table(open_.df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        texts = Table(fetch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct()), "texts")
-        good = Table(verify(pairs.df, texts.df, weights).filter("matches").select("a", "b"), "good")
-        pairs.drop()
-        texts.drop()
-        found.append(good.df)
-        if round_no == len(FURTHER):
-            break
-        # a row is done if its node matched a node of its bucket, or leads it
-        both = good.df.unionByName(good.df.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("matched", F.lit(True))
-        done = F.bool_or((F.col("a") == F.col("b")) | F.coalesce("matched", F.lit(False)))
-        rest = Table(open_.df.join(both, ["a", "b"], "left").groupBy("key", "a").agg(done.alias("done")).filter("not done").select("key", "a"), "rest")
-        open_.drop()
-        # by chance that depends on the node, so that reruns agree
-        chance = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        lead = shared.df.filter(chance < FURTHER[round_no] / F.col("n")).select("key", F.col("node").alias("b"))
-        open_ = Table(rest.df.join(lead, "key").select("key", "a", "b"), "open")
-        rest.drop()
-    open_.drop()
+    led = shared.df.select("key", F.col("node").alias("a")).join(leaders, "key").filter("a <> b")
+    pairs = Table(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = Table(fetch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct()), "texts")
+    good = Table(verify(pairs.df, texts.df, weights).filter("matches").select("a", "b"), "good")
+    pairs.drop()
+    texts.drop()
+    roots = components(good.df)
+    good.drop()
+    more = remaining(shared.df, roots.df, fetch, weights)
     shared.drop()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.df)
 
 
 def classes(docs: DataFrame, params: Params = Params(), *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
