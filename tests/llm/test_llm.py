@@ -367,6 +367,24 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert len(near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == len(want)
 
 
+def test_blocks_compare_as_pairs_do():
+    rng = random.Random(4)
+    texts = [*family(rng, 8, 60, 3), *family(rng, 3, 10, 1), "a " * 90, "a " * 110, "a b " * 50, "one", LONG]
+    p = near_dedup.Params()
+    w = near_dedup.Weights.of(np.random.default_rng(0).integers(0, 90, p.buckets), 100, p)
+    vectors = [(h, w(h, c)) for h, c in map(near_dedup.shingles, texts)]
+    want = [[near_dedup.weighted_jaccard(a, b) >= p.similarity for b in vectors] for a in vectors[:9]]
+    assert near_dedup.similar(texts[:9], texts, w).tolist() == want
+    assert near_dedup.similar(texts[9:], [], w).shape == (len(texts) - 9, 0)
+
+
+def test_links_join_each_pair_of_roots_once():
+    p = near_dedup.Params()
+    w = near_dedup.Weights.of(np.zeros(p.buckets, np.int64), 10, p)
+    side = ([b"a", b"b", b"c", b"d"], [b"r", b"s", b"s", b"t"], ["x y z", "x y z", "x y z", "other"])
+    assert near_dedup.links(*zip(side, side, strict=True), w) == [(b"a", b"b")]
+
+
 def test_near_duplicates_of_test_table(spark, documents):
     rows = list(documents.items())
     got = {r["doc_id"]: r["class_id"] for r in Q.op6_near_dedup(spark, SF).collect()}
