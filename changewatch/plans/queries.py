@@ -308,7 +308,7 @@ def diff_truncate(spark, d) -> DataFrame:
 def _tagged_text():
     m = F.col("doc_id") % 8
     extra = F.element_at(F.array(*map(F.lit, _EXTRAS)), (m + 1).cast("int"))
-    return F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(400)), F.lit("\n"), extra)
+    return F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), extra)
 
 
 _EXTRAS = ("It costs $5 or 1,200.50 AUD.", "On 5 March or 2026-01-05 or 1/2/26.", "A fee of 2.5 % applies", "within 30 days and 2 Years", "see Section 4.2, clause 9", "you must not resell; mayä", "nothing here", "ARBITRATION and Australia, warranty")
