@@ -715,7 +715,8 @@ def briefing_markdown(spark, d) -> DataFrame:
 @query(f"WITH {C.CLASSIFIED} SELECT url, outcome AS status, outcome = 'changed' AS changed FROM cls WHERE set_name IN ('src1', 'src2')")
 def document_status_list(spark, d) -> DataFrame:
     docs = S.next_documents(C.classified(spark, d), C.NOW)
-    changed = docs.filter("status = 'changed'").groupBy("set_name").agg(F.collect_set("label").alias("changed_documents"))
-    configured = C.captures(spark, d).filter(F.col("set_name").isin("src1", "src2")).select("set_name", "url")
-    t = configured.join(docs.select("set_name", "url", "status", "label"), ["set_name", "url"], "left").join(changed, "set_name", "left")
-    return t.select("url", "status", F.coalesce(F.array_contains("changed_documents", F.col("label")), F.lit(False)).alias("changed"))
+    # no filter: pushed below, it would work out outcomes again and again
+    changed = docs.groupBy("set_name", "label").agg(F.bool_or(F.col("status") == "changed").alias("changed"))
+    configured = C.captures(spark, d).select("set_name", "url")
+    t = configured.join(docs.select("set_name", "url", "status", "label"), ["set_name", "url"], "left").join(changed, ["set_name", "label"], "left")
+    return t.select("url", "status", F.coalesce("changed", F.lit(False)).alias("changed"))

@@ -52,3 +52,9 @@ def test_places_run_on_from_range_to_range(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = sorted(t.collect(), key=lambda r: (r["a"], -r["b"], r["id"]))
     assert parts > 1 and found == {i: r["id"] for i, r in enumerate(want, 1)}
+
+
+def test_documents_of_every_source_have_a_status(spark, duck):  # noqa: F811
+    got = registry.queries()["document_status_list"](spark, SF).toPandas()
+    assert len(got) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert rows(got) == rows(duck.execute(whole("document_status_list", (" WHERE set_name IN ('src1', 'src2')", ""))).df())
