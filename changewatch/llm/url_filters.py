@@ -4,8 +4,9 @@ Rules (host and path prefixes) judge the addresses that they fit. The others
 are judged by their host's path templates:
 
 1. Segments with digits or long hexadecimal runs become wildcards of their
-   shape. Then, level by level from the root, a node's children turn into one
-   wildcard if there are many of them for the addresses below the node.
+   shape. Then, level by level from the root to the deepest segment, a node's
+   children turn into one wildcard if there are many of them for the distinct
+   shapes below each.
 2. Templates of a host that differ in their last fixed segment are branches.
    Those whose share of blocked addresses does not differ from that of all by
    more than chance are merged.
@@ -18,6 +19,7 @@ hot host comes to as many rows as it has shapes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,9 +34,8 @@ ALLOW, BLOCK = "allow", "block"
 
 @dataclass(frozen=True)
 class Params:
-    """A node is a wildcard if it has ``many`` children or more, and at least ``varied`` of them for each address. Segments below ``levels`` are one."""
+    """A node's children are a wildcard if they are ``many`` or more, and at least ``varied`` of them for each distinct shape that a child has below it on average."""
 
-    levels: int = 3
     many: int = 20
     varied: float = 0.3
     #: Standard errors within which branches are alike.
@@ -71,16 +72,31 @@ def shape_of(path: Column) -> Column:
 
 
 def templates(shapes: DataFrame, params: Params) -> DataFrame:
-    """(host, shape, n, labelled, blocked, template) from (host, shape, n, labelled, blocked): the tree's nodes, from the root down."""
-    t = shapes.withColumn("template", F.lit(""))
-    for d in range(1, params.levels + 1):
-        t = t.withColumn("seg", F.get(F.col("shape"), F.lit(d - 1)))
-        children = t.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-        wild = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter((F.col("k") >= params.many) & (F.col("k") >= params.varied * F.col("total"))).select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.lit(True).alias("wild"))
-        t = t.join(wild, (t["host"] == wild["_h"]) & (t["template"] == wild["_t"]), "left")
-        t = t.withColumn("template", F.when(F.col("seg").isNotNull(), F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg")))).otherwise(F.col("template")))
-        t = Table(t.drop("_h", "_t", "wild", "seg"), "tree").df
-    return t.withColumn("template", F.when(F.size("shape") > params.levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    """(host, shape, n, labelled, blocked, template) from (host, shape, n, labelled, blocked): the tree's nodes, from the root down.
+
+    A node with fewer than ``many`` shapes has no wildcard below it, so its
+    shapes get the rest of their segments at once, and one long path costs no
+    levels. How often a shape occurs plays no part.
+    """
+    rest = F.array_join(F.slice("shape", F.col("_d") + 1, F.size("shape")), "/")
+    t, done, d = shapes.withColumn("template", F.lit("")), [], 0
+    while True:
+        more = t.filter(F.size("shape") > d)
+        children = more.groupBy("host", "template", F.get(F.col("shape"), F.lit(d)).alias("seg")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter(F.col("total") >= params.many)
+        # k children have total / k shapes each
+        wild = (F.col("k") >= params.many) & (F.col("k") * F.col("k") >= params.varied * F.col("total"))
+        nodes = nodes.select(F.col("host").alias("_h"), F.col("template").alias("_t"), wild.alias("wild"))
+        t = t.join(nodes, (t["host"] == nodes["_h"]) & (t["template"] == nodes["_t"]), "left")
+        goes_on = F.col("wild").isNotNull() & (F.size("shape") > d)
+        step = F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.get(F.col("shape"), F.lit(d))))
+        left = F.when(F.size("shape") > d, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template"))
+        t = t.withColumn("_d", F.lit(d)).withColumn("goes_on", goes_on).withColumn("template", F.when(goes_on, step).otherwise(left))
+        t = Table(t.drop("_h", "_t", "wild", "_d"), "tree").df
+        done.append(t.filter("not goes_on").drop("goes_on"))
+        t, d = t.filter("goes_on").drop("goes_on"), d + 1
+        if t.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
 
 
 def rejected(tree: DataFrame, params: Params) -> DataFrame:

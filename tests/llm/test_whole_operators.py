@@ -1,0 +1,30 @@
+"""Corpus operators must do the whole job: on deep addresses, and on identifiers as they are usually written."""
+
+from changewatch.llm import url_filters
+
+
+def judged(spark, urls, rules=(("block", "g.org/"),)):
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r["page_id"]]: r for r in url_filters.judge(t, rules).collect()}
+
+
+def test_deep_branches_are_judged_apart(spark):
+    rules = [("block", "h.org/a/b/c/ads/x"), ("allow", "h.org/a/b/c/news/x")]
+    urls = [f"http://h.org/a/b/c/{k}/{p}{i}" for k in ("ads", "news") for p in ("x", "") for i in range(40)]
+    deep = [f"http://h.org/a/b/c/d/e/{c}{d}/p" for c in "abcdef" for d in "ghijklm"]
+    long = "http://h.org/" + "/".join("z" * 300)
+    got = judged(spark, [*urls, *deep, long], rules)
+    assert got["http://h.org/a/b/c/ads/x1"]["template"] == "/a/b/c/ads/x{n}" and got["http://h.org/a/b/c/news/1"]["template"] == "/a/b/c/news/{n}"
+    assert got["http://h.org/a/b/c/ads/x1"]["purity"] > 0.9 and got["http://h.org/a/b/c/news/x1"]["purity"] < 0.1
+    assert got[deep[0]]["template"] == "/a/b/c/d/e/*/p"
+    assert got[long]["template"] == "/" + "/".join("z" * 300)
+
+
+def test_variety_does_not_depend_on_the_number_of_addresses(spark):
+    names = [c + d for c in "abcdef" for d in "ghijklm"]
+    urls = [f"http://h.org/{n}/{i}" for n in names for i in range(10)] + [f"http://i.org/{n}/{n}{p}" for n in names for p in "abcdefghij"] + ["http://g.org/"]
+    for rows in (urls, urls * 2):
+        got = judged(spark, rows)
+        assert got["http://h.org/ag/3"]["template"] == "/*/{n}" and got["http://i.org/ag/aga"]["template"] == "/*/*"
+    flat = [f"http://h.org/{n}" for n in names]
+    assert {r["template"] for r in judged(spark, [*flat, "http://g.org/"] * 10).values()} == {"/*", ""}
