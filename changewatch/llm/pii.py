@@ -41,8 +41,12 @@ _RUN = re.compile(r"[0-9]+")
 # fixed values: what the method adds
 _SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "mailto")
 _USERINFO = re.compile(r"://[^\s/?#@]+@[^\s/?#@]+")
+_ADDRESS = re.compile(r"://[^\s#<>\"]+")
+#: A parameter of a query that names a person, and the first character of its value.
+_NAMED = re.compile(r"[?&;](?:(?:e-?|user_?)?mail|(?:first|last|full|given|family|user|sur|customer)?[_-]?name|user|login|phone|mobile|tel|ssn|passport|iban|account|(?:user|customer|tax|account)[_-]?(?:id|no|number))=[^&;]", re.IGNORECASE | re.ASCII)
 _CUES = ("iban", "ssn", "passport", "account no", "account number", "acct", "customer id", "tax id")
-_ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|id|is)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"\.?[ \t]{0,3}(?i:no\.?|number|id|is)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORD = re.compile(r"\w")
 
 Span = tuple[str, int, int]
@@ -51,13 +55,19 @@ Span = tuple[str, int, int]
 @functools.cache
 def _automaton():
     found = ahocorasick.Automaton()
-    for kind, words in (("at", "@"), ("scheme", ("://",)), ("plus", "+"), ("digit", "0123456789"), ("cue", (*_CUES, *(c.upper() for c in _CUES), *(c.capitalize() for c in _CUES)))):
+    for kind, words in (("at", "@"), ("scheme", ("://",)), ("plus", "+"), ("digit", "0123456789"), ("cue", _CUES)):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
+def _lowered(text: str) -> str:
+    """A to Z in lower case, at the same places."""
+    # of other characters, these alone change the length or become ASCII
+    return text.translate(_LOWER) if "\u0130" in text or "\u212a" in text else text.lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -74,20 +84,29 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return start, m.end()
 
 
-def _url(text: str, at: int) -> tuple[int, int] | None:
+def _url(text: str, at: int, past: dict[str, int]) -> tuple[int, int] | None:
     start = at
     while start and text[start - 1].isascii() and text[start - 1].isalpha():
         start -= 1
-    if text[start:at].lower() in _SCHEMES and (m := _USERINFO.match(text, at)):
-        return start, m.end()
-    return None
+    if text[start:at].lower() not in _SCHEMES:
+        return None
+    end = m.end() if (m := _USERINFO.match(text, at)) else 0
+    # an address within one whose query names nobody has the end of that query
+    if at >= past["query"] and (m := _ADDRESS.match(text, at)):
+        past["query"] = stop = m.end()
+        query = text.find("?", at, stop)
+        if query >= 0 and _NAMED.search(text, query, stop):
+            while text[stop - 1] in ".,;:!?)]}'":
+                stop -= 1
+            end = max(end, stop)
+    return (start, end) if end else None
 
 
 def spans(text: str) -> list[Span]:
     """All spans of a whole text, by start, then by kind as in ``KINDS``."""
     out: list[Span] = []
-    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "run"), 0)
-    for last, (kind, size) in _automaton().iter(text):
+    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "run", "query"), 0)
+    for last, (kind, size) in _automaton().iter(_lowered(text)):
         at = last - size + 1
         if kind == "digit":
             # a match of ip or card starts at the first digit that no match before has taken; a number's other digits end where the first does
@@ -114,7 +133,7 @@ def spans(text: str) -> list[Span]:
                 if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
                     out.append(("phone", at, m.end()))
         elif kind == "scheme":
-            if at >= past["url"] and (got := _url(text, at)):
+            if at >= past["url"] and (got := _url(text, at, past)):
                 past["url"] = got[1]
                 out.append(("url", *got))
         elif at >= past["account"] and not (at and _WORD.match(text, at - 1)):

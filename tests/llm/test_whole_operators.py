@@ -1,6 +1,8 @@
 """Corpus operators must do the whole job: on deep addresses, and on identifiers as they are usually written."""
 
-from changewatch.llm import url_filters
+import pytest
+
+from changewatch.llm import pii, url_filters
 
 
 def judged(spark, urls, rules=(("block", "g.org/"),)):
@@ -28,3 +30,23 @@ def test_variety_does_not_depend_on_the_number_of_addresses(spark):
         assert got["http://h.org/ag/3"]["template"] == "/*/{n}" and got["http://i.org/ag/aga"]["template"] == "/*/*"
     flat = [f"http://h.org/{n}" for n in names]
     assert {r["template"] for r in judged(spark, [*flat, "http://g.org/"] * 10).values()} == {"/*", ""}
+
+
+def anchored(text):
+    return [(k, text[a:b]) for k, a, b in pii.spans(text) if k in ("url", "account")]
+
+
+@pytest.mark.parametrize("cue", ["Customer ID", "Tax ID:", "Account Number", "Account No", "ACCOUNT No. ", "Passport No:", "aCCt #", "customer id"])
+@pytest.mark.parametrize("before", ["", "İ ", "K, "])
+def test_cues_in_any_case(cue, before):
+    text = f"{before}the {cue} 12345678, é"
+    assert anchored(text) == [("account", "12345678")]
+    assert pii.masked(text, pii.spans(text)) == f"{before}the {cue} <ACCOUNT>, é"
+
+
+def test_addresses_whose_query_names_a_person():
+    named = "https://h.org/p?page=2&first_name=Ann&x=1"
+    assert anchored(f"see {named}. Or http://h.org/en?page=2&ref=x#name=a") == [("url", named)]
+    assert anchored("ftp://u:p@h.org/a?user=bo x") == [("url", "ftp://u:p@h.org/a?user=bo")]
+    assert anchored("http://h.org/?name= http://h.org/?name=&a=1 http://h.org/name=a http://h.org/?filename=x") == []
+    assert anchored("http://" + "?http://" * 50_000) == []
