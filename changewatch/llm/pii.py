@@ -9,7 +9,9 @@ Spans are (kind, start, end) in code points, the end exclusive. Base kinds are
 email, ip, card and phone, each equal to a leftmost non-overlapping search for
 its pattern of which failing matches are dropped. The anchors add url (a
 scheme with user information, or an address with a query that names a person)
-and account (a cue, then an identifier of six characters or more with digits).
+and account (a cue, then what it announces: an IBAN of its country's length
+and check digits, an SSN of 3-2-4 digits, else one token of six characters or
+more with digits, or groups of digits).
 """
 
 from __future__ import annotations
@@ -45,7 +47,21 @@ _ADDRESS = re.compile(r"://[^\s#<>\"]+")
 #: A parameter of a query that names a person, and the first character of its value.
 _NAMED = re.compile(r"[?&;](?:(?:e-?|user_?)?mail|(?:first|last|full|given|family|user|sur|customer)?[_-]?name|user|login|phone|mobile|tel|ssn|passport|iban|account|(?:user|customer|tax|account)[_-]?(?:id|no|number))=[^&;]", re.IGNORECASE | re.ASCII)
 _CUES = ("iban", "ssn", "passport", "account no", "account number", "acct", "customer id", "tax id")
-_ACCOUNT = re.compile(r"\.?[ \t]{0,3}(?i:no\.?|number|id|is)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_AFTER_CUE = re.compile(r"\.?[ \t]{0,3}(?:(?i:no\.?|number|id|is)(?![A-Za-z0-9]))?[ \t]{0,3}[:=#]?[ \t]{0,3}")
+_END = r"(?![A-Za-z0-9])"
+_SSN = re.compile(rf"[0-9]{{3}}([ -]?)[0-9]{{2}}\1[0-9]{{4}}{_END}")
+#: A token, whose groups after a hyphen hold a digit, or groups of digits.
+_TOKEN = re.compile(rf"(?:[0-9]{{2,5}}(?: [0-9]{{2,5}}){{1,7}}|[A-Za-z]{{0,4}}[0-9][A-Za-z0-9]{{0,40}}(?:-(?=[A-Za-z]*[0-9])[A-Za-z0-9]+){{0,16}}){_END}", re.ASCII)
+_LETTERS = re.compile(r"[A-Za-z0-9]")
+#: An IBAN's characters by its country.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORD = re.compile(r"\w")
 
@@ -102,6 +118,35 @@ def _url(text: str, at: int, past: dict[str, int]) -> tuple[int, int] | None:
     return (start, end) if end else None
 
 
+def _iban(text: str, at: int) -> int | None:
+    """The end of the IBAN at this place: its country's length, in groups of four or without gaps, and 97 divides it with a rest of 1."""
+    size = _IBAN_LENGTHS.get(text[at : at + 2].upper(), 0)
+    found, end = "", at
+    gap = text[at + 4 : at + 5] if text[at + 4 : at + 5] in (" ", "-") else ""
+    while size and len(found) < size:
+        if gap and found and len(found) % 4 == 0:
+            if text[end : end + 1] != gap:
+                return None
+            end += 1
+        if not _LETTERS.match(text, end):
+            return None
+        found, end = found + text[end].upper(), end + 1
+    if not size or _LETTERS.match(text, end) or not found[2:4].isdigit():
+        return None
+    return end if int("".join(str(int(c, 36)) for c in found[4:] + found[:4])) % 97 == 1 else None
+
+
+def _account(text: str, cue: str, after: int) -> tuple[int, int] | None:
+    """The identifier that a cue announces, by the cue's own form; others have 6 to 38 letters and digits."""
+    at = _AFTER_CUE.match(text, after).end()
+    if cue == "iban":
+        return (at, end) if (end := _iban(text, at)) else None
+    if cue == "ssn":
+        return (at, m.end()) if (m := _SSN.match(text, at)) else None
+    m = _TOKEN.match(text, at)
+    return (at, m.end()) if m and 6 <= sum(c not in " -" for c in m.group()) <= 38 else None
+
+
 def spans(text: str) -> list[Span]:
     """All spans of a whole text, by start, then by kind as in ``KINDS``."""
     out: list[Span] = []
@@ -137,9 +182,9 @@ def spans(text: str) -> list[Span]:
                 past["url"] = got[1]
                 out.append(("url", *got))
         elif at >= past["account"] and not (at and _WORD.match(text, at - 1)):
-            if m := _ACCOUNT.match(text, last + 1):
-                past["account"] = m.end(1)
-                out.append(("account", m.start(1), m.end(1)))
+            if got := _account(text, text[at : last + 1].lower(), last + 1):
+                past["account"] = got[1]
+                out.append(("account", *got))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return out
 

@@ -50,3 +50,30 @@ def test_addresses_whose_query_names_a_person():
     assert anchored("ftp://u:p@h.org/a?user=bo x") == [("url", "ftp://u:p@h.org/a?user=bo")]
     assert anchored("http://h.org/?name= http://h.org/?name=&a=1 http://h.org/name=a http://h.org/?filename=x") == []
     assert anchored("http://" + "?http://" * 50_000) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("passport 2 years after it was issued", []),
+        ("account number 12345678 and we will call you back", ["12345678"]),
+        ("account number 12345678 2 years ago", ["12345678"]),
+        ("account no 1234 5678 9012 was closed", ["1234 5678 9012"]),
+        ("acct 12-345-6789-after it", ["12-345-6789"]),
+        ("passport AB1234567 of 2020", ["AB1234567"]),
+        ("customer id 12345", []),
+        ("customer id 1" + "2" * 60, []),
+        ("IBAN DE89 3704 0044 0532 0130 00 and so on", ["DE89 3704 0044 0532 0130 00"]),
+        ("iban is gb82west12345698765432.", ["gb82west12345698765432"]),
+        ("IBAN DE88 3704 0044 0532 0130 00", []),
+        ("IBAN DE89 3704 0044 0532 0130 001", []),
+        ("IBAN XX89370400440532013000", []),
+        ("IBAN DE89 37040044 0532 0130 00", []),
+        ("IBAN DE", []),
+        ("IBAN No. NO93 8601 1117 947, IBAN NO9386011117947", ["NO93 8601 1117 947", "NO9386011117947"]),
+        ("SSN 078-05-1120, ssn: 078051120", ["078-05-1120", "078051120"]),
+        ("SSN 078-051-120, ssn 07805112034", []),
+    ],
+)
+def test_accounts_end_where_the_identifier_ends(text, found):
+    assert [x for k, x in anchored(text) if k == "account"] == found
