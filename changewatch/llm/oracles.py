@@ -64,29 +64,42 @@ SELECT i.doc_id, i.size, source_size, target, (sure + CASE WHEN inside OR (z IS
 FROM i LEFT JOIN l ON i.source IS NOT DISTINCT FROM l.source"""
 
 
-def url_filters(rules: Sequence[tuple[str, str]], levels: int = 3, many: int = 20, varied: float = 0.3, alike: float = 2.0, smoothing: float = 5.0, reject_at: float = 0.6) -> str:
+def url_filters(rules: Sequence[tuple[str, str]], many: int = 20, varied: float = 0.3, alike: float = 2.0, smoothing: float = 5.0, of_parent: float = 1.0, reject_at: float = 0.6) -> str:
     def fits(rule: str) -> str:
         host, slash, path = rule.partition("/")
         return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}')"
 
+    def share(name: str, keys: str, behind: str) -> str:
+        return f"(sum(b) OVER (PARTITION BY {keys}) + {smoothing} * {behind}) / (sum(l) OVER (PARTITION BY {keys}) + {smoothing}) AS {name}"
+
     longest_first = sorted(rules, key=lambda r: -len(r[1]))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest_first)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest_first)
-    out = f"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 t AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS rv,
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[0-9a-fA-F]{{8,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS shape FROM u),
-s0 AS (SELECT host, shape, count(*) AS n, count(rv) AS labelled, count(*) FILTER (WHERE rv = 'block') AS blocked, '' AS template FROM t GROUP BY host, shape)"""
-    for d in range(1, levels + 1):
-        out += f""",
-w{d} AS (SELECT host, template FROM (SELECT host, template, shape[{d}] AS seg, sum(n) AS n FROM s{d - 1} WHERE len(shape) >= {d} GROUP BY ALL) GROUP BY host, template HAVING count(*) >= {many} AND count(*) >= {varied} * sum(n)),
-s{d} AS (SELECT s.host, shape, n, labelled, blocked, CASE WHEN len(shape) >= {d} THEN s.template || '/' || CASE WHEN w.host IS NOT NULL THEN '*' ELSE shape[{d}] END ELSE s.template END AS template FROM s{d - 1} s LEFT JOIN w{d} w ON s.host = w.host AND s.template = w.template)"""
-    return out + f""",
-tree AS (SELECT host, shape, n, labelled, blocked, template || CASE WHEN len(shape) > {levels} THEN '/**' ELSE '' END AS template FROM s{levels}),
-a AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM tree GROUP BY host, template),
-c AS (SELECT *, coalesce((SELECT sum(b) / sum(l) FROM a HAVING sum(l) > 0), 0.0) AS corpus, regexp_replace(template, '/[^/{{}}*]+((?:/[^/]*[{{}}*][^/]*)*)$', '/*\\1') AS branch FROM a),
-f AS (SELECT *, sum(l) OVER x AS fl, sum(b) OVER x AS fb, count(*) OVER x AS fn FROM c WINDOW x AS (PARTITION BY host, branch)),
+shapes AS (SELECT host, shape, count(DISTINCT path) AS paths, count(rv) AS labelled, count(*) FILTER (WHERE rv = 'block') AS blocked FROM t GROUP BY host, shape),
+walk AS (
+  SELECT host, shape, paths, labelled, blocked, 0 AS d, '' AS template, true AS goes FROM shapes
+  UNION ALL
+  SELECT host, shape, paths, labelled, blocked, d + 1, CASE WHEN len(shape) <= d THEN template
+      WHEN below < {many} THEN template || '/' || array_to_string(shape[d + 1:], '/')
+      WHEN (k >= {many} AND k * k >= {varied}::DOUBLE * total) OR (fp >= {many} AND contains(shape[d + 1], '{{') AND CASE WHEN cl > 0 THEN abs(cb / cl - fb / fl) <= {alike} * sqrt(fb / fl * (1 - fb / fl) / cl) ELSE fl = 0 END) THEN template || '/*'
+      ELSE template || '/' || shape[d + 1] END, len(shape) > d AND below >= {many}
+  FROM (SELECT *, count(DISTINCT CASE WHEN len(shape) > d THEN shape[d + 1] END) OVER x AS k, count(*) FILTER (WHERE len(shape) > d) OVER x AS total,
+      coalesce(sum(paths) FILTER (WHERE len(shape) > d) OVER x, 0) AS below, coalesce(sum(paths) FILTER (WHERE contains(shape[d + 1], '{{')) OVER x, 0) AS fp,
+      coalesce(sum(labelled) FILTER (WHERE contains(shape[d + 1], '{{')) OVER x, 0)::DOUBLE AS fl, coalesce(sum(blocked) FILTER (WHERE contains(shape[d + 1], '{{')) OVER x, 0)::DOUBLE AS fb,
+      sum(labelled) OVER (PARTITION BY host, template, shape[d + 1])::DOUBLE AS cl, sum(blocked) OVER (PARTITION BY host, template, shape[d + 1])::DOUBLE AS cb
+    FROM walk WHERE goes WINDOW x AS (PARTITION BY host, template))),
+tree AS (SELECT * FROM walk WHERE NOT goes),
+a AS (SELECT host, template, sum(labelled)::DOUBLE AS l, sum(blocked)::DOUBLE AS b, regexp_replace(template, '[^/]*\\{{[^/]*', '*', 'g') AS common, array_to_string(string_split(host, '.')[-2:], '.') AS domain, regexp_replace(template, '/[^/]*$', '') AS parent,
+  regexp_replace(template, '/[^/{{}}*]+((?:/[^/]*[{{}}*][^/]*)*)$', '/*\\1') AS branch FROM tree GROUP BY host, template),
+c AS (SELECT *, coalesce((SELECT sum(b) / sum(l) FROM a HAVING sum(l) > 0), 0.0::DOUBLE) AS corpus FROM a),
+e1 AS (SELECT *, {share("everywhere", "common", "corpus")}, {share("of_host", "host", "corpus")} FROM c),
+e2 AS (SELECT *, {share("nearby", "domain, common", "everywhere")}, {share("par", "host, parent", "of_host")} FROM e1),
+f AS (SELECT *, ({smoothing} * nearby + {of_parent} * par) / ({smoothing} + {of_parent}) AS prior, sum(l) OVER x AS fl, sum(b) OVER x AS fb, count(*) FILTER (WHERE l > 0) OVER x AS fn FROM e2 WINDOW x AS (PARTITION BY host, branch)),
 g AS (SELECT *, (fb + {smoothing} * corpus) / (fl + {smoothing}) AS share FROM f),
-m AS (SELECT *, CASE WHEN fn > 1 AND (l = 0 OR abs(b / l - share) <= {alike} * sqrt(share * (1 - share) / greatest(1, l))) THEN branch ELSE template END AS merged FROM g),
-v AS (SELECT host, template, CASE WHEN (sum(b) OVER y + {smoothing} * corpus) / (sum(l) OVER y + {smoothing}) >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict FROM m WINDOW y AS (PARTITION BY host, merged))
+m AS (SELECT *, CASE WHEN fn > 1 AND l > 0 AND abs(b / l - share) <= {alike} * sqrt(share * (1 - share) / greatest(1, l)) THEN branch ELSE template END AS merged FROM g),
+v AS (SELECT host, template, CASE WHEN round((sum(b) OVER y + {smoothing + of_parent} * (sum(greatest(l, 1) * prior) OVER y / sum(greatest(l, 1)) OVER y)) / (sum(l) OVER y + {smoothing + of_parent}), 9) >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict FROM m WINDOW y AS (PARTITION BY host, merged))
 SELECT page_id, t.host, path, rule, coalesce(rv, v.verdict) AS verdict FROM t JOIN tree USING (host, shape) JOIN v ON v.host = t.host AND v.template = tree.template"""

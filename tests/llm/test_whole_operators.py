@@ -1,8 +1,10 @@
 """Corpus operators must do the whole job: on deep addresses, and on identifiers as they are usually written."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from changewatch.llm import pii, url_filters
+from changewatch.llm import queries as Q
 
 
 def judged(spark, urls, rules=(("block", "g.org/"),)):
@@ -16,7 +18,7 @@ def test_deep_branches_are_judged_apart(spark):
     deep = [f"http://h.org/a/b/c/d/e/{c}{d}/p" for c in "abcdef" for d in "ghijklm"]
     long = "http://h.org/" + "/".join("z" * 300)
     got = judged(spark, [*urls, *deep, long], rules)
-    assert got["http://h.org/a/b/c/ads/x1"]["template"] == "/a/b/c/ads/x{n}" and got["http://h.org/a/b/c/news/1"]["template"] == "/a/b/c/news/{n}"
+    assert got["http://h.org/a/b/c/ads/x1"]["template"] == "/a/b/c/ads/*" and got["http://h.org/a/b/c/news/1"]["template"] == "/a/b/c/news/{n}"
     assert got["http://h.org/a/b/c/ads/x1"]["purity"] > 0.9 and got["http://h.org/a/b/c/news/x1"]["purity"] < 0.1
     assert got[deep[0]]["template"] == "/a/b/c/d/e/*/p"
     assert got[long]["template"] == "/" + "/".join("z" * 300)
@@ -27,11 +29,34 @@ def test_variety_does_not_depend_on_the_number_of_addresses(spark):
     urls = [f"http://h.org/{n}/{i}" for n in names for i in range(10)] + [f"http://i.org/{n}/{n}{p}" for n in names for p in "abcdefghij"] + ["http://g.org/"]
     for rows in (urls, urls * 2):
         got = judged(spark, rows)
-        assert got["http://h.org/ag/3"]["template"] == "/*/{n}" and got["http://i.org/ag/aga"]["template"] == "/*/*"
+        assert got["http://h.org/ag/3"]["template"] == "/*/*" and got["http://i.org/ag/aga"]["template"] == "/*/*"
     flat = [f"http://h.org/{n}" for n in names]
     assert {r["template"] for r in judged(spark, [*flat, "http://g.org/"] * 10).values()} == {"/*", ""}
 
 
+def test_templates_without_labels_inherit_evidence(spark):
+    rules = [("block", "a.org/ads/"), ("allow", "a.org/news/")]
+    urls = [f"http://{h}.a.org/{k}/{i}" for h in "xyz" for k in ("ads", "news") for i in range(30)] + [f"http://b.net/{k}/{i}" for k in ("ads", "news", "other") for i in range(5)]
+    got = judged(spark, urls, rules)
+    assert got["http://b.net/ads/3"]["rule"] is None and got["http://b.net/ads/3"]["verdict"] == "block" and got["http://b.net/ads/3"]["purity"] > 0.8
+    assert got["http://b.net/news/3"]["verdict"] == got["http://b.net/other/3"]["verdict"] == "allow"
+    assert got["http://x.a.org/ads/1"]["template"] == "/ads/*" and got["http://b.net/ads/1"]["template"] == "/ads/{n}"
+    nothing = judged(spark, urls, [("block", "c.org/")])
+    assert {(r["verdict"], r["purity"]) for r in nothing.values()} == {("allow", 0.0)}
+
+
+def test_templates_judge_hosts_whose_labels_they_never_saw(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hidden = F.crc32("host") % 5 == 0
+    found = url_filters.judge(pages, Q.URL_RULES, learn_from=~hidden).cache()
+    rows = found.filter(hidden & F.col("rule").isNotNull()).select("verdict", "template_verdict").collect()
+    right, allowed = (sum(f(r) for r in rows) / len(rows) for f in (lambda r: r["verdict"] == r["template_verdict"], lambda r: r["verdict"] == "allow"))
+    assert len(rows) > 200 and right > 0.9 > allowed
+    free = found.filter("rule is null")
+    assert 0.05 < free.filter("verdict = 'block'").count() / free.count() < 0.5
+    assert found.filter("template like '%*%'").count() > 500
+
+
 def anchored(text):
     return [(k, text[a:b]) for k, a, b in pii.spans(text) if k in ("url", "account")]
 
