@@ -6,15 +6,19 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where intermediate tables go if the cluster names no shared folder (tests, one machine).
+#: Where intermediate tables go if no shared folder is named and all runs on one machine (tests).
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where the master is local. Raises ValueError on a cluster that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 class Table:
@@ -35,18 +39,23 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches so that each slice holds about ``limit`` characters of ``column``; nulls read as ''.
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int | str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut record batches so that each slice holds about ``limit`` bytes of the texts of ``column``; nulls read as ''.
 
-    A single longer text makes a slice of its own.
+    ``column`` is a name, or a place where names may clash. A single longer
+    text makes a slice of its own.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
-        for i, text in enumerate(texts):
-            if total and total + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, size in enumerate(sizes):
+            if total and total + size > limit:
+                yield _texts(batch.slice(start, i - start), column)
                 start, total = i, 0
-            total += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            total += size
+        if start < len(sizes):
+            yield _texts(batch.slice(start), column)
+
+
+def _texts(batch: pa.RecordBatch, column: int | str) -> tuple[pa.RecordBatch, list[str]]:
+    return batch, [t or "" for t in batch.column(column).to_pylist()]

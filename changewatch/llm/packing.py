@@ -4,9 +4,10 @@ Every piece of a document asks for three things at once: tokens, one segment,
 and loss-bearing tokens. A sequence is filled by taking, again and again, the
 waiting piece that fits and whose demand has the largest dot product with what
 is left of the sequence (both as fractions of the limits). When no piece fits,
-the longest one is cut to fill the gap, if cutting is allowed. What is left at
-the end of a partition goes to sequences of a power of two of tokens, which
-need no padding.
+the one that can give most is cut to fill the gap, if cutting is allowed. A
+sequence that the other limits leave short of tokens, and what is left at the
+end of a partition, is cut back to a power of two of tokens, which needs no
+padding.
 
 A partition packs what it reads, in one pass, holding a bounded window of
 pieces. So there is no shuffle, no group to gather, and a lost task redoes
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from changewatch.llm.common import by_bytes
 from changewatch.llm.token_counts import encoder
 
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 #: A sequence's number is its partition's number times this, plus its number there.
 PER_PARTITION = 1 << 40
 
@@ -38,12 +39,14 @@ class Limits:
     """What a sequence may hold."""
 
     tokens: int = 2048
-    segments: int = 256
-    loss: int = 2048
+    segments: int = 8
+    loss: int = 2040
     #: Pieces that wait for a place in one partition.
     window: int = 192
     #: Whether a piece may be cut to fill a gap.
     cut: bool = True
+    #: Tokens of padding up to which a sequence need not be cut back.
+    slack: int = 16
 
     def __post_init__(self):
         if min(self.tokens, self.segments, self.loss, self.window) < 1:
@@ -60,11 +63,13 @@ class Packer:
     def __init__(self, limits: Limits):
         self.limits = limits
         self.caps = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
-        self.need = np.zeros((limits.window + 2, 3))
+        self.need = np.zeros((limits.window + limits.segments, 3))
         self.pieces: list[tuple] = []
 
     def _wait(self, piece: tuple) -> None:
         n = len(self.pieces)
+        if n == len(self.need):
+            self.need = np.concatenate([self.need, np.zeros_like(self.need)])
         self.need[n] = piece[2], 1, piece[2] - piece[3]
         self.pieces.append(piece)
 
@@ -75,10 +80,9 @@ class Packer:
             self.need[i] = self.need[len(self.pieces)]
         return piece
 
-    def _fill(self, tokens: int) -> list[tuple]:
-        """One sequence of at most ``tokens``."""
+    def _fill(self) -> list[tuple]:
+        """One sequence: as many tokens as the limits allow, or a power of two of them."""
         left = self.caps.copy()
-        left[0] = tokens
         out: list[tuple] = []
         while self.pieces and left[0] >= 1 and left[1] >= 1:
             need = self.need[: len(self.pieces)]
@@ -88,24 +92,41 @@ class Packer:
             if score[i] >= 0:
                 piece = self._take(i)
             elif self.limits.cut:
-                i = int(need[:, 0].argmax())
-                key, start, length, context = self.pieces[i]
-                size = int(min(left[0], length, left[2] + context))
-                if size < 1:
+                # of each piece its first tokens may come: those without loss, and as many more as loss is left
+                sizes = np.minimum(np.minimum(left[0], need[:, 0]), left[2] + need[:, 0] - need[:, 2])
+                i = int(sizes.argmax())
+                if sizes[i] < 1:
                     break
-                piece = (key, start, size, min(context, size))
-                if size == length:
-                    self._take(i)
-                else:
-                    rest = (key, start + size, length - size, max(0, context - size))
-                    self.pieces[i] = rest
-                    self.need[i] = rest[2], 1, rest[2] - rest[3]
+                piece = self._cut(i, int(sizes[i]))
             else:
                 break
             out.append(piece)
             left -= (piece[2], 1, piece[2] - piece[3])
+        total = sum(p[2] for p in out)
+        if self.limits.cut and self.limits.tokens - total > self.limits.slack:
+            self._shorten(out, 1 << (total.bit_length() - 1))
         return out
 
+    def _cut(self, i: int, size: int) -> tuple:
+        """The first ``size`` tokens of a waiting piece; the rest waits on."""
+        key, start, length, context = self.pieces[i]
+        if size == length:
+            return self._take(i)
+        self.pieces[i] = rest = (key, start + size, length - size, max(0, context - size))
+        self.need[i] = rest[2], 1, rest[2] - rest[3]
+        return key, start, size, min(context, size)
+
+    def _shorten(self, out: list[tuple], tokens: int) -> None:
+        """Put back what exceeds ``tokens``, from the end of a sequence."""
+        over = sum(p[2] for p in out) - tokens
+        while over:
+            key, start, length, context = out.pop()
+            keep = max(0, length - over)
+            if keep:
+                out.append((key, start, keep, min(context, keep)))
+            self._wait((key, start + keep, length - keep, max(0, context - keep)))
+            over -= length - keep
+
     def put(self, key, length: int, context: int = 0) -> Iterator[list[tuple]]:
         """Add an example. Raises ValueError if it can't fit in any sequence and must not be cut."""
         lim, start = self.limits, 0
@@ -114,18 +135,19 @@ class Packer:
         while lim.cut and length - start >= lim.tokens and lim.tokens - max(0, context - start) <= lim.loss:
             yield [(key, start, lim.tokens, min(lim.tokens, max(0, context - start)))]  # as the longest demand, it would be alone
             start += lim.tokens
-        if start < length:
-            self._wait((key, start, length - start, max(0, context - start)))
-        while len(self.pieces) > lim.window:
-            yield self._fill(lim.tokens)
+        while start < length:
+            # a long text waits in pieces that a sequence can take whole
+            size = length - start
+            if lim.cut:
+                size = min(size, lim.tokens, max(0, context - start) + lim.loss)
+            self._wait((key, start, size, min(size, max(0, context - start))))
+            start += size
+            while len(self.pieces) > lim.window:
+                yield self._fill()
 
     def finish(self) -> Iterator[list[tuple]]:
         while self.pieces:
-            total = int(self.need[: len(self.pieces), 0].sum())
-            if total < self.limits.tokens and self.limits.cut:
-                yield self._fill(1 << (total.bit_length() - 1))
-            else:
-                yield self._fill(self.limits.tokens)
+            yield self._fill()
 
 
 def padded(tokens: int, limit: int) -> int:
@@ -133,10 +155,6 @@ def padded(tokens: int, limit: int) -> int:
     return tokens if tokens & (tokens - 1) == 0 else limit
 
 
-def _ids(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), *, key: str = "example_id", tokens: str = "n_tokens", context: str = "n_context") -> DataFrame:
     """Pack rows of (key, tokens, tokens that bear no loss) without their ids.
 
@@ -183,14 +201,20 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), *, key: str =
     return out.withColumnRenamed("key", key)
 
 
+def heading(text: str) -> str:
+    """The first line of a text that has others: what the rest is conditioned on, as a prompt is; else ''."""
+    head, feed, rest = text.partition("\n")
+    return head if feed and rest.strip() else ""
+
+
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), *, ranks: str | None = None, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Tokenize documents, end each with ``end_id``, and pack them.
 
     Returns per piece: doc_id, start (ids of its document before it), length,
     ids_crc32 (of its ids as little-endian unsigned 32-bit numbers), doc_tokens
     (with the end id), sequence_id, offset (in the sequence, gapless from 0),
-    loss_tokens, padded_length. A document's first id has nothing before it
-    that predicts it and bears no loss. Null text is empty and gives one id.
+    loss_tokens, padded_length. The ids of a document's heading (``heading``)
+    bear no loss, nor does its first id, which nothing before it predicts. Null text is empty and gives one id.
     Rows that repeat a doc_id are packed each for itself. Texts of any length
     are packed whole. An empty table gives an empty result. Other columns are
     not read, whatever their names.
@@ -221,11 +245,12 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), *, ran
             columns = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(x, pa.int64()) for x in columns[1:])], names=schema.names)
 
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, "_text", BATCH_BYTES):
             kind, part, out = batch.schema.field("doc_id").type, batch.column("_part")[0].as_py(), []
-            for key, parts in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids = b"".join([*map(_ids, parts), end])
-                out += rows_of(packer.put((key, ids), len(ids) // 4, 1))
+            heads = encode.lengths([heading(t) for t in texts])
+            for key, parts, head in zip(batch.column("doc_id").to_pylist(), encode(texts), heads, strict=True):
+                ids = b"".join([*(np.array(p, dtype="<u4").tobytes() for p in parts), end])
+                out += rows_of(packer.put((key, ids), len(ids) // 4, max(1, head)))
             if out:
                 yield batch_of(out)
         if out := rows_of(packer.finish()):

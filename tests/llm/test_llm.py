@@ -140,13 +140,32 @@ def test_packing(spark, odd, empty):
         rows = packing.pack_documents(odd, Q.vocabulary(), limits, ranks=Q.vocabulary(Q.RANKS)).collect()
         waste = check_packing(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], limits)
         if limits.tokens == 2048:
-            assert waste == 0
+            assert waste <= limits.slack * len({r["sequence_id"] for r in rows})
     assert packing.pack_documents(empty, Q.vocabulary()).count() == 0
 
 
 def test_packing_query(spark, documents):
     rows = Q.op1_packing(spark, SF).collect()
-    assert check_packing(rows, list(documents.items()), packing.Limits()) == 0
+    assert check_packing(rows, list(documents.items()), packing.Limits()) < 0.001 * sum(r["length"] for r in rows)
+
+
+def test_each_limit_of_packing_stops_some_sequence(spark):
+    limits = packing.Limits()
+    got = Q.op1_packing(spark, "/root/testdata/sf0.1").groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"), F.max("padded_length").alias("padded")).collect()
+    assert sum(r["tokens"] == limits.tokens and r["segments"] < limits.segments and r["loss"] < limits.loss for r in got) > 100
+    assert sum(r["loss"] == limits.loss for r in got) > 100
+    assert any(r["segments"] == limits.segments for r in got)
+    assert sum(r["padded"] - r["tokens"] for r in got) < 0.001 * sum(r["tokens"] for r in got)
+
+
+def test_packing_of_short_and_of_long_examples_alone():
+    for sizes in ([3] * 1000, [5000] * 40, [1] * 500 + [7000] * 3, [2041] * 50):
+        packer = packing.Packer(packing.Limits())
+        done = [seq for i, n in enumerate(sizes) for seq in packer.put(i, n, 1)] + list(packer.finish())
+        assert sum(p[2] for seq in done for p in seq) == sum(sizes)
+        assert all(len(seq) <= 8 and sum(p[2] - p[3] for p in seq) <= 2040 for seq in done)
+        totals = [sum(p[2] for p in seq) for seq in done]
+        assert all(2048 - 16 <= t <= 2048 or t & (t - 1) == 0 for t in totals)
 
 
 def test_packing_whole_examples_within_all_limits(spark):
