@@ -560,6 +560,16 @@ def test_escapes(text):
     assert chat_format.unescape_role(chat_format.escape_role(text)) == text and "\n" not in chat_format.escape_role(text)
 
 
+def plain_examples(turns):
+    """Every assistant turn with all before it, and the rest if turns follow the last: (text, trained)."""
+    text, out = "", []
+    for i, (*_, role, body) in enumerate(turns):
+        text += f"<|im_start|>{chat_format.escape_role(role)}\n{chat_format.escape(body)}<|im_end|>\n"
+        if role == "assistant" or i == len(turns) - 1:
+            out.append((text, body if role == "assistant" else None))
+    return out
+
+
 def check_chats(got, rows):
     chats = defaultdict(list)
     for c, n, r, t in rows:
@@ -569,6 +579,7 @@ def check_chats(got, rows):
         turns = sorted(chats[r["conv_id"]])
         assert r["n_turns"] == len(turns)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for *_, a, b in turns).encode()).hexdigest()
+        assert r["formatted_chars"] == sum(len(x) for x, _ in plain_examples(turns))
         loss = "".join(b for *_, a, b in turns if a == "assistant")
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
@@ -585,6 +596,12 @@ def test_chats(spark):
     assert first["text"] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\none<|im_end|>\n"
     assert second["text"].startswith(first["text"]) and second["text"][second["loss_start"] : second["loss_end"]] == "two"
     assert {(r["conv_id"], r["example_no"]): (r["length"], r["loss_start"], r["loss_end"]) for r in chat_format.examples(formatted).collect()} == {k: (len(r["text"]), r["loss_start"], r["loss_end"]) for k, r in texts.items()}
+    chats = defaultdict(list)
+    for c, n, r, x in ODD_CHAT:
+        chats[c].append((n is not None, n or 0, r or "", x or ""))
+    want = {(c, i): (x, y) for c, turns in chats.items() for i, (x, y) in enumerate(plain_examples(sorted(turns)))}
+    assert {k: (r["text"], None if r["loss_start"] is None else chat_format.unescape(r["text"][r["loss_start"] : r["loss_end"]])) for k, r in texts.items()} == want
+    assert {(r["conv_id"], r["example_no"]): r["last_start"] + len(r["last_turn"]) for r in chat_format.examples(formatted).collect()} == {k: len(x) for k, (x, _) in want.items()}
     assert chat_format.read_back(chat_format.format_turns(t.limit(0))).count() == 0
 
 
