@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where intermediate tables go if no shared folder is named and all runs on one machine (tests).
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -16,7 +18,7 @@ FALLBACK_DIR = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where the master is local. Raises ValueError on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
@@ -39,6 +41,11 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(docs: DataFrame, keep: Sequence[str], column: str) -> DataFrame:
+    """The columns ``keep``, then ``column``, under names of their own (k0, k1, ..., value), so that no two clash."""
+    return docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col(f"`{column}`").alias("value"))
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: int | str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches so that each slice holds about ``limit`` bytes of the texts of ``column``; nulls read as ''.
 

@@ -16,12 +16,11 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changewatch.llm.common import by_bytes
+from changewatch.llm.common import beside, by_bytes
 
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 UNIT = 64
 RATE = 8000
 #: Bytes of a packet, packets of a block, blocks of a cluster.
@@ -29,7 +28,7 @@ FRAME, LACED, BLOCKS = 512, 8, 8
 
 # fixed values: element ids of the format
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_TRACK = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
-SCALE, DURATION, TIMESTAMP, SIMPLE, BLOCK, NUMBER, CODEC, CUE_TIME, CUE_POSITION, CUE_ON = 0x2AD7B1, 0x4489, 0xE7, 0xA3, 0xA1, 0xD7, 0x86, 0xB3, 0xF1, 0xF7
+SCALE, DURATION, TIMESTAMP, SIMPLE, BLOCK, NUMBER, EACH, CODEC, CUE_TIME, CUE_POSITION, CUE_ON = 0x2AD7B1, 0x4489, 0xE7, 0xA3, 0xA1, 0xD7, 0x23E383, 0x86, 0xB3, 0xF1, 0xF7
 _PARENTS = frozenset((SEGMENT, INFO, TRACKS, TRACK, CLUSTER, GROUP, CUES, CUE, CUE_TRACK))
 _TOP = frozenset((INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1941A469, 0x1043A770))
 
@@ -76,7 +75,7 @@ def lace(frames: list[bytes], track: int, time: int, kind: str | None = None) ->
 
 
 _HEADER = _element(EBML, _element(0x4286, b"\1") + _element(0x42F7, b"\1") + _element(0x42F2, b"\4") + _element(0x42F3, b"\x08") + _element(0x4282, b"matroska") + _element(0x4287, b"\4") + _element(0x4285, b"\2"))
-_TRACKS = _element(TRACKS, _element(TRACK, _element(NUMBER, b"\1") + _element(0x73C5, b"\1") + _element(0x83, b"\2") + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(0xB5, struct.pack(">f", RATE)) + _element(0x9F, b"\1") + _element(0x6264, b"\x08"))))
+_TRACKS = _element(TRACKS, _element(TRACK, _element(NUMBER, b"\1") + _element(0x73C5, b"\1") + _element(0x83, b"\2") + _element(EACH, _number(FRAME * 1_000_000_000 // RATE)) + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(0xB5, struct.pack(">f", RATE)) + _element(0x9F, b"\1") + _element(0x6264, b"\x08"))))
 
 
 def write(payload: bytes) -> bytes:
@@ -169,15 +168,16 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[
 
 
 def packets(data: bytes) -> Media:
-    """The packet table of a Matroska file; raises Broken. Laced frames share their block's timestamp."""
+    """The packet table of a Matroska file; raises Broken. Frames of a lace follow each other by their track's default duration; without one they share their block's timestamp."""
     out = Media([], [], {}, [], 0, 0.0)
-    scale, duration, time, base, track, codec, cue, cue_on = 1_000_000, 0.0, 0, 0, 0, "", 0, 0
+    scale, duration, time, base, track, each, codec, cue, cue_on = 1_000_000, 0.0, 0, 0, 0, 0, "", 0, 0
+    lasts: dict[int, int] = {}  # nanoseconds of a frame by track
     stack = [(0, len(data))]  # (id, end); an end of -1 is unknown
     at = 0
     while True:
         while len(stack) > 1 and at == stack[-1][1]:
             if stack.pop()[0] == TRACK:
-                out.tracks[track] = codec
+                out.tracks[track], lasts[track], each, codec = codec, each, 0, ""
         if at == len(data):
             break
         end = next(e for _, e in reversed(stack) if e >= 0)
@@ -203,12 +203,13 @@ def packets(data: bytes) -> Media:
             continue
         if kind in (SIMPLE, BLOCK):
             number, rel, key, ranges = _frames(data, at, stop)
-            out.packets.extend(Packet(number, time + rel, key or kind == BLOCK, a, b) for a, b in ranges)
+            last = lasts.get(number, 0)
+            out.packets.extend(Packet(number, time + rel + (k * last + scale // 2) // max(1, scale), key or kind == BLOCK, a, b) for k, (a, b) in enumerate(ranges))
         elif kind == DURATION:
             duration = struct.unpack(">f" if size == 4 else ">d", data[at:stop])[0] if size in (4, 8) else 0.0
         elif kind == CODEC:
             codec = data[at:stop].decode("ascii", "replace")
-        elif kind in (TIMESTAMP, SCALE, NUMBER, CUE_TIME, CUE_ON, CUE_POSITION):
+        elif kind in (TIMESTAMP, SCALE, NUMBER, EACH, CUE_TIME, CUE_ON, CUE_POSITION):
             n = int.from_bytes(data[at:stop], "big")
             if kind == TIMESTAMP:
                 time = n
@@ -216,6 +217,8 @@ def packets(data: bytes) -> Media:
                 scale = n
             elif kind == NUMBER:
                 track = n
+            elif kind == EACH:
+                each = n
             elif kind == CUE_TIME:
                 cue = n
             elif kind == CUE_ON:
@@ -232,11 +235,11 @@ def to_media(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("d
     A null text is empty (64 zero bytes). Repeated rows each get their file;
     an empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = beside(docs, keep, text)
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, len(keep), BATCH_BYTES):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             files = [write(r + bytes(-len(r) % UNIT if r else UNIT)) for r in raw]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=schema.names)
@@ -246,12 +249,12 @@ def to_media(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("d
 
 def packet_table(files: DataFrame, *, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each packet: ``keep``, packet_no, track, timestamp, is_key, start_byte, end_byte. Null or broken media have no packets."""
-    rows = files.select(*keep, F.col(media).alias("_media"))
+    rows = beside(files, keep, media)
     schema = T.StructType([*files.select(*keep).schema.fields, *(T.StructField(n, T.LongType()) for n in ("packet_no", "track", "timestamp")), T.StructField("is_key", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("start_byte", "end_byte"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column("_media")):
+            for i, data in enumerate(batch.column(len(keep))):
                 try:
                     table = packets(data.as_py() or b"").packets
                 except Broken:
@@ -272,7 +275,7 @@ def digests(files: DataFrame, *, media: str = "media", keep: tuple[str, ...] = (
     hundredths. Null media count as no bytes; broken media have the feature
     'broken' and an empty payload.
     """
-    rows = files.select(*keep, F.col(media).alias("_media"))
+    rows = beside(files, keep, media)
     schema = T.StructType([*files.select(*keep).schema.fields, T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
 
     def one(data: bytes) -> tuple:
@@ -288,7 +291,7 @@ def digests(files: DataFrame, *, media: str = "media", keep: tuple[str, ...] = (
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(zip(*(one(x.as_py() or b"") for x in batch.column("_media")), strict=True)) if batch.num_rows else [()] * 6
+            made = list(zip(*(one(x.as_py() or b"") for x in batch.column(len(keep))), strict=True)) if batch.num_rows else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=schema.names)
 

@@ -81,6 +81,11 @@ def expected(most: int) -> Column:
     return F.when(F.col("source_size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), e))).otherwise(F.lit(0.0))
 
 
+def _key() -> Column:
+    """A document's id as a string of its own for each id, and for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+
+
 def _drawn(docs: DataFrame, of_source: DataFrame, most: int, salt: str) -> DataFrame:
     """``docs`` (source, doc_id, size) with its source's numbers, sure (whole copies), p and z, the Pareto rank from 0 to 1."""
     of_source = of_source.withColumnRenamed("source", "_source")
@@ -94,12 +99,14 @@ def _drawn(docs: DataFrame, of_source: DataFrame, most: int, salt: str) -> DataF
 def plan(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, salt: str = ":mix") -> DataFrame:
     """One row a source: source, source_size, tilt, target, and where its sample ends (cut_z, cut_id, cut_size, and the closing document's close_id, close_size).
 
-    ``sizes`` has doc_id, source and size, and is read several times. A null
-    doc_id has the rank of the id 'null'. Rows of equal rank, id and size are
-    taken together.
+    ``sizes`` has doc_id (of any type that casts to string), source and size,
+    and is read several times. A null doc_id has the rank of the id 'null'.
+    Rows of equal rank, id and size are taken together.
     """
-    base = Table(shares(sizes, weights, most), "shares").df
-    drawn = Table(_drawn(sizes.select("doc_id", "source", "size"), base, most, salt).select("doc_id", "source", "size", "sure", "z", "target"), "drawn").df
+    base_table = Table(shares(sizes, weights, most), "shares")
+    base = base_table.df
+    drawn_table = Table(_drawn(sizes.select("doc_id", "source", "size"), base, most, salt).select("doc_id", "source", "size", "sure", "z", "target"), "drawn")
+    drawn = drawn_table.df
     level = F.least(F.lit(CLASSES - 1), F.floor(F.col("z") * CLASSES)).cast("int")
     by_level = drawn.groupBy("source", level.alias("level")).agg(F.sum("size").alias("words"), F.sum(F.col("sure") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     # at most CLASSES + 1 rows for each source
@@ -110,37 +117,42 @@ def plan(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, sa
     t = t.filter("level is not null").withColumn("before", F.col("upto") - F.col("words"))
     # the first class that the room does not hold whole
     edge = t.filter(F.col("upto") > F.col("room")).groupBy("source").agg(F.min(F.struct("level", "before", "room")).alias("e")).select(F.col("source").alias("_source"), F.col("e.level").alias("level"), F.col("e.before").alias("before"), F.col("e.room").alias("room"))
-    edge = Table(edge, "edge").df
+    edge_table = Table(edge, "edge")
+    edge = edge_table.df
     inner = drawn.filter("z is not null").withColumn("_level", level).join(edge, drawn["source"].eqNullSafe(edge["_source"])).drop("_source")
     # rows of one rank class of each source; those of equal rank, id and size count together
     at_edge = inner.filter("_level = level").groupBy("source", "z", "doc_id", "size").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("room").alias("room"))
-    upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("z", F.col("doc_id").asc_nulls_first(), "size"))
+    upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("z", _key(), "size"))
     fits = at_edge.withColumn("upto", upto).filter(F.col("upto") <= F.col("room"))
-    last = fits.groupBy("source").agg(F.max(F.struct("z", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "size", "upto")).alias("c")).withColumnRenamed("source", "_s")
-    cut = Table(edge.join(last, edge["_source"].eqNullSafe(last["_s"]), "left").select("_source", F.coalesce("c.z", F.col("level") / F.lit(float(CLASSES)) - F.lit(1e-12)).alias("cut_z"), F.coalesce("c.doc_id", F.lit(-2)).alias("cut_id"), F.coalesce("c.size", F.lit(-1)).alias("cut_size"), (F.col("room") - F.coalesce("c.upto", F.col("before"))).alias("gap")), "cut").df
+    last = fits.groupBy("source").agg(F.max(F.struct("z", _key().alias("doc_id"), "size", "upto")).alias("c")).withColumnRenamed("source", "_s")
+    cut_table = Table(edge.join(last, edge["_source"].eqNullSafe(last["_s"]), "left").select("_source", F.coalesce("c.z", F.col("level") / F.lit(float(CLASSES)) - F.lit(1e-12)).alias("cut_z"), F.coalesce("c.doc_id", F.lit("")).alias("cut_id"), F.coalesce("c.size", F.lit(-1)).alias("cut_size"), (F.col("room") - F.coalesce("c.upto", F.col("before"))).alias("gap")), "cut")
+    cut = cut_table.df
     rest = drawn.filter("z is not null").join(cut, drawn["source"].eqNullSafe(cut["_source"])).filter(~_inside())
     miss = F.abs(F.col("size") - F.col("gap"))
-    close = rest.filter(miss < F.col("gap")).groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), "z", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "size")).alias("c")).select(F.col("_source").alias("_s"), F.col("c.doc_id").alias("close_id"), F.col("c.size").alias("close_size"))
+    close = rest.filter(miss < F.col("gap")).groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), "z", _key().alias("doc_id"), "size")).alias("c")).select(F.col("_source").alias("_s"), F.col("c.doc_id").alias("close_id"), F.col("c.size").alias("close_size"))
     out = base.join(cut.drop("gap"), base["source"].eqNullSafe(cut["_source"]), "left")
-    return Table(out.join(close, out["source"].eqNullSafe(close["_s"]), "left").drop("_source", "_s"), "plan").df
+    planned = Table(out.join(close, out["source"].eqNullSafe(close["_s"]), "left").drop("_source", "_s"), "plan").df
+    for t in (base_table, drawn_table, edge_table, cut_table):
+        t.drop()
+    return planned
 
 
 def _inside() -> Column:
     """Whether a row's rank is at or before its source's cut; a source without a cut takes all."""
-    i = F.coalesce(F.col("doc_id"), F.lit(-1))
+    i = _key()
     return (F.col("z") < F.col("cut_z")) | ((F.col("z") == F.col("cut_z")) & ((i < F.col("cut_id")) | ((i == F.col("cut_id")) & (F.col("size") <= F.col("cut_size")))))
 
 
 def copies(docs: DataFrame, planned: DataFrame, most: int = 3, salt: str = ":mix") -> DataFrame:
     """``docs`` (doc_id, source, size and more) with source_size, target and copies (long, 0 to ``most``)."""
     t = _drawn(docs, planned, most, salt)
-    closing = (F.coalesce("doc_id", F.lit(-1)) == F.col("close_id")) & (F.col("size") == F.col("close_size"))
+    closing = (_key() == F.col("close_id")) & (F.col("size") == F.col("close_size"))
     picked = F.col("z").isNotNull() & (F.col("cut_z").isNull() | _inside() | F.coalesce(closing, F.lit(False)))
     return t.withColumn("copies", F.col("sure") + F.coalesce(picked, F.lit(False)).cast("long")).drop("sure", "p", "z", "tilt", "cut_z", "cut_id", "cut_size", "close_id", "close_size")
 
 
 def sizes_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, salt: str = ":mix", **names: str) -> DataFrame:
@@ -163,6 +175,6 @@ def resample(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
     sizes = Table(sizes_of(docs), "sizes").df
     planned = plan(sizes, weights, most, salt)
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    keyed = kept.select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.source").alias("source"), n_words(F.col("_row.text")).alias("size"))
+    keyed = kept.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), n_words(F.col("_row.text")).alias("size"))
     out = copies(keyed, planned, most, salt).filter("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from changewatch.llm.common import Table, by_bytes
 
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 _BLOCK = 4096
 _LEVELS = 8
 _TABLE = 4096
@@ -217,7 +217,7 @@ def document_frequencies(docs: DataFrame, params: Params) -> tuple[np.ndarray, i
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(params.buckets, np.int64), 0
-        for batch, texts in by_bytes(batches, "text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, "text", BATCH_BYTES):
             n += len(texts)
             mine = [shingles(t, params.words)[0] for t in texts]
             total += np.bincount((np.concatenate(mine) & np.uint64(params.buckets - 1)).astype(np.int64), minlength=params.buckets)
@@ -257,7 +257,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
         import hashlib
 
         sampler = Sampler(weights)
-        for batch, texts in by_bytes(batches, "text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, "text", BATCH_BYTES):
             nodes, keys = [], []
             for t in texts:
                 h, c = shingles(t, weights.params.words)
@@ -281,7 +281,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
-        for batch, left in by_bytes(batches, "text_a", BATCH_CHARS):
+        for batch, left in by_bytes(batches, "text_a", BATCH_BYTES):
             right, out = [t or "" for t in batch.column("text_b").to_pylist()], []
             for a, b in zip(left, right, strict=True):
                 if b != last:  # a leader's rows often follow each other
@@ -496,6 +496,7 @@ def deduplicate(docs: DataFrame, params: Params = Params(), *, text: str = "text
     found = classes(docs, params, text=text, doc_id=doc_id)
     first = found.groupBy("class_key").agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("id"), "text_hash")).alias("one"))
     kept = Table(first.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash")), "kept").df
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    left = hashed.join(kept, hashed[doc_id].eqNullSafe(kept["_id"]) & (hashed["_text_hash"] == kept["_hash"]), "left_semi")
-    return left.dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+    # rows whole in one column: theirs may have any names
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash"))
+    left = packed.join(kept, packed["id"].eqNullSafe(kept["_id"]) & (packed["text_hash"] == kept["_hash"]), "left_semi")
+    return left.dropDuplicates(["id", "text_hash"]).select("row.*")

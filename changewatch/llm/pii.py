@@ -8,10 +8,12 @@ a span or nothing. Texts without an anchor are left at once.
 Spans are (kind, start, end) in code points, the end exclusive. Base kinds are
 email, ip, card and phone, each equal to a leftmost non-overlapping search for
 its pattern of which failing matches are dropped. The anchors add url (a
-scheme with user information, or an address with a query that names a person)
-and account (a cue, then what it announces: an IBAN of its country's length
-and check digits, an SSN of 3-2-4 digits, else one token of six characters or
-more with digits, or groups of digits).
+scheme with user information, or an address with a query that names a person),
+account (a cue, then what it announces: an IBAN of its country's length and
+check digits, an SSN of 3-2-4 digits, else one token of six characters or more
+with digits, or groups of digits) and secret (a cue such as token, key or
+password, a sign of assignment, then a value that is no word; or a key by the
+prefix that its issuer gives it).
 """
 
 from __future__ import annotations
@@ -24,14 +26,13 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changewatch.llm.common import by_bytes
+from changewatch.llm.common import beside, by_bytes
 
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "secret")
 
 # fixed values: the base patterns' parts
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +48,14 @@ _ADDRESS = re.compile(r"://[^\s#<>\"]+")
 #: A parameter of a query that names a person, and the first character of its value.
 _NAMED = re.compile(r"[?&;](?:(?:e-?|user_?)?mail|(?:first|last|full|given|family|user|sur|customer)?[_-]?name|user|login|phone|mobile|tel|ssn|passport|iban|account|(?:user|customer|tax|account)[_-]?(?:id|no|number))=[^&;]", re.IGNORECASE | re.ASCII)
 _CUES = ("iban", "ssn", "passport", "account no", "account number", "acct", "customer id", "tax id")
+_SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "auth key", "auth_key", "bearer")
+_PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_")
+_ASSIGNED = re.compile(r"[\"']?[ \t]{0,3}(?:=>|[:=]{1,2}|(?i:is)(?=[ \t]))[ \t]{0,3}[\"'`]?")
+#: After this cue alone a value may follow without a sign.
+_BARE = re.compile(r"[ \t]{1,3}")
+_VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}", re.ASCII)
+_PASSWORD = re.compile(r"[^\s\"'`<>]{6,128}")
+_KEY = re.compile(r"[A-Za-z0-9_-]{12,}", re.ASCII)
 _AFTER_CUE = re.compile(r"\.?[ \t]{0,3}(?:(?i:no\.?|number|id|is)(?![A-Za-z0-9]))?[ \t]{0,3}[:=#]?[ \t]{0,3}")
 _END = r"(?![A-Za-z0-9])"
 _SSN = re.compile(rf"[0-9]{{3}}([ -]?)[0-9]{{2}}\1[0-9]{{4}}{_END}")
@@ -71,7 +80,7 @@ Span = tuple[str, int, int]
 @functools.cache
 def _automaton():
     found = ahocorasick.Automaton()
-    for kind, words in (("at", "@"), ("scheme", ("://",)), ("plus", "+"), ("digit", "0123456789"), ("cue", _CUES)):
+    for kind, words in (("at", "@"), ("scheme", ("://",)), ("plus", "+"), ("digit", "0123456789"), ("cue", _CUES), ("secret", _SECRET_CUES), ("prefix", _PREFIXES)):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -147,10 +156,25 @@ def _account(text: str, cue: str, after: int) -> tuple[int, int] | None:
     return (at, m.end()) if m and 6 <= sum(c not in " -" for c in m.group()) <= 38 else None
 
 
+def _secret(text: str, cue: str, after: int) -> tuple[int, int] | None:
+    """The value that a cue announces: one token of 12 characters or more with a digit; after a password's cue 6 or more with a digit or a sign."""
+    m = _ASSIGNED.match(text, after) or (_BARE.match(text, after) if cue == "bearer" else None)
+    if not m:
+        return None
+    secret = cue in ("password", "passwd", "pwd")
+    found = (_PASSWORD if secret else _VALUE).match(text, m.end())
+    if not found:
+        return None
+    value = found.group().rstrip(".,;" if secret else ".,;:!?)]}")
+    if len(value) < (6 if secret else 12) or not any(c.isdigit() or (secret and c in "!@#$%^&*") for c in value):
+        return None
+    return m.end(), m.end() + len(value)
+
+
 def spans(text: str) -> list[Span]:
     """All spans of a whole text, by start, then by kind as in ``KINDS``."""
     out: list[Span] = []
-    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "run", "query"), 0)
+    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "secret", "run", "query"), 0)
     for last, (kind, size) in _automaton().iter(_lowered(text)):
         at = last - size + 1
         if kind == "digit":
@@ -181,6 +205,15 @@ def spans(text: str) -> list[Span]:
             if at >= past["url"] and (got := _url(text, at, past)):
                 past["url"] = got[1]
                 out.append(("url", *got))
+        elif kind == "secret":
+            # an underscore may stand before it, as in the names of settings
+            if at >= past["secret"] and not (at and _LETTERS.match(text, at - 1)) and (got := _secret(text, text[at : last + 1].lower(), last + 1)):
+                past["secret"] = got[1]
+                out.append(("secret", *got))
+        elif kind == "prefix":
+            if at >= past["secret"] and not (at and _WORD.match(text, at - 1)) and (m := _KEY.match(text, at)) and len(m.group()) >= 20 and any(map(str.isdigit, m.group())):
+                past["secret"] = m.end()
+                out.append(("secret", at, m.end()))
         elif at >= past["account"] and not (at and _WORD.match(text, at - 1)):
             if got := _account(text, text[at : last + 1].lower(), last + 1):
                 past["account"] = got[1]
@@ -215,11 +248,11 @@ def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     Whole texts of any length are searched; repeated rows each get their
     spans; an empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = beside(docs, keep, text)
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, len(keep), BATCH_BYTES):
             found = [spans(t) for t in texts]
             counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
             digests = [hashlib.sha256(joined([s for s in f if s[0] in BASE]).encode()).hexdigest() for f in found]
@@ -233,7 +266,7 @@ def mask(docs: DataFrame, *, text: str = "text") -> DataFrame:
     schema, at = docs.schema, docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in by_bytes(batches, text, BATCH_CHARS):
+        for batch, _ in by_bytes(batches, at, BATCH_BYTES):
             new = [None if t is None else masked(t, f) if (f := spans(t)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 

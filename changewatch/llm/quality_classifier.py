@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changewatch.llm.common import by_bytes
+from changewatch.llm.common import beside, by_bytes
 
 KINDS = 3
-#: Characters of text whose features are held at a time.
-BATCH_CHARS = 400_000
+#: Bytes of text whose features are held at a time.
+BATCH_BYTES = 400_000
 
 
 @dataclass(frozen=True)
@@ -153,27 +153,32 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], params: Params) -> M
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), *, label: str = "quality", text: str = "text", key: str = "doc_id") -> Model:
     """Fit on documents joined with 0/1 ``labels``: of each class at most ``params.per_class``, those whose key hashes lowest.
 
-    Only the sampled documents' features reach the driver, at most 1.5 MB for
-    each. Labels that are null or neither 0 nor 1 are not used, nor are those
-    of keys that no document has; null texts are empty. If a key comes more
-    than once, each row of it counts. With no labels every score is one half.
+    Only the sampled documents' features reach the driver, at most 2 *
+    ``per_class`` of at most 0.5 MB. Labels that are null or neither 0 nor 1
+    are not used, nor are those of keys that no document has; null texts are
+    empty. If a key comes more than once, each different text of it counts,
+    within the same bound. With no labels every score is one half.
     """
     hashed = F.xxhash64(F.col("_key"), F.lit(params.seed))
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_key").isNotNull())
-    chosen = None
-    for y in (0, 1):
-        part = known.filter(F.col("_y") == y).orderBy(hashed, "_key").limit(params.per_class)
-        chosen = part if chosen is None else chosen.union(part)
+
+    def lowest(df: DataFrame, *ties: str) -> DataFrame:
+        parts = [df.filter(F.col("_y") == y).orderBy(hashed, "_key", *ties).limit(params.per_class) for y in (0, 1)]
+        return parts[0].union(parts[1])
+
     # bounded: 2 * per_class rows of two numbers
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    chosen = lowest(known)
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
+    # rows that repeat are one, and others of the same key are within the bound too
+    rows = lowest(rows.groupBy("_key", "_y", F.xxhash64("_text").alias("_th")).agg(F.first("_text").alias("_text")), "_th")
 
     def featurize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, "_text", BATCH_BYTES):
             made = [(i.tobytes(), w.tobytes()) for i, w in vectors(texts, params)]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_y"), pa.array([i for i, _ in made], pa.binary()), pa.array([w for _, w in made], pa.binary())], names=["_key", "_y", "ids", "weights"])
 
     schema = rows.select("_key", "_y").schema.add("ids", "binary").add("weights", "binary")
-    got = rows.mapInArrow(featurize, schema).toArrow().to_pydict()
+    got = rows.select("_key", "_y", "_text").mapInArrow(featurize, schema).toArrow().to_pydict()
     order = sorted(range(len(got["_key"])), key=lambda i: (got["_key"][i], got["ids"][i]))
     return fit([(np.frombuffer(got["ids"][i], np.uint32), np.frombuffer(got["weights"][i], np.float32), got["_y"][i]) for i in order], params)
 
@@ -184,14 +189,26 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
     Whole texts are scored, of any length; null is empty, and an empty text has
     the model's bias for its score. Every row, repeated ones too, gets its
     own; an empty table gives an empty result; other columns are not read
-    unless kept. ``keep`` must not name score, predicted or _text.
+    unless kept. A kept column may have any name but score and predicted;
+    ``likely`` keeps whole rows whatever their names.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = beside(docs, keep, text)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, len(keep), BATCH_BYTES):
             s = model.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def likely(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``: same columns and types, whatever their names."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches, at, BATCH_BYTES):
+            yield batch.filter(pa.array(model.scores(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

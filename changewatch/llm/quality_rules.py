@@ -1,9 +1,11 @@
 """Quality rules with host verdicts.
 
 Each document is measured by itself (``base_features``). Then the failures of
-its rules are counted by host, each host's failure rate is shrunk towards the
-corpus by a beta prior fitted to all hosts, and hosts whose shrunken rate is
-too high are rejected with all their documents.
+its rules are counted by host, and each host's failure rate is shrunk towards
+the corpus by a beta prior fitted to all hosts. A host whose shrunken rate is
+too high is *rejected* with all its documents; one whose rate is above the
+corpus's is *doubted*: of its documents those that fail a soft rule go too,
+which a host without a record is forgiven.
 
 The host table is aggregated before it is shuffled (a host of any size comes
 to one row a task) and joined back; Spark broadcasts it only if it measures
@@ -20,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changewatch.llm.common import Table, by_bytes
+from changewatch.llm.common import Table, beside, by_bytes
 
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b"\t\n\x0b\x0c\r "
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -60,11 +62,11 @@ def measure(text: str) -> tuple[int, int, int, int, int]:
 
 def base_features(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The columns ``keep`` with the five features (long), a row for each row; a null text is empty: all 0."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = beside(docs, keep, text)
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(n, T.LongType()) for n in FEATURES])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_text", BATCH_CHARS):
+        for batch, texts in by_bytes(batches, len(keep), BATCH_BYTES):
             made = list(zip(*map(measure, texts), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in made)], names=schema.names)
 
@@ -75,19 +77,25 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def soft_failed() -> Column:
+    """Symbols for more than a tenth of the characters, a fifth of the words in repeats, or a repeated line for every twenty words."""
+    return (10 * F.col("n_symbols") > F.col("word_chars")) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")) | (20 * F.col("n_dup_lines") > F.col("n_words"))
+
+
 def rule_failed() -> Column:
-    """What counts against a host: a base failure, or symbols for more than a tenth of its characters."""
-    return base_failed() | (10 * F.col("n_symbols") > F.col("word_chars"))
+    """What counts against a host: a base failure or a soft one."""
+    return base_failed() | soft_failed()
 
 
 def host_rates(failures: DataFrame, *, host: str = "source") -> DataFrame:
-    """(host, n, failed, rate): each host's failure rate under a beta prior fitted by moments to all hosts.
+    """(host, n, failed, rate, above): each host's failure rate under a beta prior fitted by moments to all hosts.
 
     ``failures`` has the host and a boolean ``failed``. With m the mean of the
     hosts' rates weighted by documents and s2 their weighted variance less
     what sampling alone gives, the prior has mean m and m * (1 - m) / s2 - 1
     pseudo-documents, held between 1 and 1000 (1000 where hosts differ no more
-    than by chance). A null host is a host; a null ``failed`` counts as false.
+    than by chance). above: whether the rate is above the prior's mean, compared
+    in whole numbers. A null host is a host; a null ``failed`` counts as false.
     """
     hosts = failures.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("failed"), F.lit(False)).cast("long")).alias("failed"))
     r = F.col("failed") / F.col("n")
@@ -98,20 +106,27 @@ def host_rates(failures: DataFrame, *, host: str = "source") -> DataFrame:
     m = F.col("_f") / F.col("_n")
     spread = F.col("_sq") / F.col("_n") - m * m - m * (1 - m) * (F.col("_k") - 1) / F.col("_n")
     weight = F.when(spread > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / spread - 1))).otherwise(F.lit(1000.0))
-    return hosts.crossJoin(F.broadcast(whole.select(m.alias("_m"), weight.alias("_w")))).select(host, "n", "failed", ((F.col("failed") + F.col("_m") * F.col("_w")) / (F.col("n") + F.col("_w"))).alias("rate"))
+    exact = lambda a, b: F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
+    return hosts.crossJoin(F.broadcast(whole.select("_n", "_f", m.alias("_m"), weight.alias("_w")))).select(host, "n", "failed", (exact("failed", "_n") > exact("_f", "n")).alias("above"), ((F.col("failed") + F.col("_m") * F.col("_w")) / (F.col("n") + F.col("_w"))).alias("rate"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", key: str = "doc_id", host: str = "source", reject_above: float = 0.6) -> DataFrame:
-    """key, host, the features, base_failed, host_rate and kept, a row for each row of ``docs``.
-
-    kept is false if the document fails a base rule or its host's shrunken
-    failure rate exceeds ``reject_above``. Null texts are empty and fail; rows
-    of a null host are one host; repeated rows each count. An empty table
-    gives an empty result. Other columns are not read.
+    """key, host, the features, base_failed, host_rate, host_verdict and kept, a row for each row of ``docs``.
+
+    host_verdict is reject (its shrunken failure rate exceeds
+    ``reject_above``), doubt (above the corpus's) or accept. kept is false if
+    the document fails a base rule, its host is rejected, or its host is
+    doubted and it fails a soft rule. Null texts are empty and fail; rows of a
+    null host are one host; repeated rows each count. An empty table gives an
+    empty result. Other columns are not read.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text"))
     # both the host counts and the result read the features: written once, they are narrow
     features = Table(base_features(rows), "features").df.withColumns({"base_failed": base_failed(), "failed": rule_failed()})
-    rates = host_rates(features.select("source", "failed")).select(F.coalesce("source", F.lit("")).alias("_host"), F.col("source").isNull().alias("_none"), F.col("rate").alias("host_rate"))
-    joined = features.drop("failed").join(rates, (F.coalesce(features["source"], F.lit("")) == rates["_host"]) & (features["source"].isNull() == rates["_none"]), "left")
-    return joined.drop("_host", "_none").withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= reject_above))
+    rates = host_rates(features.select("source", "failed"))
+    verdict = F.when(F.col("rate") > reject_above, "reject").when(F.col("above"), "doubt").otherwise("accept")
+    rates = rates.select(F.coalesce("source", F.lit("")).alias("_host"), F.col("source").isNull().alias("_none"), F.col("rate").alias("host_rate"), verdict.alias("host_verdict"))
+    joined = features.join(rates, (F.coalesce(features["source"], F.lit("")) == rates["_host"]) & (features["source"].isNull() == rates["_none"]), "left")
+    kept = ~F.col("base_failed") & (F.col("host_verdict") != "reject") & ~((F.col("host_verdict") == "doubt") & F.col("failed"))
+    out = joined.withColumn("kept", kept).drop("_host", "_none", "failed")
+    return out.withColumnsRenamed({"doc_id": key, "source": host})

@@ -21,9 +21,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from changewatch.llm.common import by_bytes
+from changewatch.llm.common import beside, by_bytes
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\W_])")
 _WORD_GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -139,12 +138,12 @@ def token_counts(docs: DataFrame, path: str, ranks: str | None = None, *, text:
     counted whole. Repeated rows are each counted; an empty table gives an
     empty result; other columns are not read, whatever their names.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text"))  # the last column, whatever the others' names
+    rows = beside(docs, keep, text)
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, ranks)
-        for batch, texts in by_bytes(batches, "_text", BATCH_BYTES):
+        for batch, texts in by_bytes(batches, len(keep), BATCH_BYTES):
             tokens = encode.lengths(texts)
             *kept, text_column = batch.columns
             n_bytes = pc.fill_null(pc.binary_length(text_column), 0).cast(pa.int64())

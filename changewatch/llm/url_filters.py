@@ -79,13 +79,13 @@ def shape_of(path: Column) -> Column:
     return F.transform(seg, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]{8,}", "{h}"), r"[0-9]+", "{n}"))
 
 
-def templates(shapes: DataFrame, params: Params) -> DataFrame:
+def templates(shapes: DataFrame, params: Params, tables: list[Table]) -> DataFrame:
     """``shapes`` (host, shape, paths, labelled, blocked) with the template of each: the tree's nodes, from the root down.
 
     ``paths`` is the number of distinct addresses of a shape; how often each
     occurs plays no part. A node with fewer than ``many`` addresses has no
     wildcard below it, so its shapes get the rest of their segments at once,
-    and one long path costs no levels.
+    and one long path costs no levels. What it writes is added to ``tables``.
     """
     rest = F.array_join(F.slice("shape", F.col("_d") + 1, F.size("shape")), "/")
     t, done, d = shapes.withColumn("template", F.lit("")), [], 0
@@ -104,20 +104,23 @@ def templates(shapes: DataFrame, params: Params) -> DataFrame:
         goes_on = F.col("step").isNotNull()
         left = F.when(F.size("shape") > d, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template"))
         t = t.withColumn("_d", F.lit(d)).withColumn("goes_on", goes_on).withColumn("template", F.when(goes_on, F.concat("template", F.lit("/"), "step")).otherwise(left))
-        t = Table(t.drop("_h", "_t", "_s", "step", "_d"), "tree").df
+        level = Table(t.drop("_h", "_t", "_s", "step", "_d"), "tree")
+        tables.append(level)
+        t = level.df
         done.append(t.filter("not goes_on").drop("goes_on"))
         t, d = t.filter("goes_on").drop("goes_on"), d + 1
         if t.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
 
 
-def rejected(tree: DataFrame, params: Params) -> DataFrame:
-    """(host, template, template_verdict, purity) for every template of the tree, each of one row at least."""
+def rejected(tree: DataFrame, params: Params, tables: list[Table]) -> DataFrame:
+    """(host, template, template_verdict, purity) for every template of the tree, each of one row at least. What it writes is added to ``tables``."""
     s = params.smoothing
     t = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
     # the same template elsewhere: wildcards of any shape alike; the domain is the host's last two names
     t = t.withColumn("common", F.regexp_replace("template", r"[^/]*\{[^/]*", "*")).withColumn("domain", F.substring_index("host", ".", -2)).withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
-    t = Table(t, "templates").df
+    tables.append(Table(t, "templates"))
+    t = tables[-1].df
 
     def with_share(t: DataFrame, keys: list[str], behind, name: str) -> DataFrame:
         """Adds ``name``, the blocked share of all that has the same ``keys``, with ``s`` addresses of the share behind it."""
@@ -139,7 +142,8 @@ def rejected(tree: DataFrame, params: Params) -> DataFrame:
     error = F.sqrt(share * (1 - share) / F.greatest(F.lit(1), F.col("labelled")))
     alike = (F.col("labelled") > 0) & (F.abs(F.try_divide("blocked", "labelled") - share) <= params.alike * error)
     t = t.withColumn("merged", F.when((F.col("fn") > 1) & alike, F.col("branch")).otherwise(F.col("template")))
-    t = Table(t.select("host", "template", "merged", "labelled", "blocked", "prior"), "branches").df
+    tables.append(Table(t.select("host", "template", "merged", "labelled", "blocked", "prior"), "branches"))
+    t = tables[-1].df
     weight = F.greatest(F.col("labelled"), F.lit(1))
     pooled = t.groupBy("host", "merged").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), (F.sum(weight * F.col("prior")) / F.sum(weight)).alias("p"))
     weight_of_prior = s + params.of_parent
@@ -166,7 +170,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], params: Params = P
     # by distinct address first: repeats of one, and a hot host's, are counted where they are read
     addresses = t.groupBy("host", "path", "shape").agg(F.count(known).alias("labelled"), F.count(F.when(known == BLOCK, 1)).alias("blocked"))
     shapes = addresses.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("paths"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    tree = templates(shapes, params)
-    verdicts = tree.select("host", "shape", "template").join(rejected(tree, params), ["host", "template"])
+    tables: list[Table] = []
+    tree = templates(shapes, params, tables)
+    # what is left of it all is a row for each shape of a host
+    verdicts = Table(tree.select("host", "shape", "template").join(rejected(tree, params, tables), ["host", "template"]), "verdicts").df
+    for table in tables:
+        table.drop()
     out = t.join(verdicts, ["host", "shape"])
     return out.select(F.col("page_id").alias(key), "host", "path", "rule", F.coalesce("_verdict", "template_verdict").alias("verdict"), "template", "purity", "template_verdict")

@@ -213,8 +213,10 @@ def test_classifier_on_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (5, None), (None, 1), (7, 3), (100, 1), (101, 0)], "doc_id long, quality int")
     p = quality_classifier.Params(buckets=1 << 10, epochs=1)
     for docs in (odd, empty):
-        got = quality_classifier.score(docs, quality_classifier.train(docs, labels, p), keep=tuple(c for c in docs.columns if c not in ("score", "_text")))
+        got = quality_classifier.score(docs, quality_classifier.train(docs, labels, p), keep=tuple(c for c in docs.columns if c != "score"))
         assert got.count() == docs.count()
+        assert quality_classifier.likely(docs, quality_classifier.train(docs, labels, p), threshold=0.0).schema == docs.schema
+    assert corpus_pipeline.quality(spark, odd, SF).columns == odd.columns
     none = quality_classifier.train(odd, labels.limit(0), p)
     assert set(none.scores(["", "x y"])) == {0.5}
 
@@ -309,19 +311,34 @@ def test_rules(spark, odd, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def plain_failed(r):
+    return r["base_failed"] or 10 * r["n_symbols"] > r["word_chars"] or 100 * r["n_repeat_words"] > 20 * r["n_words"] or 20 * r["n_dup_lines"] > r["n_words"]
+
+
+def test_hosts_decide_on_the_test_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        rows = quality_rules.judge(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+        failed, hosts = Counter(r["source"] for r in rows if plain_failed(r)), Counter(r["source"] for r in rows)
+        above = {h for h in hosts if failed[h] * len(rows) > sum(failed.values()) * hosts[h]}
+        assert {r["source"] for r in rows if r["host_verdict"] == "doubt"} == above
+        assert all(r["kept"] == (not r["base_failed"] and not (r["source"] in above and plain_failed(r))) for r in rows)
+        assert sum(not r["kept"] and not r["base_failed"] for r in rows) > 0.005 * len(rows)
+
+
 def test_a_bad_host_takes_its_documents_with_it(spark):
     clean, junk = " ".join(f"w{i}" for i in range(80)), " ".join(f"#w{i}$$" for i in range(80))
     rows = [(i, clean if i % 20 == 0 else junk, "bad") for i in range(200)] + [(1000 + i, clean, f"h{i % 30}") for i in range(600)] + [(9000, junk, "small")]
     got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows)).collect()}
     assert not any(r["kept"] for r in got.values() if r["source"] == "bad")
     assert all(r["kept"] for r in got.values() if r["source"].startswith("h"))
+    assert {r["host_verdict"] for r in got.values() if r["source"] == "bad"} == {"reject"} and got[1000]["host_verdict"] == "accept"
     rate = got[9000]["host_rate"]
     assert 0.2 < rate < 1  # one document is not enough evidence
     n, f = 200, 190
     k = defaultdict(lambda: [0, 0])
     for r in got.values():
         k[r["source"]][0] += 1
-        k[r["source"]][1] += 10 * r["n_symbols"] > r["word_chars"] or r["base_failed"]
+        k[r["source"]][1] += plain_failed(r)
     m = sum(b for _, b in k.values()) / len(got)
     s2 = sum(a * (b / a) ** 2 for a, b in k.values()) / len(got) - m * m - m * (1 - m) * (len(k) - 1) / len(got)
     w = max(1, min(1000, m * (1 - m) / s2 - 1))
@@ -620,6 +637,7 @@ def test_media_round_trip(payload, times):
     payload *= 1 + times * 20
     data = matroska.write(payload)
     m = matroska.packets(data)
+    assert [p.timestamp for p in m.packets] == [64 * i for i in range(len(m.packets))]
     assert b"".join(data[p.start : p.end] for p in m.packets) == payload
     assert m.tracks == {1: "A_PCM/INT/LIT"} and {c[2] for c in m.cues} == set(m.clusters) and m.duration == len(payload) / 8
 
