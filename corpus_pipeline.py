@@ -20,9 +20,7 @@ QUALITY_AT_LEAST = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted to the labels that may be learnt from; what it rejects goes."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    scored = quality_classifier.score(docs, model, keep=tuple(columns), threshold=QUALITY_AT_LEAST)
-    return scored.filter("predicted = 1").select(*columns)
+    return quality_classifier.likely(docs, model, threshold=QUALITY_AT_LEAST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
