@@ -18,6 +18,8 @@ FOLD_TO = "'''''\"\"\"\"--- "
 # fixed values: characters without width
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 NBSP = "\u00a0"
+# fixed values: what ends a line besides the line feed in a normalised text
+LINE_ENDS = "\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def slug(name: Column) -> Column:

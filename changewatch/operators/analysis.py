@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,68 +26,93 @@ def prompt(set_name: Column, diff: Column, documents: Column, tags: Column) -> C
     )
 
 
-def check_reply(raw: Column) -> dict[str, Column]:
-    """Columns error, verdict, summary, reply_analysis and priority of a raw reply; error names the first rule that it breaks.
+def check_reply(t: DataFrame, raw: str) -> DataFrame:
+    """``t`` with error, verdict, summary, reply_analysis and priority of its raw reply; error names the first rule that it breaks.
 
-    A reply that declines has low priority, whatever it says.
+    A reply that declines has low priority, whatever it says. What several
+    rules ask for - the parsed reply, its fields - are columns of steps of
+    their own, so that each is worked out once a row.
     """
-    body = F.btrim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?m)^```(?:json)?[ \t]*$|```$", ""), F.lit(" \t\r\n"))
-    v = F.try_parse_json(body)
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
-    text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-    is_text = lambda k: F.coalesce(kind(k) == "STRING", F.lit(False))
-    tidy = lambda c: F.btrim(c, F.lit(" \t\r\n"))
-    low = lambda k: F.lower(tidy(text(k)))
-    blank = lambda k: ~is_text(k) | (tidy(text(k)) == "")
-    error = F.when(F.btrim(F.coalesce(raw, F.lit("")), F.lit(" \t\r\n")) == "", "empty").when(v.isNull(), "not JSON").when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not an object")
+    blanks = F.lit(" \t\r\n")
+    body = F.btrim(F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"(?m)^```(?:json)?[ \t]*$|```$", ""), blanks)
+    shape = F.schema_of_variant(F.col("_v"))
+    steps = [
+        {"_body": body},
+        {"_v": F.try_parse_json("_body")},
+        {"_object": F.coalesce(shape.startswith("OBJECT"), F.lit(False)), **{f"_f_{k}": F.try_variant_get("_v", f"$.{k}", "variant") for k in KEYS}},
+        {f"_s_{k}": F.when(F.schema_of_variant(F.col(f"_f_{k}")) == "STRING", F.btrim(F.try_variant_get(F.col(f"_f_{k}"), "$", "string"), blanks)) for k in KEYS},
+        {f"_s_{k}": F.lower(f"_s_{k}") for k in ("verdict", "priority")},
+    ]
+    out = t
+    for step in steps:
+        out = out.withColumns(step)
+    text = lambda k: F.col(f"_s_{k}")
+    error = F.when(F.btrim(F.coalesce(F.col(raw), F.lit("")), blanks) == "", "empty").when(F.col("_v").isNull(), "not JSON").when(~F.col("_object"), "not an object")
     for k in KEYS:
-        error = error.when(F.try_variant_get(v, f"$.{k}", "variant").isNull(), f"missing {k}")
-    error = error.when(~is_text("verdict") | ~F.coalesce(low("verdict").isin(*VERDICTS), F.lit(False)), "bad verdict").when(~is_text("priority") | ~F.coalesce(low("priority").isin(*PRIORITIES), F.lit(False)), "bad priority")
+        error = error.when(F.col(f"_f_{k}").isNull(), f"missing {k}")
+    for k, allowed in (("verdict", VERDICTS), ("priority", PRIORITIES)):
+        error = error.when(~F.coalesce(text(k).isin(*allowed), F.lit(False)), f"bad {k}")
     for k in ("summary", "analysis"):
-        error = error.when(blank(k), f"bad {k}")
-    ok = error.isNull()
-    return {
-        "error": error,
-        "verdict": F.when(ok, low("verdict")),
-        "summary": F.when(ok, tidy(text("summary"))),
-        "reply_analysis": F.when(ok, tidy(text("analysis"))),
-        "priority": F.when(ok, F.when(low("verdict") == "no_material_change", "low").otherwise(low("priority"))),
-    }
+        error = error.when(F.coalesce(text(k), F.lit("")) == "", f"bad {k}")
+    out = out.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return out.withColumns({
+        "verdict": F.when(ok, text("verdict")),
+        "summary": F.when(ok, text("summary")),
+        "reply_analysis": F.when(ok, text("analysis")),
+        "priority": F.when(ok, F.when(text("verdict") == "no_material_change", "low").otherwise(text("priority"))),
+    }).drop("_body", "_v", "_object", *(f"_{x}_{k}" for k in KEYS for x in "fs"))
+
+
+class Reply(NamedTuple):
+    """A model's reply and the tokens that it took; clients that count none give the text alone."""
+
+    text: str
+    prompt_tokens: int = 0
+    output_tokens: int = 0
+
+
+Analyser = Callable[[str], "str | Reply | None"]
 
 
-Analyser = Callable[[str], str]
+def usage(answer: str | Reply | None) -> Reply:
+    """A reply with counts: what is missing is '' or 0."""
+    text, *counts = answer if isinstance(answer, tuple) else (answer,)
+    return Reply(text or "", *(int(n or 0) for n in counts))
 
 
-def stub(prompt_text: str) -> str:
-    """A reply that depends on the prompt alone, for tests and dry runs."""
+def stub(prompt_text: str) -> Reply:
+    """A reply that depends on the prompt alone, for tests and dry runs; a token is four characters."""
     high = "arbitration" in prompt_text
-    return '{"verdict": "%s", "summary": "A change was found.", "analysis": "See the diff.", "priority": "%s"}' % ("material_change" if high else "no_material_change", "high" if high else "low")
+    text = '{"verdict": "%s", "summary": "A change was found.", "analysis": "See the diff.", "priority": "%s"}' % ("material_change" if high else "no_material_change", "high" if high else "low")
+    return Reply(text, len(prompt_text) // 4, len(text) // 4)
 
 
 def analyse(sets: DataFrame, analyser: Analyser = stub, attempts: int = 2) -> DataFrame:
-    """``sets`` (set_name, prompt) with reply, attempts and error: the analyser is asked once for each set, and again with its error after a reply that breaks the contract.
+    """``sets`` (set_name, prompt) with reply, attempts, error, prompt_tokens and output_tokens: the analyser is asked once for each set, and again with its error after a reply that breaks the contract.
 
     Runs after aggregation, so once for each changed set. An exception counts
-    as an attempt.
+    as an attempt; tokens are summed over attempts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for name, asked in zip(pdf["set_name"], pdf["prompt"], strict=True):
-                reply, error, n = None, "", 0
+                reply, error, n, spent = None, "", 0, [0, 0]
                 for n in range(1, attempts + 1):
                     try:
-                        reply = analyser(asked if not error else f"{asked}\n\nThe reply before was rejected: {error}")
+                        reply, *counts = usage(analyser(asked if not error else f"{asked}\n\nThe reply before was rejected: {error}"))
+                        spent = [a + b for a, b in zip(spent, counts, strict=True)]
                         error = broken(reply)
                     except Exception as e:  # noqa: BLE001  whatever a client raises is a failed attempt
                         reply, error = None, f"{type(e).__name__}: {e}"
                     if not error:
                         break
-                out.append((name, reply if not error else None, n, error))
-            yield pd.DataFrame(out, columns=["set_name", "reply", "attempts", "error"])
+                out.append((name, reply if not error else None, n, error, *spent))
+            yield pd.DataFrame(out, columns=["set_name", "reply", "attempts", "error", "prompt_tokens", "output_tokens"])
 
-    return sets.select("set_name", "prompt").mapInPandas(run, "set_name string, reply string, attempts long, error string")
+    return sets.select("set_name", "prompt").mapInPandas(run, "set_name string, reply string, attempts long, error string, prompt_tokens long, output_tokens long")
 
 
 def broken(reply: str | None) -> str:

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 from changewatch.config import Config
 from changewatch.functions import udfs
+from changewatch.operators import gates as G
 
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 # a word boundary that means the same in every Java version and in RE2
 _L, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 # fixed values: tags and their patterns, in the order in which tags are given
 TAGS = {
-    "money": rf"(?:[$€£][ \t]?[0-9][0-9,]*(?:\.[0-9]+)?|{_L}[0-9][0-9,]*(?:\.[0-9]+)?[ \t]?(?:AUD|USD|EUR|GBP){_R})",
-    "date": rf"(?i){_L}(?:[0-9]{{1,2}}[ \t]+(?:{_MONTHS})|(?:{_MONTHS})[ \t]+[0-9]{{1,2}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}){_R}",
-    "percentage": rf"{_L}[0-9]+(?:\.[0-9]+)?[ \t]?%",
-    "duration": rf"(?i){_L}[0-9]+[ \t]+(?:days?|months?|years?|business days?){_R}",
-    "section_reference": rf"(?i){_L}(?:section|clause|article|schedule|appendix|paragraph)[ \t]+[0-9]+(?:\.[0-9]+)*{_R}",
+    "money": rf"(?:[$€£][ \t\n]?[0-9][0-9,]*(?:\.[0-9]+)?|{_L}[0-9][0-9,]*(?:\.[0-9]+)?[ \t\n]?(?:AUD|USD|EUR|GBP){_R})",
+    "date": rf"(?i){_L}(?:[0-9]{{1,2}}[ \t\n]+(?:{_MONTHS})|(?:{_MONTHS})[ \t\n]+[0-9]{{1,2}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}){_R}",
+    "percentage": rf"{_L}[0-9]+(?:\.[0-9]+)?[ \t\n]?%",
+    "duration": rf"(?i){_L}[0-9]+[ \t\n]+(?:days?|months?|years?|business days?){_R}",
+    "section_reference": rf"(?i){_L}(?:section|clause|article|schedule|appendix|paragraph)[ \t\n]+[0-9]+(?:\.[0-9]+)*{_R}",
     "obligation": rf"(?i){_L}(?:must not|shall not|will not|may not|must|shall|may|will be required to){_R}",
 }
 
@@ -66,10 +67,16 @@ def diff_moved(moved: DataFrame, cfg: Config = Config(), *, old: str = "prior_st
 
 
 def line_differences(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
-    """(keys, line, change, n): lines that one side has more often than the other, as multisets; moves do not show."""
-    side = lambda c, sign: pairs.select(*keys, F.explode(F.split(F.coalesce(c, F.lit("")), "\n")).alias("line"), F.lit(sign).alias("s"))
-    both = side(F.col(new), 1).unionByName(side(F.col(old), -1))
-    net = both.groupBy(*keys, "line").agg(F.sum("s").alias("net")).filter("net <> 0")
+    """(keys, line, change, n): lines that one side has more often than the other, as multisets; moves do not show.
+
+    Both sides of a pair lie in one row and are counted together where that
+    row is; if ``pairs`` has come together by (set_name, url), nothing is
+    shuffled.
+    """
+    lines = lambda c, sign: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), F.lit(sign).alias("s")))
+    within = [c for c in G.KEYS if c in pairs.columns and c not in keys]
+    both = pairs.select(*within, *keys, F.explode(F.concat(lines(new, 1), lines(old, -1))).alias("_l"))
+    net = both.groupBy(*within, *keys, "_l.line").agg(F.sum("_l.s").alias("net")).filter("net <> 0")
     return net.select(*keys, "line", F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"), F.abs("net").alias("n"))
 
 

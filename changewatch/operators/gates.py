@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,56 +33,116 @@ def fold_plain(text: str) -> str:
     return text.translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)).lower()
 
 
-def refusal(text: Column, prior_length: Column, cfg: Config) -> Column:
-    """Why a normalised capture is not the document: empty, block_page, too_short, shrank, grew; null if nothing speaks against it."""
-    v, n = cfg.validation, F.length(text)
+def holds_signature(text: str, signatures: list[str]) -> bool:
+    """As ``has_signature``, for one text."""
+    folded = fold_plain(text)
+    return any(fold_plain(s) in folded for s in signatures)
+
+
+def refusal(blank: Column, signed: Column, length: Column, prior_length: Column, cfg: Config) -> Column:
+    """Why a normalised capture is not the document: empty, block_page, too_short, shrank, grew; null if nothing speaks against it.
+
+    Of the text itself only three facts are asked: whether it is blank, the
+    signature that it holds, and its length.
+    """
+    v = cfg.validation
     known = F.coalesce(prior_length, F.lit(0)) != 0
-    blank = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r")) == ""
     return (
         F.when(blank, "empty")
-        .when(has_signature(text, v.failure_signatures), "block_page")
-        .when(n < v.min_length, "too_short")
-        .when(known & (n < prior_length * v.shrink_ratio), "shrank")
-        .when(known & (n > prior_length * v.growth_ratio), "grew")
+        .when(signed.isNotNull(), "block_page")
+        .when(length < v.min_length, "too_short")
+        .when(known & (length < prior_length * v.shrink_ratio), "shrank")
+        .when(known & (length > prior_length * v.growth_ratio), "grew")
     )
 
 
-def refusal_detail(text: Column, prior_length: Column, reason: Column, cfg: Config) -> Column:
+def refusal_detail(signed: Column, length: Column, prior_length: Column, reason: Column, cfg: Config) -> Column:
     """What is said about a refusal."""
-    n = F.length(text).cast("string")
+    n = length.cast("string")
     share = F.concat(n, F.lit(" of "), prior_length.cast("string"), F.lit(" characters"))
-    return F.when(reason == "empty", "no text").when(reason == "block_page", F.concat(F.lit("holds: "), signature(text, cfg.validation.failure_signatures))).when(reason == "too_short", F.concat(n, F.lit(" characters, fewer than "), F.lit(str(cfg.validation.min_length)))).when(reason.isin("shrank", "grew"), share)
+    return F.when(reason == "empty", "no text").when(reason == "block_page", F.concat(F.lit("holds: "), signed)).when(reason == "too_short", F.concat(n, F.lit(" characters, fewer than "), F.lit(str(cfg.validation.min_length)))).when(reason.isin("shrank", "grew"), share)
 
 
-def outcome(prior_hash: Column, prior_version: Column, stored: Column, new_hash: Column, status: Column, reason: Column) -> Column:
-    """The outcome of a capture, up to the diff: what is ``changed`` here has other text than was stored."""
+def outcome(prior_hash: Column, prior_version: Column, has_text: Column, new_hash: Column, status: Column, reason: Column) -> Column:
+    """The outcome of a capture by its hash: what is ``changed`` here has other text than was stored, if not other lines."""
     return (
         F.when(status == "not_modified", NOT_MODIFIED)
         .when(status == "failed", FETCH_FAILED)
         .when(reason.isNotNull(), SUSPECT)
         .when(F.coalesce(prior_hash, F.lit("")) == "", NEW)
-        .when((F.coalesce(prior_version, F.lit(0)) != PIPELINE_VERSION) | (F.coalesce(stored, F.lit("")) == ""), REBASELINED)
+        .when((F.coalesce(prior_version, F.lit(0)) != PIPELINE_VERSION) | ~has_text, REBASELINED)
         .when(prior_hash == new_hash, UNCHANGED)
         .otherwise(CHANGED)
     )
 
 
-def classify(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None) -> DataFrame:
-    """Captures with their prior state and outcome.
+KEYS = ["set_name", "url"]
+
+
+def reading(captures: DataFrame, normalised: Column | None = None) -> DataFrame:
+    """Captures with text_now, the normalised text of those that brought one."""
+    return captures.withColumn("text_now", F.when(F.col("status") == "ok", X.squeeze(F.col("text")) if normalised is None else normalised))
+
+
+def gate(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None) -> DataFrame:
+    """Captures, without their texts, with their prior state and the outcome that their hash gives them.
+
+    What is asked of a text is worked out where it is read, so that only a few
+    numbers and a hash of each document meet its prior state.
+    """
+    t = reading(captures, normalised)
+    now = F.col("text_now")
+    t = t.withColumns({
+        "_blank": F.btrim(F.coalesce(now, F.lit("")), F.lit(" \t\n\r")) == "",
+        "_signed": F.when(has_signature(now, cfg.validation.failure_signatures), signature(now, cfg.validation.failure_signatures)),
+        "_hash": X.content_hash(now), "length_now": F.length(now).cast("long"),
+    }).drop("text", "text_now")
+    has_text = F.coalesce("stored", F.lit("")) != ""
+    known = prior.select(*KEYS, has_text.alias("_has_text"), *(F.col(c).alias(f"prior_{c}") for c in prior.columns if c not in (*KEYS, "stored")))
+    t = t.join(known, KEYS, "left")
+    ok = F.col("status") == "ok"
+    t = t.withColumn("reason", F.when(ok, refusal(F.col("_blank"), F.col("_signed"), F.col("length_now"), F.col("prior_length"), cfg)))
+    t = t.withColumn("detail", refusal_detail(F.col("_signed"), F.col("length_now"), F.col("prior_length"), F.col("reason"), cfg))
+    t = t.withColumn("hash_now", F.when(ok & F.col("reason").isNull(), F.col("_hash")))
+    by_hash = outcome(F.col("prior_hash"), F.col("prior_pipeline_version"), F.coalesce("_has_text", F.lit(False)), F.col("hash_now"), F.col("status"), F.col("reason"))
+    return t.withColumn("outcome", by_hash).drop("_blank", "_signed", "_hash", "_has_text")
+
+
+def texts_of(keys: DataFrame, captures: DataFrame, prior: DataFrame, normalised: Column | None = None) -> DataFrame:
+    """(set_name, url, text_now, prior_stored) of the documents in ``keys`` alone: no other text is moved."""
+    new = reading(captures.join(keys.select(*KEYS), KEYS, "left_semi"), normalised).select(*KEYS, "text_now")
+    old = prior.select(*KEYS, F.col("stored").alias("prior_stored")).join(keys.select(*KEYS), KEYS, "left_semi")
+    return new.join(old, KEYS, "left")
+
+
+def same_lines(old: Column, new: Column) -> Column:
+    """Whether two texts have the same lines, so that their diff is empty, whatever ends the lines."""
+    lines = lambda t: F.regexp_replace(F.translate(t, X.LINE_ENDS, "\n" * len(X.LINE_ENDS)), r"\n\z", "")
+    return lines(old) == lines(new)
+
+
+def classify(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """Captures, without their texts, with their prior state and outcome.
 
     ``captures``: set_name, url, status, text and more; ``prior``: set_name,
     url, hash, length, pipeline_version, stored (its text), consecutive_failures
-    and more, at most one row a document. Adds text_now (normalised), reason,
-    detail, hash_now, length_now, outcome; prior columns get the prefix prior_.
+    and more, at most one row a document. Adds reason, detail, hash_now,
+    length_now, outcome; prior columns but the text get the prefix prior_.
+
+    Hashes decide for all but a few documents. Where they differ the texts are
+    fetched, and a document with the same lines is unchanged after all. The
+    narrow result of the hashes is read twice, so ``hold`` keeps it.
     """
-    named = prior.select("set_name", "url", *(F.col(c).alias(f"prior_{c}") for c in prior.columns if c not in ("set_name", "url")))
-    t = captures.join(named, ["set_name", "url"], "left")
-    t = t.withColumn("text_now", F.when(F.col("status") == "ok", X.squeeze(F.col("text")) if normalised is None else normalised))
-    t = t.withColumn("reason", F.when(F.col("status") == "ok", refusal(F.col("text_now"), F.col("prior_length"), cfg)))
-    t = t.withColumn("detail", refusal_detail(F.col("text_now"), F.col("prior_length"), F.col("reason"), cfg))
-    good = (F.col("status") == "ok") & F.col("reason").isNull()
-    t = t.withColumn("hash_now", F.when(good, X.content_hash(F.col("text_now")))).withColumn("length_now", F.when(F.col("status") == "ok", F.length("text_now")).cast("long"))
-    return t.withColumn("outcome", outcome(F.col("prior_hash"), F.col("prior_pipeline_version"), F.col("prior_stored"), F.col("hash_now"), F.col("status"), F.col("reason")))
+    held = hold(gate(captures, prior, cfg, normalised))
+    moved = texts_of(held.filter(F.col("outcome") == CHANGED), captures, prior, normalised)
+    cosmetic = moved.filter(same_lines(F.col("prior_stored"), F.col("text_now"))).select(*KEYS, F.lit(True).alias("_same"))
+    return held.join(cosmetic, KEYS, "left").withColumn("outcome", F.when(F.col("_same"), UNCHANGED).otherwise(F.col("outcome"))).drop("_same")
+
+
+def changed(classified: DataFrame, captures: DataFrame, prior: DataFrame, normalised: Column | None = None) -> DataFrame:
+    """The changed rows of ``classify`` with text_now and prior_stored."""
+    rows = classified.filter(F.col("outcome") == CHANGED)
+    return rows.join(texts_of(rows, captures, prior, normalised), KEYS)
 
 
 def worth_rendering(http_status: Column) -> Column:

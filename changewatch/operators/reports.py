@@ -28,6 +28,11 @@ def set_health(sets: DataFrame, documents: DataFrame, cfg: Config = Config()) ->
     return t.withColumn("status", F.when(F.col("worst").isNull(), "failing").otherwise(F.element_at(names, F.col("worst") + 1))).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("documents_total", "documents_failing")}).drop("worst")
 
 
+def failing_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The documents of a report that are not read normally, with since when and why."""
+    return document_health(documents, cfg).filter("health <> 'ok'").select("set_name", "url", "label", F.col("health").alias("status"), "consecutive_failures", "last_success", F.coalesce("last_error", F.lit("")).alias("last_error"))
+
+
 def alerts(sets: DataFrame, documents: DataFrame, error_rate: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(kind, set_name, url, failures, detail): failing documents, repeated bad replies, too many failures in the run."""
     h = cfg.health
@@ -91,6 +96,25 @@ def archive_index(files: DataFrame, known: DataFrame | None = None) -> DataFrame
     return t.groupBy("file_id", "stamp", "ts").agg(has("analysis.json").alias("_a"), has("snapshot.txt").alias("has_snapshot"), has("diff.txt").alias("has_diff")).filter("_a").drop("_a")
 
 
+def history_records(archive: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A record for each archived analysis, from (file_name, text): file_id, stamp, ts, the paths of its files, and what it says.
+
+    priority, verdict, summary and changed_documents are those of the
+    analysis; null where its text is no JSON object. Of the other files only
+    the names are read. ``known``: file ids to keep.
+    """
+    t = archive.select("text", "file_name", *(F.regexp_extract("file_name", ARCHIVE, i + 1).alias(n) for i, n in enumerate(("file_id", "stamp", "kind"))))
+    t = t.withColumn("ts", X.parse_stamp(F.col("stamp"))).filter("ts is not null")
+    if known is not None:
+        t = t.join(known, "file_id", "left_semi")
+    path = lambda kind: F.max(F.when(F.col("kind") == kind, F.concat(F.lit("logs/"), "file_name")))
+    body = F.when(F.col("kind") == "analysis.json", F.from_json("text", "priority string, verdict string, summary string, changed_documents array<string>"))
+    t = t.withColumn("body", body).drop("text")
+    said = F.max_by("body", F.when(F.col("kind") == "analysis.json", "file_name"))
+    records = t.groupBy("file_id", "stamp", "ts").agg(path("analysis.json").alias("analysis_path"), path("snapshot.txt").alias("snapshot_path"), path("diff.txt").alias("diff_path"), said.alias("b")).filter("analysis_path is not null")
+    return records.select("file_id", "stamp", "ts", "analysis_path", "snapshot_path", "diff_path", *(F.col(f"b.{c}").alias(c) for c in ("priority", "verdict", "summary", "changed_documents")))
+
+
 def history(index: DataFrame) -> DataFrame:
     """(file_id, n, stamps newest first)."""
     return index.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("stamp"), asc=False), ",").alias("stamps"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changewatch.config import PIPELINE_VERSION, Config
+from changewatch.functions import text as X
 from changewatch.operators import gates as G
 
 PRIORITIES = ("critical", "high", "medium", "low")
@@ -18,15 +19,19 @@ RANK = {"ok": 0, "degraded": 1, "failing": 2}
 def next_documents(t: DataFrame, now: str) -> DataFrame:
     """The document records after a run, from classified captures: which fields move depends on the outcome alone."""
     o = F.col("outcome")
-    rewritten = o.isin(G.NEW, G.REBASELINED, G.CHANGED, G.UNCHANGED)
+    rewritten = o.isin(*REWRITTEN)
     good = o.isin(*G.HEALTHY)
     moved = lambda new, old: F.when(rewritten, F.col(new)).otherwise(F.col(old))
+    # sources that do not say these leave them null
+    has = lambda c: F.col(c) if c in t.columns else F.lit(None).cast("string")
     return t.select(
-        "set_name", "url", "label", o.alias("status"),
+        "set_name", "url", X.document_id(F.col("url")).alias("doc_id"), "label", o.alias("status"),
         moved("hash_now", "prior_hash").alias("hash"),
         moved("length_now", "prior_length").alias("length"),
         F.when(rewritten, F.lit(PIPELINE_VERSION)).otherwise(F.col("prior_pipeline_version")).alias("pipeline_version"),
         F.when(rewritten, F.col("etag")).when(o == G.NOT_MODIFIED, F.coalesce("etag", "prior_etag")).otherwise(F.col("prior_etag")).alias("etag"),
+        *(F.when(rewritten, has(c)).when(o == G.NOT_MODIFIED, F.coalesce(has(c), has(f"prior_{c}"))).otherwise(has(f"prior_{c}")).alias(c) for c in ("last_modified", "extractor")),
+        *(has(c).cast(kind).alias(c) for c, kind in (("http_status", "int"), ("fetch_ms", "long"))),
         F.when(good, F.lit(0)).otherwise(F.coalesce("prior_consecutive_failures", F.lit(0)) + 1).cast("long").alias("consecutive_failures"),
         F.when(good, F.lit(now)).otherwise(F.col("prior_last_success")).alias("last_success"),
         F.when(good, "").when(o == G.FETCH_FAILED, F.col("error")).otherwise(F.concat("reason", F.lit(": "), "detail")).alias("last_error"),
@@ -37,9 +42,18 @@ def next_documents(t: DataFrame, now: str) -> DataFrame:
     )
 
 
-def baselines(t: DataFrame) -> DataFrame:
-    """(set_name, url, text) of every document after the run. A text is committed together with its hash, also where a sibling failed."""
-    return t.select("set_name", "url", F.when(F.col("outcome").isin(G.NEW, G.REBASELINED, G.CHANGED, G.UNCHANGED), F.col("text_now")).otherwise(F.col("prior_stored")).alias("text"))
+REWRITTEN = (G.NEW, G.REBASELINED, G.CHANGED, G.UNCHANGED)
+
+
+def baselines(t: DataFrame, captures: DataFrame, stored: DataFrame, normalised: Column | None = None) -> DataFrame:
+    """(set_name, url, text) of every document after the run, from classified captures and the texts stored before.
+
+    A text is committed together with its hash, also where a sibling failed;
+    what the run did not rewrite keeps the text that it had.
+    """
+    rewritten = t.filter(F.col("outcome").isin(*REWRITTEN)).select(*G.KEYS)
+    new = G.reading(captures.join(rewritten, G.KEYS, "left_semi"), normalised).select(*G.KEYS, F.col("text_now").alias("text"))
+    return new.unionByName(stored.select(*G.KEYS, "text").join(rewritten, G.KEYS, "left_anti"))
 
 
 def carry_forward(previous: DataFrame, current: DataFrame, key: str = "set_name") -> DataFrame:
@@ -114,17 +128,33 @@ def badge(t: DataFrame, now: str) -> DataFrame:
     })
 
 
+#: What a set whose analysis failed gets back.
+RESTORED = ("hash", "length", "etag", "last_modified")
+
+
+def archive(artefacts: DataFrame, replaced: DataFrame) -> DataFrame:
+    """(file_name, text): the artefacts of the sets that a run replaces, under the names of the archive.
+
+    ``artefacts``: set_name, file_id, at (an ISO time), and the texts analysis,
+    snapshot and diff; what is null is not archived.
+    """
+    stamp = X.stamp(X.instant(F.col("at")))
+    kinds = F.array(*(F.struct(F.lit(name).alias("kind"), F.col(c).alias("text")) for c, name in (("analysis", "analysis.json"), ("snapshot", "snapshot.txt"), ("diff", "diff.txt"))))
+    t = artefacts.join(replaced.select("set_name").distinct(), "set_name", "left_semi").select("file_id", stamp.alias("stamp"), F.inline(kinds))
+    return t.filter("text is not null").select(F.concat_ws("_", "file_id", "stamp", "kind").alias("file_name"), "text")
+
+
 def revert(documents: DataFrame, prior: DataFrame, failed_sets: DataFrame) -> DataFrame:
     """Document records of sets whose analysis failed: changed ones get their prior hash, length and validators back, and wait as analysis_pending.
 
     With the validators restored too, the next conditional request cannot hide
     the change that is to be tried again.
     """
-    old = prior.select("set_name", "url", *(F.col(c).alias(f"_{c}") for c in ("hash", "length", "etag")))
+    old = prior.select("set_name", "url", *(F.col(c).alias(f"_{c}") for c in RESTORED if c in prior.columns))
     t = documents.join(failed_sets.select("set_name", F.lit(True).alias("_failed")), "set_name", "left").join(old, ["set_name", "url"], "left")
     back = F.coalesce("_failed", F.lit(False)) & (F.col("status") == G.CHANGED) & F.col("_hash").isNotNull()
-    out = t.withColumns({c: F.when(back, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("hash", "length", "etag")} | {"status": F.when(back, "analysis_pending").otherwise(F.col("status"))})
-    return out.drop("_failed", "_hash", "_length", "_etag")
+    out = t.withColumns({c: F.when(back, F.col(f"_{c}")).otherwise(F.col(c)) for c in RESTORED if c in prior.columns and c in documents.columns} | {"status": F.when(back, "analysis_pending").otherwise(F.col("status"))})
+    return out.drop("_failed", *(f"_{c}" for c in RESTORED))
 
 
 def valid_sets(sets: DataFrame) -> DataFrame:

@@ -242,12 +242,13 @@ def worth_rendering(spark, d) -> DataFrame:
     return C.table(spark, d, "pages").select("page_id", G.worth_rendering(F.when(k != 0, 380 + k * 3)).alias("worth"))
 
 
-@query(f"WITH {C.CLASSIFIED} SELECT doc_id, CASE WHEN outcome IN ('unchanged', 'changed') THEN outcome = 'changed' END AS moved FROM cls WHERE outcome IN ('changed', 'unchanged')")
+@query(f"WITH {C.CLASSIFIED} SELECT doc_id, list_sort({C.sql_lines('text_now')}) <> list_sort({C.sql_lines('stored')}) OR {C.sql_lines('text_now')} <> {C.sql_lines('stored')} AS moved FROM cls WHERE hash_now IS NOT NULL AND coalesce(stored, '') <> '' AND prior_version = 2 AND prior_hash <> hash_now")
 def cosmetic_gate(spark, d) -> DataFrame:
-    moved = C.classified(spark, d).filter(F.col("outcome").isin(G.CHANGED, G.UNCHANGED))
-    same = moved.filter(F.col("outcome") == G.UNCHANGED).select("doc_id", F.lit(False).alias("moved"))
-    diffed = D.diff_moved(moved.filter(F.col("outcome") == G.CHANGED), C.CFG)
-    return same.unionByName(diffed.select("doc_id", ((F.col("diff.lines_added") > 0) | (F.col("diff.lines_removed") > 0)).alias("moved")))
+    """Of the documents whose hash moved, which have a diff that is not empty."""
+    captures, prior = C.captures(spark, d), C.prior(spark, d)
+    by_hash = G.gate(captures, prior, C.CFG)
+    diffed = D.diff_moved(G.changed(by_hash, captures, prior), C.CFG)
+    return diffed.select("doc_id", ((F.col("diff.lines_added") > 0) | (F.col("diff.lines_removed") > 0)).alias("moved"))
 
 
 # --- diffs ---------------------------------------------------------------------
@@ -255,14 +256,14 @@ def cosmetic_gate(spark, d) -> DataFrame:
 
 @query()
 def unified_diff(spark, d) -> DataFrame:
-    t = D.diff_moved(C.classified(spark, d).filter(F.col("outcome") == G.CHANGED), C.CFG)
+    t = D.diff_moved(C.changed(spark, d), C.CFG)
     return t.select("doc_id", F.col("diff.text").alias("text"), F.col("diff.added").alias("added"), F.col("diff.removed").alias("removed"), F.col("diff.truncated").alias("truncated"), F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"""WITH {C.CLASSIFIED}, l AS (SELECT doc_id, unnest(string_split(text_now, chr(10))) AS line, 1 AS s FROM cls WHERE outcome = 'changed' UNION ALL SELECT doc_id, unnest(string_split(stored, chr(10))), -1 FROM cls WHERE outcome = 'changed')
 SELECT doc_id, line, CASE WHEN sum(s) > 0 THEN 'added' ELSE 'removed' END AS change, abs(sum(s))::BIGINT AS n FROM l GROUP BY doc_id, line HAVING sum(s) <> 0""")
 def line_multiset_diff(spark, d) -> DataFrame:
-    return D.line_differences(C.classified(spark, d).filter(F.col("outcome") == G.CHANGED), ["doc_id"], "prior_stored", "text_now")
+    return D.line_differences(C.changed(spark, d), ["doc_id"], "prior_stored", "text_now")
 
 
 # a diff made of a document's lines, by their number: headers, hunks, additions, removals
@@ -312,11 +313,21 @@ def _tagged_text():
 
 
 _EXTRAS = ("It costs $5 or 1,200.50 AUD.", "On 5 March or 2026-01-05 or 1/2/26.", "A fee of 2.5 % applies", "within 30 days and 2 Years", "see Section 4.2, clause 9", "you must not resell; mayä", "nothing here", "ARBITRATION and Australia, warranty")
-_TAGGED = "left(coalesce(text, ''), 400) || chr(10) || [" + ", ".join(f"'{e}'" for e in _EXTRAS) + "][doc_id % 8 + 1]"
-_PATTERN_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" for name, p in D.TAGS.items())
-
-
-@query(f"SELECT doc_id, array_to_string(list_filter([{_PATTERN_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
+_TAGGED = "coalesce(text, '') || chr(10) || [" + ", ".join(f"'{e}'" for e in _EXTRAS) + "][doc_id % 8 + 1]"
+_MONTH_NAMES = "(january|february|march|april|may|june|july|august|september|october|november|december)"
+# what the tags look for, said once more for DuckDB, with word boundaries of ASCII; letters beyond it are made x first
+_SAID = {
+    "money": "[$€£]\\s?\\d|\\b\\d[\\d,]*(\\.\\d+)?\\s?(AUD|USD|EUR|GBP)\\b",
+    "date": f"(?i)\\b\\d\\d?\\s+{_MONTH_NAMES}\\b|\\b{_MONTH_NAMES}\\s+\\d\\d?\\b|\\b\\d{{4}}-\\d\\d-\\d\\d\\b|\\b\\d\\d?/\\d\\d?/\\d{{2,4}}\\b",
+    "percentage": "\\b\\d+(\\.\\d+)?\\s?%",
+    "duration": "(?i)\\b\\d+\\s+(business days?|day|days|month|months|year|years)\\b",
+    "section_reference": "(?i)\\b(appendix|article|clause|paragraph|schedule|section)\\s+\\d+\\b",
+    "obligation": "(?i)\\b(must|shall|may|will not|will be required to)\\b",
+}
+_PATTERN_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" for name, p in _SAID.items())
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_PATTERN_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, regexp_replace({_TAGGED}, '[À-ÖØ-öø-ɏ]', 'x', 'g') AS t FROM documents)")
 def fingerprint_tags(spark, d) -> DataFrame:
     return C.table(spark, d, "documents").select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.pattern_tags(F.col("t")), ",").alias("tags"))
 
@@ -331,7 +342,7 @@ def watchlist_hits(spark, d) -> DataFrame:
 
 @query()
 def combined_diff(spark, d) -> DataFrame:
-    return D.combine(D.diff_moved(C.classified(spark, d).filter(F.col("outcome") == G.CHANGED), C.CFG))
+    return D.combine(D.diff_moved(C.changed(spark, d), C.CFG))
 
 
 # --- sets and state ------------------------------------------------------------
@@ -389,7 +400,7 @@ def set_counters(spark, d) -> DataFrame:
 n AS (SELECT set_name, doc_id, line, sum(s) AS s FROM l GROUP BY ALL HAVING sum(s) <> 0)
 SELECT set_name, coalesce(sum(s) FILTER (WHERE s > 0), 0)::BIGINT AS lines_added, coalesce(-sum(s) FILTER (WHERE s < 0), 0)::BIGINT AS lines_removed, count(DISTINCT doc_id) AS documents FROM n GROUP BY set_name""")
 def set_change_totals(spark, d) -> DataFrame:
-    n = D.line_differences(C.classified(spark, d).filter(F.col("outcome") == G.CHANGED), ["set_name", "doc_id"], "prior_stored", "text_now")
+    n = D.line_differences(C.changed(spark, d), ["set_name", "doc_id"], "prior_stored", "text_now")
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("change") == kind, F.col("n"))), F.lit(0))
     return n.groupBy("set_name").agg(part("added").alias("lines_added"), part("removed").alias("lines_removed"), F.count_distinct("doc_id").alias("documents"))
 
@@ -509,6 +520,13 @@ def health_report(spark, d) -> DataFrame:
     return t.select("set_name", "status", "documents_total", "documents_failing", "last_success", X.days_since(X.instant(F.col("last_success")), F.lit(C.NOW).cast("timestamp")).alias("days_since_success"))
 
 
+@query(f"""WITH {_STATE}, e AS (SELECT url, CASE WHEN outcome = 'fetch_failed' THEN error WHEN reason = 'empty' THEN 'empty: no text' WHEN reason = 'block_page' THEN 'block_page: holds: ' || ({C.sql_signature("text_now")})
+  WHEN reason = 'too_short' THEN 'too_short: ' || length(text_now) || ' characters, fewer than 500' ELSE reason || ': ' || length(text_now) || ' of ' || prior_length || ' characters' END AS last_error, prior_success AS last_success FROM cls)
+SELECT set_name, url, health AS status, f AS consecutive_failures, last_success, last_error FROM dh JOIN e USING (url) WHERE health <> 'ok'""")
+def failing_documents(spark, d) -> DataFrame:
+    return R.failing_documents(S.next_documents(C.classified(spark, d), C.NOW), C.CFG).drop("label")
+
+
 @query(f"WITH {_SET_HEALTH} SELECT CASE max(CASE status WHEN 'failing' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'failing' WHEN 1 THEN 'degraded' ELSE 'ok' END AS overall FROM sh")
 def overall_health(spark, d) -> DataFrame:
     rank = X.recode(F.col("status"), {k: str(v) for k, v in S.RANK.items()}, F.lit("0")).cast("int")
@@ -569,6 +587,31 @@ def prune_archives(spark, d) -> DataFrame:
     return R.expired(C.archive_files(spark, d), "2000-01-01 00:00:00", 365).select("file_name")
 
 
+_BODIES = """bodies AS (SELECT *, CASE WHEN kind <> 'analysis.json' THEN 'text' WHEN substr(stamp, 15, 1) IN ('0', '1') THEN 'not json' WHEN substr(stamp, 15, 1) = '2' THEN '[1]'
+  ELSE '{"priority": "Low", "verdict": "uncertain", "summary": "of ' || stamp || '", "changed_documents": ["a", "' || file_id || '"]}' END AS text FROM parsed WHERE ts IS NOT NULL)"""
+
+
+@query(f"""WITH {C.FILES}, {_BODIES} SELECT file_id, stamp, max('logs/' || file_name) FILTER (WHERE kind = 'analysis.json') AS analysis_path, max('logs/' || file_name) FILTER (WHERE kind = 'snapshot.txt') AS snapshot_path, max('logs/' || file_name) FILTER (WHERE kind = 'diff.txt') AS diff_path,
+  max(CASE WHEN text LIKE '{{%' THEN json_extract_string(text, '$.priority') END) AS priority, max(CASE WHEN text LIKE '{{%' THEN json_extract_string(text, '$.verdict') END) AS verdict, max(CASE WHEN text LIKE '{{%' THEN json_extract_string(text, '$.summary') END) AS summary,
+  coalesce(max(CASE WHEN text LIKE '{{%' THEN array_to_string(json_extract_string(text, '$.changed_documents[*]'), ',') END), '') AS changed_documents
+FROM bodies GROUP BY file_id, stamp HAVING bool_or(kind = 'analysis.json')""")
+def history_records(spark, d) -> DataFrame:
+    part = lambda i: F.regexp_extract("file_name", R.ARCHIVE, i)
+    last = F.right(part(2), F.lit(1))
+    said = F.concat(F.lit('{"priority": "Low", "verdict": "uncertain", "summary": "of '), part(2), F.lit('", "changed_documents": ["a", "'), part(1), F.lit('"]}'))
+    text = F.when(part(3) != "analysis.json", "text").when(last.isin("0", "1"), "not json").when(last == "2", "[1]").otherwise(said)
+    return R.history_records(C.archive_files(spark, d).withColumn("text", text)).drop("ts").withColumn("changed_documents", F.coalesce(F.array_join("changed_documents", ","), F.lit("")))
+
+
+@query(f"""WITH {C.SETS}, a AS (SELECT file_id, strftime(last_amended, '%Y%m%d_%H%M%S') AS stamp, unnest(['analysis.json', 'snapshot.txt', 'diff.txt']) AS kind, unnest(['{{}}', CASE WHEN id % 2 = 0 THEN set_name END, 'd' || id]) AS text FROM sets WHERE id % 3 = 0 AND last_amended IS NOT NULL)
+SELECT file_id || '_' || stamp || '_' || kind AS file_name, text FROM a WHERE text IS NOT NULL""")
+def archive_previous(spark, d) -> DataFrame:
+    """The artefacts that a run replaces, under their names in the archive."""
+    t = C.monitored_sets(spark, d).filter("last_amended is not null")
+    artefacts = t.select("set_name", "file_id", iso("last_amended").alias("at"), F.lit("{}").alias("analysis"), F.when(F.col("id") % 2 == 0, F.col("set_name")).alias("snapshot"), F.concat(F.lit("d"), "id").alias("diff"))
+    return S.archive(artefacts, t.filter("id % 3 = 0"))
+
+
 # --- replies of the model -----------------------------------------------------------
 
 _CASES = (
@@ -607,8 +650,8 @@ def _sql_values() -> str:
 @query(f"SELECT event_id, w.error, w.verdict, w.summary, w.priority FROM events JOIN (VALUES {_sql_values()}) w(i, error, verdict, summary, priority) ON event_id % {len(_CASES)} = i")
 def llm_response_validate(spark, d) -> DataFrame:
     raw = F.element_at(F.array(*map(F.lit, _CASES)), (F.col("event_id") % len(_CASES) + 1).cast("int"))
-    t = C.table(spark, d, "events").select("event_id", raw.alias("raw")).withColumns(A.check_reply(F.col("raw")))
-    return t.select("event_id", "error", "verdict", "summary", "priority")
+    t = C.table(spark, d, "events").select("event_id", raw.alias("raw"))
+    return A.check_reply(t, "raw").select("event_id", "error", "verdict", "summary", "priority")
 
 
 @query("""SELECT doc_id, 'A monitored set of documents named "' || source || '" has changed. Lines of the diff that begin with - were removed, those with + were added.' || chr(10) || 'Changed documents: ' || lang || ', B. All others are unchanged.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Patterns found in changed lines: money. These are hints, not findings.' || chr(10) ELSE '' END || 'Answer with one JSON object with the keys verdict, summary, analysis, priority; verdict is one of material_change, no_material_change, uncertain, priority one of critical, high, medium, low.' || chr(10) || chr(10) || coalesce(text, '') AS prompt FROM documents""")
@@ -619,7 +662,7 @@ def prompt_build(spark, d) -> DataFrame:
 
 @query()
 def analyse_sets(spark, d) -> DataFrame:
-    moved = D.diff_moved(C.classified(spark, d).filter(F.col("outcome") == G.CHANGED), C.CFG)
+    moved = D.diff_moved(C.changed(spark, d), C.CFG)
     per = moved.groupBy("set_name").agg(F.array_sort(F.collect_list("label")).alias("labels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
     t = per.join(D.combine(moved), "set_name").select("set_name", A.prompt(F.col("set_name"), F.col("combined"), F.col("labels"), F.col("tags")).alias("prompt"))
     return A.analyse(t)
@@ -666,12 +709,27 @@ def _places(t: DataFrame, *order: F.Column) -> DataFrame:
 _SORT = "CASE health WHEN 'failing' THEN 0 WHEN 'degraded' THEN 1 ELSE 2 END, coalesce(last_amended, TIMESTAMP '1970-01-01') DESC, id"
 
 
-@query(f"WITH {_VIEW} SELECT id, row_number() OVER (ORDER BY {_SORT}) AS place FROM v ORDER BY place LIMIT 50")
+@query(f"WITH {_VIEW} SELECT id, row_number() OVER (ORDER BY {_SORT}) AS place FROM v")
 def sidebar_sort_health(spark, d) -> DataFrame:
     rank = F.when(F.col("health") == "failing", 0).when(F.col("health") == "degraded", 1).otherwise(2)
     return _places(_with_health(spark, d), rank, F.coalesce("last_amended", F.lit("1970-01-01").cast("timestamp")).desc(), F.col("id").asc()).select("id", "place")
 
 
+@query(f"WITH {_VIEW} SELECT id, row_number() OVER (ORDER BY lower(set_name), set_name, id) AS place FROM v")
+def sidebar_sort_name(spark, d) -> DataFrame:
+    return _places(_with_health(spark, d), F.lower("set_name").asc(), F.col("set_name").asc(), F.col("id").asc()).select("id", "place")
+
+
+@query(f"WITH {_VIEW} SELECT id, row_number() OVER (ORDER BY coalesce(last_amended, TIMESTAMP '1970-01-01') DESC, id) AS place FROM v")
+def sidebar_sort_amended(spark, d) -> DataFrame:
+    return _places(_with_health(spark, d), F.coalesce("last_amended", F.lit("1970-01-01").cast("timestamp")).desc(), F.col("id").asc()).select("id", "place")
+
+
+@query(f"WITH {_VIEW} SELECT id, row_number() OVER (ORDER BY last_checked DESC, id) AS place FROM v")
+def sidebar_sort_checked(spark, d) -> DataFrame:
+    return _places(_with_health(spark, d), F.col("last_checked").desc(), F.col("id").asc()).select("id", "place")
+
+
 _CUT = f"TIMESTAMP '{NOW_TS}' - INTERVAL 7 DAYS"
 
 
@@ -699,6 +757,15 @@ def by_category(spark, d) -> DataFrame:
     return C.monitored_sets(spark, d).groupBy(F.coalesce("category", F.lit("Uncategorized")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+@query(f"WITH {_VIEW} SELECT coalesce(category, 'Uncategorized') AS category, id, row_number() OVER (PARTITION BY coalesce(category, 'Uncategorized') ORDER BY lower(set_name), set_name, id) AS place FROM v")
+def category_members(spark, d) -> DataFrame:
+    """Every set with its place in its category: a category of any size is ordered in ranges, not in one task."""
+    category = F.coalesce("category", F.lit("Uncategorized"))
+    t = _places(_with_health(spark, d).withColumn("category", category), F.col("category").asc(), F.lower("set_name").asc(), F.col("set_name").asc(), F.col("id").asc())
+    first = t.groupBy("category").agg((F.min("place") - 1).alias("_before"))
+    return t.join(first, "category").select("category", "id", (F.col("place") - F.col("_before")).alias("place"))
+
+
 @query(f"WITH {_VIEW} SELECT strftime(max(last_checked), '%Y-%m-%d %H:%M:%S') AS last_scan, count(*) FILTER (WHERE coalesce(last_amended, TIMESTAMP '1970-01-01') <= {_CUT} AND health = 'ok') AS stable FROM v")
 def briefing_summary(spark, d) -> DataFrame:
     quiet = F.coalesce("last_amended", F.lit("1970-01-01").cast("timestamp")) <= now() - F.expr("INTERVAL 7 DAYS")
@@ -712,7 +779,7 @@ def briefing_markdown(spark, d) -> DataFrame:
     return failing.unionByName(changes).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
 
 
-@query(f"WITH {C.CLASSIFIED} SELECT url, outcome AS status, outcome = 'changed' AS changed FROM cls WHERE set_name IN ('src1', 'src2')")
+@query(f"WITH {C.CLASSIFIED} SELECT url, outcome AS status, outcome = 'changed' AS changed FROM cls")
 def document_status_list(spark, d) -> DataFrame:
     docs = S.next_documents(C.classified(spark, d), C.NOW)
     # no filter: pushed below, it would work out outcomes again and again

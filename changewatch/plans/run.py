@@ -1,15 +1,18 @@
-"""A whole monitoring run: captures in, next state, reviews, run log, health and alerts out.
+"""A whole monitoring run: captures in, next state, reviews, archive, history, run log, health and alerts out.
 
 State lives in tables below ``root``, one folder a run. A run writes its own
-folder and publishes it by replacing a pointer, so a run that dies leaves the
-state before it. A dry run returns the same frames and writes nothing.
+folder and publishes it last, so a run that dies leaves the state before it.
+What several tables are made from - the outcomes, the diffs, and above all the
+replies of the model - is written once and read back. A dry run returns the
+same frames and writes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changewatch import schemas
@@ -23,8 +26,10 @@ from changewatch.operators import reports as R
 from changewatch.operators import state as S
 from changewatch.sources import files
 
-DOCUMENT = ("set_name", "url", "label", "status", "hash", "length", "pipeline_version", "etag", "consecutive_failures", "last_success", "last_error", "last_changed", "suspect_length", "rebaseline_reason", "last_checked")
+DOCUMENT = ("set_name", "url", "doc_id", "label", "status", "hash", "length", "pipeline_version", "etag", "last_modified", "extractor", "http_status", "fetch_ms", "consecutive_failures", "last_success", "last_error", "last_changed", "suspect_length", "rebaseline_reason", "last_checked")
 SET = "set_name string, category string, file_id string, hash string, last_checked string, last_amended string, last_priority string, last_verdict string, review_verdict string, review_summary string, schema_failures long, consecutive_failures long, last_success string"
+ARTEFACTS = "set_name string, file_id string, at string, analysis string, snapshot string, diff string"
+ARCHIVE = "file_name string, text string"
 
 
 @dataclass(frozen=True)
@@ -38,31 +43,64 @@ class Run:
     log: DataFrame
     health: DataFrame
     alerts: DataFrame
+    artefacts: DataFrame
+    archive: DataFrame
+    history: DataFrame
     path: str | None
 
 
 def _stored(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     home = files.current(spark, root)
-    return spark.createDataFrame([], schema) if home is None else spark.read.parquet(f"{home}/{name}")
+    return spark.createDataFrame([], schema) if home is None or not files.exists(spark, f"{home}/{name}") else spark.read.parquet(f"{home}/{name}")
 
 
-def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, now: str, *, run_id: str, cfg: Config = Config(), analyser: A.Analyser = A.stub, dry_run: bool = False) -> Run:
-    """``sets``: set_name, category. ``captures``: set_name, url, label, status, text, etag, error. ``now``: an ISO time, the run's only clock."""
-    documents = _stored(spark, root, "documents", schemas.DOCUMENT)
-    stored = _stored(spark, root, "baselines", schemas.BASELINE)
-    before = _stored(spark, root, "sets", SET)
-    known = documents.join(stored.withColumnRenamed("text", "stored"), ["set_name", "url"], "left")
-    prior = known.select("set_name", "url", "hash", "length", "pipeline_version", "stored", "consecutive_failures", "last_success", "last_changed", "etag")
-
+def _noise(cfg: Config) -> Column:
+    """The patterns of an address's host, those for all hosts first."""
     everywhere, by_host = cfg.normalisation.noise_patterns, cfg.normalisation.per_source_noise
     noise = F.lit(None).cast("array<string>") if not everywhere else F.array(*map(F.lit, everywhere))
     for host, patterns in by_host.items():
         noise = F.when(X.host(F.col("url")) == host, F.array(*map(F.lit, [*everywhere, *patterns]))).otherwise(noise)
-    read = captures.filter("status = 'ok'").withColumn("_now", udfs.normalise("text", noise)).unionByName(captures.filter("status <> 'ok'").withColumn("_now", F.lit(None).cast("string")))
-    # state, reviews, log and health all read it
-    t = G.classify(read, prior, cfg, F.col("_now")).drop("text", "_now").persist()
+    return noise
+
+
+def usable(sets: DataFrame) -> DataFrame:
+    """(set_name, category) of named sets, of a name the first; definitions with addresses are checked as ``state.valid_sets`` does."""
+    if "setName" in sets.columns:
+        return S.valid_sets(sets).select(F.col("setName").alias("set_name"), "category")
+    return sets.select("set_name", "category").filter("coalesce(set_name, '') <> ''").groupBy("set_name").agg(F.first("category").alias("category"))
+
+
+def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, now: str, *, run_id: str, cfg: Config = Config(), analyser: A.Analyser = A.stub, dry_run: bool = False, only: Sequence[str] | None = None, legacy: DataFrame | None = None) -> Run:
+    """One run.
+
+    ``sets``: set_name, category, or definitions with setName and urls.
+    ``captures``: set_name, url, label, status, text, etag, error, and if the
+    source says so last_modified, extractor, http_status, fetch_ms. ``now``: an
+    ISO time, the run's only clock. ``only``: the sets to look at, all others
+    are carried forward. ``legacy``: (set_name, aggregate), texts of sets from
+    before the state had a record for each document; they seed what is not known.
+    """
+    sets = usable(sets)
+    if only is not None:
+        sets = sets.filter(F.col("set_name").isin(*only))
+    captures = captures.join(sets.select("set_name"), "set_name", "left_semi")
+    documents = _stored(spark, root, "documents", schemas.DOCUMENT)
+    stored = _stored(spark, root, "baselines", schemas.BASELINE)
+    before = _stored(spark, root, "sets", SET)
+    if legacy is not None:
+        seed = S.split_aggregate(legacy, ["set_name"], "aggregate").join(captures.select(*G.KEYS), G.KEYS, "left_semi").join(documents.select(*G.KEYS), G.KEYS, "left_anti")
+        seed = seed.select(*G.KEYS, X.squeeze(F.col("text")).alias("text")).filter("text <> ''")
+        records = seed.select(*G.KEYS, X.content_hash(F.col("text")).alias("hash"), F.length("text").cast("long").alias("length"), F.lit(1).alias("pipeline_version"), F.lit("legacy").alias("extractor"))
+        documents, stored = documents.unionByName(records, allowMissingColumns=True), stored.unionByName(seed)
+    prior = documents.join(stored.withColumnRenamed("text", "stored"), G.KEYS, "left").select(*G.KEYS, "hash", "length", "pipeline_version", "stored", "consecutive_failures", "last_success", "last_changed", "etag", "last_modified", "extractor")
+
+    def keep(name: str, frame: DataFrame) -> DataFrame:
+        return frame.persist() if dry_run else files.keep(spark, frame, root, run_id, name)
+
+    normalised = udfs.normalise("text", _noise(cfg))
+    t = keep("outcomes", G.classify(captures, prior, cfg, normalised, hold=lambda df: keep("gate", df)))
+    moved = keep("diffs", D.diff_moved(G.changed(t, captures, prior, normalised), cfg).drop("text_now", "prior_stored"))
 
-    moved = D.diff_moved(t.filter(F.col("outcome") == G.CHANGED), cfg).persist()
     per = moved.groupBy("set_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("url", "label"))), lambda x: x["label"]).alias("labels"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
@@ -71,16 +109,19 @@ def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, no
     asked = per.join(D.combine(moved), "set_name", "left").withColumn("combined", F.coalesce("combined", F.lit("")))
     asked = asked.withColumn("prompt", A.prompt(F.col("set_name"), F.col("combined"), F.col("labels"), F.col("tags")))
     if dry_run:
-        answered = asked.withColumns({"reply": F.lit(None).cast("string"), "attempts": F.lit(0).cast("long"), "failure": F.lit("")})
+        nothing = F.lit(0).cast("long")
+        answered = asked.withColumns({"reply": F.lit(None).cast("string"), "attempts": nothing, "failure": F.lit(""), "prompt_tokens": nothing, "output_tokens": nothing})
     else:
-        answered = asked.join(A.analyse(asked, analyser).withColumnRenamed("error", "failure"), "set_name")
-    reviews = answered.withColumns(A.check_reply(F.col("reply"))).withColumn("error", F.coalesce(F.nullif("failure", F.lit("")), "error")).drop("prompt", "reply", "failure").persist()
+        # asked once: all that depends on a reply reads what is written here
+        replies = keep("replies", A.analyse(asked, analyser).withColumnRenamed("error", "failure"))
+        answered = asked.join(replies, "set_name")
+    reviews = keep("reviews", A.check_reply(answered, "reply").withColumn("error", F.coalesce(F.nullif("failure", F.lit("")), "error")).drop("prompt", "reply", "failure"))
 
     failed = reviews.filter("verdict is null").select("set_name")
     docs = S.revert(S.next_documents(t, now), prior, failed).select(*DOCUMENT)
-    pending = docs.filter("status = 'analysis_pending'").select("set_name", "url", F.lit(True).alias("_pending"))
-    texts = S.baselines(t).join(pending, ["set_name", "url"], "left").join(prior.select("set_name", "url", F.col("stored").alias("_old")), ["set_name", "url"], "left")
-    texts = texts.select("set_name", "url", F.when(F.col("_pending"), F.col("_old")).otherwise(F.col("text")).alias("text")).filter("text is not null")
+    # texts of documents that wait for another try stay as they were, like their hashes
+    pending = docs.filter("status = 'analysis_pending'").select(*G.KEYS)
+    texts = S.baselines(t.join(pending, G.KEYS, "left_anti"), captures, stored, normalised)
 
     rollup = S.set_rollup(t)
     now_sets = (
@@ -89,7 +130,7 @@ def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, no
         .join(S.rollup_hash(docs).withColumnRenamed("hash", "hash_now"), "set_name")
         .join(before.select("set_name", "last_amended", "last_priority", "last_verdict", "schema_failures"), "set_name", "left")
         .join(reviews.select("set_name", "verdict", "priority", F.col("summary").alias("review_summary"), "error"), "set_name", "left")
-        .join(sets.select("set_name", "category"), "set_name", "left")
+        .join(sets, "set_name", "left")
     )
     first = F.col("decision") == "first_scan"
     badged = S.badge(now_sets, now)
@@ -102,20 +143,35 @@ def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, no
     )
     kept = before.join(out_sets.select("set_name"), "set_name", "left_anti").unionByName(out_sets)
 
+    spent = [F.col("attempts").alias("llm_attempts"), "prompt_tokens", "output_tokens"]
+    none = [F.lit(0).cast("long").alias(c) for c in ("llm_attempts", "prompt_tokens", "output_tokens")]
     log = t.select(
-        F.lit(run_id).alias("run_id"), F.lit(now).alias("timestamp"), "set_name", "url", "label", "outcome", F.col("length_now").alias("length"), F.lit(False).alias("llm_called"), F.lit(0).cast("long").alias("llm_attempts"), F.lit(None).cast("string").alias("verdict"), F.concat_ws(": ", "error", "reason", "detail").alias("error")
+        F.lit(run_id).alias("run_id"), F.lit(now).alias("timestamp"), "set_name", "url", "label", "outcome", F.col("length_now").alias("length"), F.lit(False).alias("llm_called"), *none, F.lit(None).cast("string").alias("verdict"), F.concat_ws(": ", "error", "reason", "detail").alias("error")
     ).unionByName(reviews.select(
-        F.lit(run_id).alias("run_id"), F.lit(now).alias("timestamp"), "set_name", F.lit("").alias("url"), F.lit("(set)").alias("label"), F.when(F.col("verdict").isNull(), "schema_failed").otherwise("analysed").alias("outcome"), F.lit(None).cast("long").alias("length"), F.lit(not dry_run).alias("llm_called"), F.col("attempts").alias("llm_attempts"), "verdict", F.coalesce("error", F.lit("")).alias("error")
+        F.lit(run_id).alias("run_id"), F.lit(now).alias("timestamp"), "set_name", F.lit("").alias("url"), F.lit("(set)").alias("label"), F.when(F.col("verdict").isNull(), "schema_failed").otherwise("analysed").alias("outcome"), F.lit(None).cast("long").alias("length"), F.lit(not dry_run).alias("llm_called"), *spent, "verdict", F.coalesce("error", F.lit("")).alias("error")
     ))
     health = R.set_health(sets.select("set_name"), docs, cfg)
     alerts = R.alerts(kept, docs, R.error_rate(log), cfg)
+
+    # of an analysed set the version before goes to the archive, then the new one takes its place
+    artefacts, archived = _stored(spark, root, "artefacts", ARTEFACTS), _stored(spark, root, "archive", ARCHIVE)
+    made = reviews.filter("verdict is not null").select(
+        "set_name", X.slug(F.col("set_name")).alias("file_id"), F.lit(now).alias("at"),
+        F.to_json(F.struct("verdict", "summary", F.col("reply_analysis").alias("analysis"), "priority", F.lit(now).alias("date_time"), F.col("labels").alias("changed_documents"), F.struct("added", "removed").alias("diff_stats"), F.col("tags").alias("fingerprint"))).alias("analysis"), F.col("combined").alias("diff"),
+    )
+    snapshots = S.aggregate_snapshot(texts.join(made.select("set_name"), "set_name", "left_semi"), "set_name", "url", "url", "text")
+    made = made.join(snapshots, "set_name", "left").withColumnRenamed("aggregate", "snapshot")
+    archived = archived.unionByName(S.archive(artefacts, made)).dropDuplicates(["file_name"])
+    archived = archived.join(R.expired(archived.select("file_name"), now, cfg.retention.log_days), "file_name", "left_anti")
+    artefacts = artefacts.join(made.select("set_name"), "set_name", "left_anti").unionByName(made)
+    history = R.history_records(archived, kept.select("file_id"))
+
+    frames = {"documents": docs, "baselines": texts, "sets": kept, "log": log, "health": health, "alerts": alerts, "artefacts": artefacts, "archive": archived, "history": history}
     path = None
     if not dry_run:
-        carried = documents.select(*(F.col(c) for c in DOCUMENT)).join(docs.select("set_name", "url"), ["set_name", "url"], "left_anti")
-        old = stored.join(texts.select("set_name", "url"), ["set_name", "url"], "left_anti")
-        frames = {"documents": docs.unionByName(carried), "baselines": texts.unionByName(old), "sets": kept, "reviews": reviews, "log": log, "health": health, "alerts": alerts}
+        frames["documents"] = docs.unionByName(documents.select(*DOCUMENT).join(docs.select(*G.KEYS), G.KEYS, "left_anti"))
         path = files.commit(spark, frames, root, run_id)
-        docs, texts, kept, reviews, log, health, alerts = (spark.read.parquet(f"{path}/{n}") for n in frames)
-        t.unpersist()
-        moved.unpersist()
-    return Run(docs, texts, kept, reviews, log, health, alerts, path)
+        frames = {name: spark.read.parquet(f"{path}/{name}") for name in frames}
+        # the state holds all documents; the run's own are those that it captured
+        frames["documents"] = frames["documents"].join(t.select(*G.KEYS), G.KEYS, "left_semi")
+    return Run(reviews=reviews, path=path, **frames)

@@ -4,7 +4,8 @@ Every document is monitored in the set of its source. Its stored baseline is
 its text; its capture differs by the last digits of its id, so that each
 outcome occurs: an added clause, doubled spaces, a third of the text, a
 browser's error page, not modified, a failed request, a baseline of an older
-version, no baseline, the text three times, no text, or the same text.
+version, no baseline, the text three times, no text, other line ends, or the
+same text.
 """
 
 from __future__ import annotations
@@ -27,17 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt out by their set and address, as stored captures and baselines would be: they meet without another shuffle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce("source", F.lit("none")).alias("set_name"), _url().alias("url"))
+    return d.repartition("set_name", "url")
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, m, h = table(spark, sf_dir, "documents"), F.col("doc_id") % 10, F.col("doc_id") % 100
+    d, m, h = _documents(spark, sf_dir), F.col("doc_id") % 10, F.col("doc_id") % 100
     text = F.coalesce("text", F.lit(""))
     raw = (
-        F.when(h == 8, F.repeat(text, 3)).when(h == 18, "")
+        F.when(h == 8, F.repeat(text, 3)).when(h == 18, "").when(h == 19, F.replace(text, F.lit("\n"), F.lit("\u2028")))
         .when(m == 0, F.concat(text, F.lit(CLAUSE))).when(m == 1, F.replace(text, F.lit(" "), F.lit("  ")))
         .when(m == 2, F.left(text, F.greatest(F.lit(1), F.floor(F.length(text) / 3).cast("int")))).when(m == 3, BLOCKED).otherwise(text)
     )
     status = F.when(m == 4, "not_modified").when(m == 5, "failed").otherwise("ok")
     return d.select(
-        "doc_id", F.coalesce("source", F.lit("none")).alias("set_name"), "lang", _url().alias("url"), F.concat(F.lit("Doc "), F.col("doc_id")).alias("label"), status.alias("status"),
+        "doc_id", "set_name", "lang", "url", F.concat(F.lit("Doc "), F.col("doc_id")).alias("label"), status.alias("status"),
         F.when(status == "ok", raw).alias("text"), F.concat(F.lit("e"), F.col("doc_id"), F.lit("b")).alias("etag"), F.when(status == "failed", "HTTP 503").alias("error"),
     )
 
@@ -47,10 +54,10 @@ def _url():
 
 
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, m = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    d, m = _documents(spark, sf_dir), F.col("doc_id") % 10
     stored = X.squeeze(F.col("text"))
     return d.filter(m != 7).select(
-        F.coalesce("source", F.lit("none")).alias("set_name"), _url().alias("url"), stored.alias("stored"), X.content_hash(stored).alias("hash"), F.length(stored).cast("long").alias("length"),
+        "set_name", "url", stored.alias("stored"), X.content_hash(stored).alias("hash"), F.length(stored).cast("long").alias("length"),
         F.when(m == 6, 1).otherwise(2).alias("pipeline_version"), (F.col("doc_id") % 4).alias("consecutive_failures"), F.lit(BEFORE).alias("last_success"), F.lit(BEFORE).alias("last_changed"), F.concat(F.lit("e"), F.col("doc_id")).alias("etag"),
     )
 
@@ -66,6 +73,11 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.classify(captures(spark, sf_dir), prior(spark, sf_dir), CFG)
 
 
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed documents with both texts."""
+    return gates.changed(classified(spark, sf_dir), captures(spark, sf_dir), prior(spark, sf_dir))
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: a record for each event, its outcome by the event's type."""
     return table(spark, sf_dir, "events").select(
@@ -128,11 +140,16 @@ def sql_signature(x: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({sql_fold(x)}, {_Q(s.lower())}) THEN {_Q(s)}" for s in FAILURE_SIGNATURES) + " END"
 
 
+def sql_lines(x: str) -> str:
+    """The lines of a normalised text, whatever ends them."""
+    return f"string_split(regexp_replace(translate({x}, chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), repeat(chr(10), 6)), '\\n\\z', ''), chr(10))"
+
+
 _URL = "'https://docs.example.org/' || coalesce(source, 'none') || '/doc-' || doc_id || '.html'"
 CAPTURES = f"""cap AS (
   SELECT doc_id, coalesce(source, 'none') AS set_name, lang, {_URL} AS url, 'Doc ' || doc_id AS label,
     CASE doc_id % 10 WHEN 4 THEN 'not_modified' WHEN 5 THEN 'failed' ELSE 'ok' END AS status,
-    CASE WHEN doc_id % 10 IN (4, 5) THEN NULL WHEN doc_id % 100 = 8 THEN repeat(coalesce(text, ''), 3) WHEN doc_id % 100 = 18 THEN ''
+    CASE WHEN doc_id % 10 IN (4, 5) THEN NULL WHEN doc_id % 100 = 8 THEN repeat(coalesce(text, ''), 3) WHEN doc_id % 100 = 18 THEN '' WHEN doc_id % 100 = 19 THEN replace(coalesce(text, ''), chr(10), chr(8232))
       WHEN doc_id % 10 = 0 THEN coalesce(text, '') || {sql_text(CLAUSE)} WHEN doc_id % 10 = 1 THEN replace(coalesce(text, ''), ' ', '  ')
       WHEN doc_id % 10 = 2 THEN left(coalesce(text, ''), greatest(1, length(coalesce(text, '')) // 3)) WHEN doc_id % 10 = 3 THEN {_Q(BLOCKED)} ELSE coalesce(text, '') END AS text,
     'e' || doc_id || 'b' AS etag, CASE WHEN doc_id % 10 = 5 THEN 'HTTP 503' END AS error
@@ -153,7 +170,7 @@ judged AS (
 cls AS (
   SELECT *, CASE WHEN status = 'ok' AND reason IS NULL THEN sha256(text_now) END AS hash_now, CASE WHEN status = 'ok' THEN length(text_now) END AS length_now,
     CASE WHEN status = 'not_modified' THEN 'not_modified' WHEN status = 'failed' THEN 'fetch_failed' WHEN reason IS NOT NULL THEN 'suspect_scrape' WHEN coalesce(prior_hash, '') = '' THEN 'new'
-      WHEN prior_version <> 2 OR coalesce(stored, '') = '' THEN 'rebaselined' WHEN prior_hash = sha256(text_now) THEN 'unchanged' ELSE 'changed' END AS outcome
+      WHEN prior_version <> 2 OR coalesce(stored, '') = '' THEN 'rebaselined' WHEN prior_hash = sha256(text_now) OR {sql_lines("stored")} = {sql_lines("text_now")} THEN 'unchanged' ELSE 'changed' END AS outcome
   FROM judged)"""
 PREVIOUS = f"""prev AS (
   SELECT set_name, sha256(set_name) AS hash, length(set_name) % 3 AS consecutive_failures, '{BEFORE}' AS last_success, length(set_name) % 4 AS schema_failures

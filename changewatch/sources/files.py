@@ -6,8 +6,6 @@ different keys, and nothing is inferred. A missing path gives an empty frame.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,51 +65,96 @@ def write_run_log(records: DataFrame, path: str) -> None:
     records.withColumn("day", F.to_date(F.col("timestamp").try_cast("timestamp"))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def prune_run_log(spark: SparkSession, path: str, now: str, days: int) -> int:
+    """Drop the folders of days past retention; returns how many. Records without a time stay."""
+    import datetime
+
+    oldest = datetime.datetime.fromisoformat(now.replace("Z", "+00:00")).date() - datetime.timedelta(days=days)
+    p, fs = _path(spark, f"{path}/day=*")
+    dropped = 0
+    for f in fs.globStatus(p) or []:
+        day = f.getPath().getName().removeprefix("day=")
+        if day[:4].isdigit() and datetime.date.fromisoformat(day) < oldest:
+            dropped += bool(fs.delete(f.getPath(), True))
+    return dropped
+
+
 def retain_run_log(spark: SparkSession, path: str, now: str, days: int) -> DataFrame:
     """The records of a run log that are within retention."""
     return reports.recent(spark.read.parquet(path), now, days)
 
 
-def commit(spark: SparkSession, frames: dict[str, DataFrame], root: str, run_id: str) -> str:
-    """Write a run's tables under one new folder, then point to it: readers see the run before or this one, never a mixture.
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def home_of(root: str, run_id: str) -> str:
+    return f"{root}/runs/{run_id}"
+
+
+def keep(spark: SparkSession, frame: DataFrame, root: str, run_id: str, name: str) -> DataFrame:
+    """Write one of a run's tables and read it back: whatever reads it later sees what was written, also if executors are lost."""
+    path = f"{home_of(root, run_id)}/{name}"
+    frame.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
-    Returns the folder. The pointer is replaced by a rename.
+
+def publish(spark: SparkSession, root: str, run_id: str) -> str:
+    """Make a run's folder the current one; returns it.
+
+    Every publication is a new empty file, whose name has the next number and
+    the run; the greatest number counts. Nothing is deleted or replaced, so
+    at every moment readers see the run before or this one. Raises OSError if
+    another run took the number.
     """
-    home = f"{root}/runs/{run_id}"
+    numbers = [n for n, _ in _published(spark, root)]
+    number = max(numbers, default=0) + 1
+    # the number alone decides who was first, as creating it fails if it is there
+    claim, fs = _path(spark, f"{root}/claims/{number:012d}")
+    if not fs.createNewFile(claim):
+        raise OSError(f"run {number} of {root} was published meanwhile")
+    pointer, _ = _path(spark, f"{root}/published/{number:012d}-{run_id}")
+    fs.create(pointer, False).close()
+    return home_of(root, run_id)
+
+
+def _published(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, run) of every publication: one name for each run, without its contents."""
+    p, fs = _path(spark, f"{root}/published/*")
+    found = fs.globStatus(p) or []
+    return [(int(number), run_id) for number, _, run_id in (f.getPath().getName().partition("-") for f in found)]
+
+
+def commit(spark: SparkSession, frames: dict[str, DataFrame], root: str, run_id: str) -> str:
+    """Write a run's tables under one new folder, then publish it: readers see the run before or this one, never a mixture."""
     for name, frame in frames.items():
-        frame.write.mode("errorifexists").parquet(f"{home}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, pointer = path(f"{root}/CURRENT.{run_id}"), path(f"{root}/CURRENT")
-    out = fs.create(new, True)
-    out.write(bytearray(run_id.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(new, pointer):
-        raise OSError(f"{root}/CURRENT could not be replaced")
-    return home
+        keep(spark, frame, root, run_id, name)
+    return publish(spark, root, run_id)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    """The folder of the last committed run; None before the first."""
-    if not exists(spark, f"{root}/CURRENT"):
-        return None
-    return f"{root}/runs/{spark.read.text(f'{root}/CURRENT').first()[0]}"
+    """The folder of the run that was published last; None before the first."""
+    found = _published(spark, root)
+    return home_of(root, max(found)[1]) if found else None
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def alert_markdown(alerts: DataFrame, overall: str, generated_at: str, limit: int = 1000) -> str:
-    """The text of an alert; '' without alerts. Lists the first ``limit`` by set and address and says how many more there are."""
-    rows = reports.alert_rows(alerts)
-    n = rows.count()
-    if not n:
-        return ""
-    listed = [r["row"] for r in rows.orderBy("set_name", "url", "kind").limit(limit).select("row").collect()]
+def alert_markdown(alerts: DataFrame, overall: str, generated_at: str) -> DataFrame:
+    """(line) of an alert in order, for ``write_lines``: a heading, then a row for each alert by set, address and kind. No rows without alerts."""
+    rows = reports.alert_rows(alerts).select(F.lit(1).alias("_part"), F.lit(0).alias("_n"), "set_name", "url", "kind", F.col("row").alias("line"))
     head = ["Some sources need attention.", "", f"Generated: {generated_at}", f"Overall status: **{overall}**", "", "| Source | Document | Problem | Consecutive failures |", "| --- | --- | --- | --- |"]
-    return "\n".join([*head, *listed, *([f"... and {n - limit} more"] if n > limit else [])])
+    lines = F.posexplode(F.array(*map(F.lit, head))).alias("_n", "line")
+    heading = rows.limit(1).select(F.lit(0).alias("_part"), lines).select("_part", "_n", F.lit("").alias("set_name"), F.lit("").alias("url"), F.lit("").alias("kind"), "line")
+    return heading.unionByName(rows).orderBy("_part", "_n", "set_name", "url", "kind").select("line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Ordered lines as text: part files, in the order of their names."""
+    lines.write.mode("overwrite").text(path)
 
 
 def paths(file_id: str, doc_id: str | None = None, stamp: str | None = None) -> dict[str, str]:
@@ -122,5 +165,3 @@ def paths(file_id: str, doc_id: str | None = None, stamp: str | None = None) ->
     if stamp:
         out |= {f"archived_{k}": f"logs/{file_id}_{stamp}_{v}" for k, v in (("analysis", "analysis.json"), ("snapshot", "snapshot.txt"), ("diff", "diff.txt"))}
     return out
-
-

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from changewatch.config import Config
 from changewatch.functions.udfs import normalise_text
-from changewatch.operators.gates import fold_plain
+from changewatch.operators.gates import holds_signature
 
 OUT = "set_name string, url string, captured_at timestamp, outcome string, failures long"
 STATE = "hash string, length long, failures long"
@@ -22,8 +22,7 @@ def refusal_of(text: str, prior_length: int | None, cfg: Config) -> str | None:
     v = cfg.validation
     if not text.strip():
         return "empty"
-    folded = fold_plain(text)
-    if any(fold_plain(s) in folded for s in v.failure_signatures):
+    if holds_signature(text, v.failure_signatures):
         return "block_page"
     if len(text) < v.min_length:
         return "too_short"

@@ -31,6 +31,7 @@ def run(spark, text, *, status="ok", prior=LONG, version=2, failures=0, error=No
     p = [] if prior is None else [("s", "https://e.org/a", one(spark, X.content_hash(F.lit(stored))), len(stored), version, stored, failures, "before", "before", "e1")]
     c = spark.createDataFrame([("s", "https://e.org/a", "A", status, text, "e2", error)], CAPTURES)
     t = gates.classify(c, spark.createDataFrame(p, PRIOR))
+    run.changed = gates.changed(t, c, spark.createDataFrame(p, PRIOR))
     return t, t.first(), state.next_documents(t, NOW).first()
 
 
@@ -46,6 +47,8 @@ def run(spark, text, *, status="ok", prior=LONG, version=2, failures=0, error=No
         (LONG, LONG, "unchanged", None),
         (LONG.replace(" ", "  ") + "\r\n\r\n", LONG, "unchanged", None),
         (LONG + "\nmore", LONG, "changed", None),
+        (LONG.strip() + "\u2028more", LONG + "\nmore", "unchanged", None),
+        (LONG.strip() + "\u2028more\x85x", LONG + "\nmore", "changed", None),
     ],
 )
 def test_outcomes(spark, text, prior, outcome, reason):
@@ -75,8 +78,8 @@ def test_failures_count_up_and_reset(spark):
 
 
 def test_diff_and_tags(spark):
-    t, _, _ = run(spark, LONG + "\nA 30% fee applies. Disputes go to arbitration.")
-    row = diffs.diff_moved(t).first()
+    run(spark, LONG + "\nA 30% fee applies. Disputes go to arbitration.")
+    row = diffs.diff_moved(run.changed).first()
     assert row["diff"]["added"] == 1 and row["diff"]["removed"] == 0
     assert row["tags"] == ["percentage", "watchlist:arbitration"]
 
@@ -143,7 +146,7 @@ def test_replies_are_checked_alike_in_both_places(spark):
     good = '{"verdict": "uncertain", "summary": "s", "analysis": "a", "priority": "low"}'
     raw = [good, "```json\n" + good + "\n```", good.replace("uncertain", "x"), good.replace('"s"', "1"), good.replace('"a"', '" "'), "[]", "x", "", good.replace("low", "unknown"), '{"verdict": "uncertain"}']
     t = spark.createDataFrame([(r,) for r in raw], "raw string")
-    got = {r["raw"]: r["error"] or "" for r in t.withColumns(analysis.check_reply(F.col("raw"))).collect()}
+    got = {r["raw"]: r["error"] or "" for r in analysis.check_reply(t, "raw").collect()}
     assert got == {r: analysis.broken(r) for r in raw}
 
 
@@ -153,6 +156,9 @@ def test_analyser_is_asked_again_once(spark):
     assert (bad["reply"], bad["attempts"], bad["error"]) == (None, 2, "not JSON")
     good = analysis.analyse(t).first()
     assert good["attempts"] == 1 and not good["error"]
+    counted = analysis.analyse(t, lambda p: analysis.Reply("no", 900, 250)).first()
+    assert (counted["prompt_tokens"], counted["output_tokens"]) == (1800, 500)
+    assert analysis.usage(None) == ("", 0, 0) and analysis.usage(("x", None, 3)) == ("x", 0, 3)
 
 
 def test_failed_analysis_restores_hash_and_validators(spark):
@@ -170,7 +176,10 @@ def test_three_bad_runs_raise_one_alert(spark):
     assert sorted(r["kind"] for r in reports.alerts(sets, docs, rate).collect()) == ["schema_failures", "source_failing"]
     health = {r["set_name"]: r["status"] for r in reports.set_health(sets, docs).collect()}
     assert health == {"s": "failing", "t": "failing"}
-    assert "| s | u | source_failing" in files.alert_markdown(reports.alerts(sets, docs, rate), "failing", NOW)
+    lines = [r["line"] for r in files.alert_markdown(reports.alerts(sets, docs, rate), "failing", NOW).collect()]
+    assert lines[0].startswith("Some sources") and len(lines) == 9 and lines[7].startswith("| s | u | source_failing") and lines[8].startswith("| t |")
+    many = spark.range(3000).select(F.lit("source_failing").alias("kind"), F.lit("s").alias("set_name"), F.format_string("u%05d", "id").alias("url"), F.lit(3).alias("failures"), F.lit("").alias("detail"))
+    assert files.alert_markdown(many, "failing", NOW).count() == 3007 and files.alert_markdown(many.limit(0), "ok", NOW).count() == 0
 
 
 def test_error_rate_of_nothing_is_zero(spark):
@@ -230,6 +239,29 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{files.current(spark, root)}/a").count() == 2
 
 
+def test_a_run_that_dies_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    files.commit(spark, {"a": spark.range(1)}, root, "r1")
+    home = files.current(spark, root)
+    with pytest.raises(Exception, match="boom"):
+        files.commit(spark, {"a": spark.range(2), "b": spark.range(1).select(F.raise_error(F.lit("boom")).alias("x"))}, root, "r2")
+    assert files.current(spark, root) == home
+    # dies after its tables, between the claim of a number and the publication
+    files.keep(spark, spark.range(3), root, "r3", "a")
+    (tmp_path / "claims").mkdir(exist_ok=True)
+    (tmp_path / "claims" / f"{2:012d}").touch()
+    assert files.current(spark, root) == home and spark.read.parquet(f"{home}/a").count() == 1
+    with pytest.raises(OSError, match="published meanwhile"):
+        files.publish(spark, root, "r4")
+
+
+def test_old_days_of_the_log_are_dropped(spark, tmp_path):
+    log = spark.createDataFrame([("a", "2026-08-01T00:00:00Z"), ("b", "2026-01-01T00:00:00Z"), ("c", None)], "run_id string, timestamp string")
+    files.write_run_log(log, str(tmp_path / "log"))
+    assert files.prune_run_log(spark, str(tmp_path / "log"), NOW, 90) == 1
+    assert {r["run_id"] for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {"a", "c"}
+
+
 def test_json_and_text_readers(spark, tmp_path):
     (tmp_path / "ok.json").write_text('{"verdict": "uncertain",\n "priority": "low"}')
     (tmp_path / "bad.json").write_text("{")
@@ -248,15 +280,40 @@ def answer(request):
         return {"status": 503, "body": "", "headers": {}}
     if "down" in url:
         raise OSError("no route")
+    if "block" in url:
+        return {"status": 200, "body": "Just a moment...", "headers": {"etag": "block"}}
+    if "404" in url:
+        return {"status": 404, "body": "", "headers": {}}
+    if "agent" in url:
+        return {"status": 200, "body": f"{request['headers']['User-Agent']} {request['timeout']}", "headers": {}}
     return {"status": 200, "body": "text", "headers": {"etag": "new"}}
 
 
+def browser(request):
+    return {"status": 200, "body": "rendered", "headers": {}}
+
+
+def test_fetching_escalates_as_far_as_it_has_to(spark):
+    quick = source.Config(fetch=source.from_mapping({"retry_delay_seconds": 0, "user_agent": "me", "timeout_seconds": 7}, type(source.Config().fetch)))
+    rows = [(f"https://e.org/{x}", "old", "p" if "proxy" in x else None, x == "200r") for x in ("200", "304", "block", "block-proxy", "404", "down", "agent", "200r")] + [(None, None, None, None)]
+    watched = spark.createDataFrame(rows, "url string, etag string, proxy string, render boolean")
+    kinds = lambda df, url: [(r["route_no"], r["status"], r["rendered"]) for r in df if r["url"] and r["url"].endswith(url)]
+    plain = source.fetch(watched, quick, client="test_monitoring:answer").collect()
+    assert kinds(plain, "/block") == [(0, "ok", False)] * 2 and kinds(plain, "-proxy") == [(0, "ok", False), (1, "ok", False)] * 2
+    assert kinds(plain, "/200") == [(0, "ok", False)] and [r["error"] for r in plain if r["url"] is None] == ["unsafe address, refused"]
+    assert [r["text"] for r in plain if r["url"] == "https://e.org/agent"] == ["me 7"]
+    both = source.fetch(watched, quick, client="test_monitoring:answer", render="test_monitoring:browser").collect()
+    assert kinds(both, "/block") == [(0, "ok", False), (0, "ok", True)] and kinds(both, "/404") == [(0, "failed", False)] * 2
+    assert kinds(both, "/down") == [(0, "failed", False), (0, "ok", True)] and kinds(both, "/200r") == [(0, "ok", False), (0, "ok", True)]
+    assert {(r["etag"], r["text"]) for r in both if r["url"] == "https://e.org/block" and r["rendered"]} == {("block", "rendered")}
+
+
 def test_capture_source(spark):
     import json
 
     spark.dataSource.register(source.CaptureSource)
     watched = "\n".join(json.dumps({"url": u, "etag": "old"}) for u in ("https://e.org/200", "https://e.org/304", "https://e.org/503", "https://e.org/down", "file:///x"))
-    got = spark.read.format("captures").option("watched", watched).option("client", "test_monitoring:answer").option("partitions", 2).load()
+    got = spark.read.format("captures").option("watched", watched).option("client", "test_monitoring:answer").option("partitions", 2).option("config", '{"fetch": {"retry_delay_seconds": 0}}').load()
     best = {r["url"]: (r["status"], r["tried"]) for r in state.first_usable(got).collect()}
     assert best == {"https://e.org/200": ("ok", 1), "https://e.org/304": ("not_modified", 1), "https://e.org/503": ("failed", 2), "https://e.org/down": ("failed", 2), "file:///x": ("failed", 1)}
 
@@ -276,6 +333,17 @@ def test_stream_of_captures(spark, tmp_path):
     assert [r["failures"] for r in got] == [0, 0, 1, 2, 0]
 
 
+def test_entry_works_where_a_library_of_the_corpus_operators_is_missing(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; assert 'document_outcomes' in e.queries() and not any(k.startswith('op') for k in e.queries()) and 'op3_mixing' not in e.oracle_sql()"
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": f"{tmp_path}:{root}", "PATH": "/usr/bin:/bin"})
+
+
 def test_entry_works_without_the_corpus_operators(tmp_path):
     import subprocess
     import sys

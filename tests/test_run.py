@@ -72,3 +72,33 @@ def test_not_modified_and_failing(spark, steps):
     assert set(outcomes(steps(status="not_modified")).values()) == {"not_modified"}
     down = steps(status="failed")
     assert set(outcomes(down).values()) == {"fetch_failed"} and down.sets.first()["last_success"] == "2026-08-11T00:00:00Z"
+
+
+def test_the_model_is_asked_once_and_its_version_is_archived(spark, steps, tmp_path):
+    asked = tmp_path / "asked"
+
+    def analyser(prompt):
+        with asked.open("a") as f:
+            f.write("x")
+        n = len(asked.read_text())
+        return '{"verdict": "material_change", "summary": "no. %d", "analysis": "a", "priority": "high"}' % n, 900, 250
+
+    steps()
+    first = steps({"aup": TEXT["aup"] + "\nFirst."}, analyser=analyser)
+    assert asked.read_text() == "x" and first.archive.count() == 0 and first.artefacts.first()["diff"].count("+First.") == 1
+    spent = first.log.filter("llm_called").first()
+    assert (spent["prompt_tokens"], spent["output_tokens"], spent["llm_attempts"]) == (900, 250, 1)
+    second = steps({"aup": TEXT["aup"] + "\nSecond."}, analyser=analyser)
+    assert asked.read_text() == "xx" and second.sets.first()["review_summary"] == "no. 2"
+    names = {r["file_name"] for r in second.archive.collect()}
+    assert names == {"s_20260811_000000_analysis.json", "s_20260811_000000_snapshot.txt", "s_20260811_000000_diff.txt"}
+    record = second.history.first()
+    assert (record["summary"], record["priority"], record["changed_documents"]) == ("no. 1", "high", ["aup"])
+    assert record["diff_path"] == "logs/s_20260811_000000_diff.txt" and record["ts"].day == 11
+    left = steps({"aup": "x"}, only=[])
+    assert left.documents.count() == 0 and left.sets.first()["review_summary"] == "no. 2" and left.history.count() == 1
+
+
+def test_texts_from_before_are_baselines_to_be_recorded_anew(spark, steps):
+    legacy = spark.createDataFrame([("s", f"--- Content from https://e.org/aup ---\n\n{TEXT['aup']}old words\n\n--- Content from https://e.org/gone ---\n\nx")], "set_name string, aggregate string")
+    assert outcomes(steps(legacy=legacy)) == {"aup": "rebaselined", "terms": "new", "privacy": "new"}
