@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores: dealt out anew only where it has fewer partitions, as a table of one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder, so that its lineage ends there.
 

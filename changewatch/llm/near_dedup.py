@@ -213,7 +213,7 @@ class Sampler:
 
 
 def document_frequencies(docs: DataFrame, params: Params) -> tuple[np.ndarray, int]:
-    """(counts by bucket, documents) over all texts: a task adds up its own documents, and tasks' blocks are summed as they stream by."""
+    """(counts by bucket, documents) over all texts: a task adds up its own documents, and tasks' blocks are summed as they stream by, first those of 32 tasks, then the sums."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(params.buckets, np.int64), 0
@@ -240,7 +240,9 @@ def document_frequencies(docs: DataFrame, params: Params) -> tuple[np.ndarray, i
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array(list(ns.values()), pa.int64())], names=["block", "counts", "n"])
 
     schema = "block int, counts binary, n long"
-    got = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()  # buckets / 4096 rows of 32 KB
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("group", F.floor(F.spark_partition_id() / 32))
+    sums = parts.repartition("block", "group").select("block", "counts", "n").mapInArrow(add, schema)
+    got = sums.repartition("block").mapInArrow(add, schema).collect()  # buckets / 4096 rows of 32 KB
     total, n = np.zeros(params.buckets, np.int64), 0
     for r in got:
         total[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int64)
@@ -298,16 +300,19 @@ def components(edges: DataFrame) -> Table:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
-    def star(sym: DataFrame, small: bool) -> DataFrame:
-        # sym: (a, b); the least neighbour of a, or a itself
-        least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    def star(sym: DataFrame, small: bool) -> Table:
+        # sym: (a, b); the least neighbour of a, or a itself. Written first: a join whose sides are shuffled and no more is one that Spark splits where a node has very many neighbours
+        found = Table(sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = found.df
         if small:
             down = sym.filter("b <= a")
             moved = down.join(least, "a")
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
         else:
             out = sym.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.filter("a <> b").distinct()
+        out = Table(out.filter("a <> b").distinct(), "edges")
+        found.drop()
+        return out
 
     def both(df: DataFrame) -> DataFrame:
         return df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -315,9 +320,9 @@ def components(edges: DataFrame) -> Table:
     now = Table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = state(now.df)
     while seen[0]:
-        large = Table(star(both(now.df), False), "edges")
+        large = star(both(now.df), False)
         now.drop()
-        now = Table(star(large.df.select("a", "b"), True), "edges")
+        now = star(large.df.select("a", "b"), True)
         large.drop()
         if (new := state(now.df)) == seen:
             break
@@ -393,17 +398,17 @@ def remaining(shared: DataFrame, roots: DataFrame, fetch, weights: Weights) -> T
     """
     rooted = shared.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    crowd = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    open_ = Table(rooted.join(crowd, "key").select("key", "node", "root", (F.col("root") != F.col("crowd")).alias("outside")), "open")
+    crowd = Table(parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "crowd")
+    open_ = Table(rooted.join(crowd.df, "key").select("key", "node", "root", (F.col("root") != F.col("crowd")).alias("outside")), "open")
     texts = Table(fetch(open_.df.select("node").distinct()).withColumn("chars", F.length("text")), "texts")
 
     def blocks(which) -> F.Column:
         return F.greatest(F.ceil(F.count_if(which) / BLOCK_NODES), F.ceil(F.sum(F.when(which, F.col("chars")).otherwise(0)) / BLOCK_CHARS), F.lit(1))
 
-    sizes = open_.df.join(texts.df.select("node", "chars"), "node").groupBy("key").agg(blocks(F.col("outside")).alias("outs"), blocks(~F.col("outside")).alias("ins"))
+    sizes = Table(open_.df.join(texts.df.select("node", "chars"), "node").groupBy("key").agg(blocks(F.col("outside")).alias("outs"), blocks(~F.col("outside")).alias("ins")), "blocks")
     chance = F.xxhash64("node", F.lit(5))
     place = F.when(F.col("outside"), F.pmod(chance, "outs")).otherwise(F.col("outs") + F.pmod(chance, "ins")).alias("place")
-    placed = open_.df.join(sizes, "key").select("key", "node", "root", "outside", "outs", "ins", place)
+    placed = open_.df.join(sizes.df, "key").select("key", "node", "root", "outside", "outs", "ins", place)
     # a block outside the crowd meets all blocks and itself; a block of the crowd meets those outside it
     met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("outs") + F.col("ins") - 1), lambda q: F.col("outside") | (q < F.col("outs")))
     cells = placed.select("key", "node", "root", "place", F.explode(met).alias("q")).select("key", F.least("place", "q").alias("i"), F.greatest("place", "q").alias("j"), "place", "node", "root")
@@ -430,8 +435,8 @@ def remaining(shared: DataFrame, roots: DataFrame, fetch, weights: Weights) -> T
             yield from flush()
 
     out = Table(dealt.mapInArrow(run, "a binary, b binary"), "links")
-    open_.drop()
-    texts.drop()
+    for t in (crowd, open_, texts, sizes):
+        t.drop()
     return out
 
 
@@ -444,14 +449,17 @@ def matches(members: DataFrame, fetch, weights: Weights) -> DataFrame:
     which is nearer to each than they are to each other. What that leaves
     apart is compared in blocks.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = Table(members.join(sizes, "key"), "shared")
+    # what is counted by bucket is written before it is joined, so that Spark may split the rows of a bucket that holds very many
+    sizes = Table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    shared = Table(members.join(sizes.df, "key"), "shared")
+    sizes.drop()
     central = shared.df.groupBy("node").agg(F.sum("n").alias("central"))
-    leaders = shared.df.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("b"))
-    led = shared.df.select("key", F.col("node").alias("a")).join(leaders, "key").filter("a <> b")
+    leaders = Table(shared.df.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("b")), "leaders")
+    led = shared.df.select("key", F.col("node").alias("a")).join(leaders.df, "key").filter("a <> b")
     pairs = Table(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     texts = Table(fetch(pairs.df.select(F.col("a").alias("node")).unionByName(pairs.df.select(F.col("b").alias("node"))).distinct()), "texts")
     good = Table(verify(pairs.df, texts.df, weights).filter("matches").select("a", "b"), "good")
+    leaders.drop()
     pairs.drop()
     texts.drop()
     roots = components(good.df)
@@ -486,7 +494,7 @@ def classes(docs: DataFrame, params: Params = Params(), *, text: str = "text", d
     roots = components(edges.df)
     edges.drop()
     rooted = node.select("node", "least", "n").join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    of_root = Table(rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")), "classes").df
     verdict = rooted.select("node", "root").join(of_root, "root").select("node", F.col("root").alias("class_key"), "class_id", "class_size")
     return signed.select("doc_id", "text_hash", "node").join(verdict, "node").select(F.col("doc_id").alias(doc_id), "text_hash", "class_key", "class_id", "class_size")
 

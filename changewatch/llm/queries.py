@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changewatch.llm import chat_format, matroska, mixing, near_dedup, oracles, packing, pii, quality_classifier, quality_rules, token_counts, url_filters
+from changewatch.llm.common import spread
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -25,8 +26,10 @@ BATCH_BYTES = "64m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. The session's batches are bounded in bytes from here on, which all operators with Arrow functions want where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(t) if name == "documents" else t
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
