@@ -63,7 +63,7 @@ _CURLY = "chr(8220) || coalesce(text, '') || chr(8221) || chr(160) || chr(8211)
 @query(f"SELECT doc_id, {C.sql_fold(_CURLY)} AS folded FROM documents")
 def fold_match(spark, d) -> DataFrame:
     t = F.concat(F.lit("“"), F.coalesce("text", F.lit("")), F.lit("” –It’S"))
-    return C.table(spark, d, "documents").select("doc_id", X.fold(t).alias("folded"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", X.fold(t).alias("folded"))
 
 
 _MESSY = "replace(coalesce(text, ''), '. ', '.' || chr(13) || chr(10) || chr(9) || chr(160) || '  ') || chr(10) || chr(10) || chr(10) || chr(8203) || chr(10) || '  end  '"
@@ -72,13 +72,13 @@ _MESSY = "replace(coalesce(text, ''), '. ', '.' || chr(13) || chr(10) || chr(9)
 @query(f"SELECT doc_id, {C.sql_squeeze(_MESSY)} AS text FROM documents")
 def normalise_text(spark, d) -> DataFrame:
     t = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\r\n\t   ")), F.lit("\n\n\n​\n  end  "))
-    return C.table(spark, d, "documents").select("doc_id", X.squeeze(t).alias("text"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", X.squeeze(t).alias("text"))
 
 
 @query()
 def normalise_exact(spark, d) -> DataFrame:
     t = F.concat(F.lit("&amp;lt;b&gt; é x​\r\n"), F.coalesce("text", F.lit("")))
-    return C.table(spark, d, "documents").select("doc_id", udfs.normalise(t, F.lit(None).cast("array<string>")).alias("text"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", udfs.normalise(t, F.lit(None).cast("array<string>")).alias("text"))
 
 
 _NOISY = "'Effective January 5, 2026 | Archived versions here' || chr(10) || coalesce(text, '') || chr(10) || 'Note: We recently updated our privacy notice today' || chr(10) || 'x'"
@@ -93,13 +93,13 @@ _HOSTS = "CASE doc_id % 3 WHEN 0 THEN 'policies.google.com' WHEN 1 THEN 'www.per
 def noise_strip_by_host(spark, d) -> DataFrame:
     host = F.element_at(F.array(*map(F.lit, ("policies.google.com", "www.perplexity.ai", "example.org"))), (F.col("doc_id") % 3 + 1).cast("int"))
     raw = F.concat(F.lit("Effective January 5, 2026 | Archived versions here\n"), F.coalesce("text", F.lit("")), F.lit("\nNote: We recently updated our privacy notice today\nx"))
-    t = C.table(spark, d, "documents").select("doc_id", host.alias("host"), raw.alias("raw"))
+    t = C.spread(C.table(spark, d, "documents")).select("doc_id", host.alias("host"), raw.alias("raw"))
     return t.select("doc_id", "host", X.squeeze(F.col("raw"), X.without_noise(F.col("raw"), F.col("host"), [], NOISE_BY_HOST)).alias("text"))
 
 
 @query(f"SELECT doc_id, sha256({C.sql_squeeze('text')}) AS hash FROM documents")
 def content_hash(spark, d) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", X.content_hash(X.squeeze(F.col("text"))).alias("hash"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", X.content_hash(X.squeeze(F.col("text"))).alias("hash"))
 
 
 @query("WITH t AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^a-zA-Z0-9]+', '-', 'g'), '-') AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'root' ELSE lower(trim(right(s, 48), '-')) END || '-' || left(sha256(url), 8) AS document_id FROM t")
@@ -124,7 +124,7 @@ def safe_url_filter(spark, d) -> DataFrame:
 
 @query()
 def extract_text(spark, d) -> DataFrame:
-    return C.table(spark, d, "pages").select("page_id", udfs.extract_text("html", F.lit("article")).alias("text"))
+    return C.spread(C.table(spark, d, "pages")).select("page_id", udfs.extract_text("html", F.lit("article")).alias("text"))
 
 
 @query("SELECT page_id, upper(left(h, 1)) AS letter, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(h, ''), lambda c: ascii(c)::BIGINT)), lambda acc, c: (acc * 31 + c) % 100000) % 8 AS colour FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h FROM pages)")
@@ -277,7 +277,7 @@ def _made_diffs(spark, d) -> DataFrame:
         return F.when(i == 1, "--- a").when(i == 2, "+++ b").when(i % 9 == 3, F.concat(F.lit("@@ -"), i, F.lit(" @@"))).when(i % 4 == 0, F.concat(F.lit("+"), x)).when(i % 4 == 1, F.concat(F.lit("-"), x)).otherwise(F.concat(F.lit(" "), x))
 
     words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("~")), " ")
-    return C.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(words, line), "\n").alias("diff"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", F.array_join(F.transform(words, line), "\n").alias("diff"))
 
 
 _MADE = _DIFF.replace("coalesce(text, '')", "replace(coalesce(text, ''), chr(10), '~')").replace(" WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'", "")
@@ -329,7 +329,7 @@ _PATTERN_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END"
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_PATTERN_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, regexp_replace({_TAGGED}, '[À-ÖØ-öø-ɏ]', 'x', 'g') AS t FROM documents)")
 def fingerprint_tags(spark, d) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.pattern_tags(F.col("t")), ",").alias("tags"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.pattern_tags(F.col("t")), ",").alias("tags"))
 
 
 _WATCH_SQL = ", ".join(f"CASE WHEN contains(lower(t), '{w.lower()}') THEN 'watchlist:{w}' END" for w in sorted(set(WATCHLIST)))
@@ -337,7 +337,7 @@ _WATCH_SQL = ", ".join(f"CASE WHEN contains(lower(t), '{w.lower()}') THEN 'watch
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_WATCH_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, {_TAGGED} AS t FROM documents)")
 def watchlist_hits(spark, d) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.watch_tags(F.col("t"), WATCHLIST), ",").alias("tags"))
+    return C.spread(C.table(spark, d, "documents")).select("doc_id", _tagged_text().alias("t")).select("doc_id", F.array_join(D.watch_tags(F.col("t"), WATCHLIST), ",").alias("tags"))
 
 
 @query()

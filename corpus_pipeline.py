@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from changewatch.llm import mixing, near_dedup, packing, pii, quality_classifier
-from changewatch.llm.common import shared_dir
+from changewatch.llm.common import shared_dir, spread
 from changewatch.llm.queries import RANKS, quality_model, table, vocabulary
 
 #: Documents whose score is below go.
@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         out = f"{home}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = spread(spark.read.parquet(out))
     return docs
