@@ -7,6 +7,7 @@ depend on what a Java version means by \\s or \\b.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,9 +48,27 @@ def is_safe_url(url: Column) -> Column:
     return scheme.isin("http", "https") & (host(url) != "")
 
 
+# fixed values: what folds to several letters, as far as ``fold`` knows it: the sharp s and the Latin ligatures
+SEVERAL = "ßﬀﬁﬂﬃﬄﬅﬆ"
+
+
+@cache
+def one_to_one() -> dict[str, str]:
+    """What case folding makes of characters that are lower case already, where that is one character."""
+    return {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c == c.lower() != c.casefold() and len(c.casefold()) == 1}
+
+
 def fold(text: Column) -> Column:
-    """For matching alone: typographic quotes and dashes made plain, lower case."""
-    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
+    """For matching alone: typographic quotes and dashes made plain, case folded.
+
+    Of the letters that fold to several, those of ``SEVERAL`` do; composed
+    Greek, Armenian and a few Latin letters beyond them stay as they are.
+    """
+    ones = one_to_one()
+    t = F.translate(F.lower(text), FOLD_FROM + "".join(ones), FOLD_TO + "".join(ones.values()))
+    for c in SEVERAL:
+        t = F.replace(t, F.lit(c), F.lit(c.casefold()))
+    return t
 
 
 def squeeze(text: Column, noise: Column | None = None) -> Column:

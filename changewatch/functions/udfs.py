@@ -9,6 +9,7 @@ import difflib
 import html
 import re
 import unicodedata
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -83,60 +84,132 @@ def unified_diff(context: int = 3, limit: int = 40000):
     return diff
 
 
+# one step of a selector: what joins it to the step before, a tag, and conditions
+_STEP = re.compile(r"(\s*>\s*|\s+|^)([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+|\[[^\]]*\])*)")
+_CONDITION = re.compile(r"""([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*["']?(.*?)["']?\s*)?\]""")
+_HOLDS = {
+    "=": lambda has, want: has == want,
+    "~=": lambda has, want: want in has.split(),
+    "|=": lambda has, want: has == want or has.startswith(f"{want}-"),
+    "^=": lambda has, want: want != "" and has.startswith(want),
+    "$=": lambda has, want: want != "" and has.endswith(want),
+    "*=": lambda has, want: want != "" and want in has,
+}
+
+
+@cache
+def parse_selector(selector: str) -> list[list[tuple[bool, str, list[tuple[str, str, str]]]]]:
+    """Alternatives of steps (child of the step before, tag or '', conditions (attribute, test or '', value)).
+
+    Known are tags, *, #id, .class, [attribute] and its comparisons, descendants,
+    children (>) and lists; anything else is a ValueError.
+    """
+    out = []
+    for one in re.split(r",(?![^\[]*\])", selector):
+        steps, at, one = [], 0, one.strip()
+        while at < len(one):
+            m = _STEP.match(one, at)
+            if not m or m.end() == m.end(1):
+                raise ValueError(f"not a known selector: {selector!r}")
+            conditions = [({"#": "id", ".": "class"}.get(sign) or name.lower(), {"#": "=", ".": "~="}.get(sign, test), word or value) for sign, word, name, test, value in _CONDITION.findall(m[3])]
+            steps.append((">" in m[1], "" if m[2] in (None, "*") else m[2].lower(), conditions))
+            at = m.end()
+        if not steps:
+            raise ValueError(f"not a known selector: {selector!r}")
+        out.append(steps)
+    return out
+
+
+def _fits(step: tuple, tag: str, attributes: dict[str, str]) -> bool:
+    _, wanted, conditions = step
+    return wanted in ("", tag) and all(name in attributes and (not test or _HOLDS[test](attributes[name], value)) for name, test, value in conditions)
+
+
+def selected(steps: list[tuple], path: list[tuple[str, dict[str, str]]]) -> bool:
+    """Whether the last element of ``path``, from the root down, is what the steps select."""
+    if not path or not _fits(steps[-1], *path[-1]):
+        return False
+    if len(steps) == 1:
+        return True
+    above = path[:-1]
+    return any(selected(steps[:-1], above[:n]) for n in ([len(above)] if steps[-1][0] else range(len(above), 0, -1)))
+
+
 class _Reader(HTMLParser):
-    """Text of a page: blocks as lines, without scripts, navigation and the like; with a tag to select, only what is inside it."""
+    """Text of a page: blocks as lines, without scripts and, unless ``whole``, navigation and the like; with a selector, only what is inside its elements."""
 
-    # fixed values: elements that are not the document, that end a line, and that have no end
-    SKIP = frozenset("script style noscript template nav header footer aside form button svg iframe head".split())
+    # fixed values: elements without readable text, those that are not the document, that end a line, and that have no end
+    UNREAD = frozenset("script style noscript template svg iframe head".split())
+    SKIP = UNREAD | frozenset("nav header footer aside form button".split())
     LINES = frozenset("p div section article main h1 h2 h3 h4 h5 h6 li ul ol table tr br hr blockquote pre dd dt figure figcaption".split())
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-    def __init__(self, wanted: str | None = None):
+    def __init__(self, selector: str | None = None, *, whole: bool = False):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth, self.skipped, self.inside, self.parts = wanted, 0, [], 0, []
-        self.found = False
+        self.wanted = parse_selector(selector) if selector else None
+        self.whole, self.parts = whole, []
+        # of the open elements: (tag, attributes), and how many of them are selected, how many skipped
+        self.path, self.inside, self.skipped = [], [0], [0]
 
     def _on(self) -> bool:
-        return not self.skipped and (self.wanted is None or self.inside > 0)
+        return not self.skipped[-1] and (self.wanted is None or self.inside[-1] > 0)
 
     def handle_starttag(self, tag, attrs):
-        if tag == self.wanted:
-            self.inside += 1
-            self.found = True
+        attributes = {k: v or "" for k, v in attrs}
+        self.path.append((tag, attributes))
+        picked = self.wanted is not None and any(selected(steps, self.path) for steps in self.wanted)
+        skip = tag in (self.UNREAD if self.whole else self.SKIP) or not self.whole and "ad" in attributes.get("class", "").split()
+        self.inside.append(self.inside[-1] + picked)
         if self._on() and tag in self.LINES:
             self.parts.append("\n")
         if self._on() and tag in ("td", "th"):
             self.parts.append(" | ")
-        if tag in self.SKIP or any(k == "class" and "ad" in (v or "").split() for k, v in attrs) and tag not in self.VOID:
-            self.skipped.append(tag)
-        elif self.skipped and tag == self.skipped[-1]:
-            self.skipped.append(tag)
+        self.skipped.append(self.skipped[-1] + (skip and tag not in self.VOID))
+        if tag in self.VOID:
+            self._close(len(self.path) - 1)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in self.VOID:
+            self.handle_endtag(tag)
+
+    def _close(self, depth: int) -> None:
+        del self.path[depth:], self.inside[depth + 1 :], self.skipped[depth + 1 :]
 
     def handle_endtag(self, tag):
-        if self.skipped and tag == self.skipped[-1]:
-            self.skipped.pop()
-        if self._on() and tag in self.LINES:
-            self.parts.append("\n")
-        if tag == self.wanted and self.inside:
-            self.inside -= 1
+        depth = next((i for i in range(len(self.path) - 1, -1, -1) if self.path[i][0] == tag), None)
+        if depth is not None:
+            on = self.inside[depth + 1] > 0 or self.wanted is None
+            self._close(depth)
+            if on and not self.skipped[-1] and tag in self.LINES:
+                self.parts.append("\n")
 
     def handle_data(self, data):
         if self._on():
             self.parts.append(data)
 
 
-def html_text(page: str | None, selector: str | None = None) -> str:
-    """Readable text of a page; within ``selector`` (a tag) if the page has it, else of all of it."""
-    for wanted in ([selector] if selector else []) + [None]:
-        reader = _Reader(wanted)
+def html_text(page: str | None, selector: str | None = None) -> tuple[str, str]:
+    """(readable text, how it was had): "selector" within a CSS selector's elements, "page" of all of the page.
+
+    Elements that hold nothing but what is left out elsewhere, such as a
+    navigation, give their plain text. Where the selector finds no text, the
+    page is read.
+    """
+    for wanted, whole in [(selector, False), (selector, True), (None, False)] if selector else [(None, False)]:
+        reader = _Reader(wanted, whole=whole)
         reader.feed(page or "")
         reader.close()
-        if wanted is None or reader.found:
-            lines = (" ".join(x.split()) for x in "".join(reader.parts).split("\n"))
-            return "\n".join(x for x in lines if x)
-    return ""
+        lines = (" ".join(x.split()) for x in "".join(reader.parts).split("\n"))
+        text = "\n".join(x for x in lines if x)
+        if text:
+            return text, "selector" if wanted else "page"
+    return "", "page"
 
 
-@F.pandas_udf(T.StringType())
-def extract_text(page: pd.Series, selector: pd.Series) -> pd.Series:
-    return pd.Series([html_text(p, s) for p, s in zip(page, selector, strict=True)], dtype=object)
+EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("extractor", T.StringType())])
+
+
+@F.pandas_udf(EXTRACTED)
+def extract_text(page: pd.Series, selector: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([html_text(p, s) for p, s in zip(page, selector, strict=True)], columns=EXTRACTED.names)

@@ -30,7 +30,8 @@ def has_signature(text: Column, signatures: list[str]) -> Column:
 
 
 def fold_plain(text: str) -> str:
-    return text.translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)).lower()
+    """Folded in full, of which ``functions.text.fold`` knows nearly all."""
+    return text.translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)).casefold()
 
 
 def holds_signature(text: str, signatures: list[str]) -> bool:

@@ -124,7 +124,7 @@ def safe_url_filter(spark, d) -> DataFrame:
 
 @query()
 def extract_text(spark, d) -> DataFrame:
-    return C.spread(C.table(spark, d, "pages")).select("page_id", udfs.extract_text("html", F.lit("article")).alias("text"))
+    return C.spread(C.table(spark, d, "pages")).select("page_id", udfs.extract_text("html", F.lit("body > article, [role=main]")).alias("t")).select("page_id", "t.*")
 
 
 @query("SELECT page_id, upper(left(h, 1)) AS letter, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(h, ''), lambda c: ascii(c)::BIGINT)), lambda acc, c: (acc * 31 + c) % 100000) % 8 AS colour FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h FROM pages)")

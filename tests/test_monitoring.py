@@ -1,6 +1,7 @@
 """Gates, state and reports on small cases with known answers."""
 
 import html
+import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
@@ -126,6 +127,48 @@ def test_native_and_exact_normalising_agree(spark):
     assert all(r["a"] == r["b"] for r in t.collect())
 
 
+def test_folding_is_case_folding(spark):
+    quotes = str.maketrans(X.FOLD_FROM, X.FOLD_TO)
+    chars = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    chars = [c for c in chars if len(c.casefold()) == 1 or c.lower() in X.SEVERAL or c.casefold() == c.lower()]
+    texts = ["".join(chars[i : i + 16]) for i in range(0, len(chars), 16)] + ["STRASSE Straße", "ΟΔΥΣΣΕΥΣ ὈΔΥΣΣΕΎΣ", "veriﬁcation ﬀ", "", "İI"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.fold(F.col("t")).alias("f"), gates.has_signature(F.col("t"), ["VERIFICATION"]).alias("signed")).collect()
+    assert [(r["t"], r["f"]) for r in got if r["f"] != r["t"].translate(quotes).casefold()] == []
+    assert [r["t"] for r in got if r["signed"]] == ["veriﬁcation ﬀ"]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav id=top><ul><li>Home<li>Terms</ul></nav>
+<main class="doc wide"><h1>Title</h1><p>One &amp; two<br>three<div class="ad">buy</div><section data-kind="terms-of-use"><p>Inner <b>bold</b></p>
+<table><tr><td>a<td>b</tr></table></section></main><footer>end</footer><article><section><p>Other</section></article></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("selector", "text", "how"),
+    [
+        (None, "Title\nOne & two\nthree\nInner bold\n| a | b\nOther", "page"),
+        ("main", "Title\nOne & two\nthree\nInner bold\n| a | b", "selector"),
+        (".doc section", "Inner bold\n| a | b", "selector"),
+        ("body > main.wide > h1, article p", "Title\nOther", "selector"),
+        ("[data-kind]", "Inner bold\n| a | b", "selector"),
+        ("section[data-kind^='terms'], b", "Inner bold\n| a | b", "selector"),
+        ("[data-kind|=terms] b", "bold", "selector"),
+        ("nav#top", "Home\nTerms", "selector"),
+        ("body > h1", "Title\nOne & two\nthree\nInner bold\n| a | b\nOther", "page"),
+        (".doc.narrow", "Title\nOne & two\nthree\nInner bold\n| a | b\nOther", "page"),
+    ],
+)
+def test_text_of_pages(spark, selector, text, how):
+    assert udfs.html_text(PAGE, selector) == (text, how)
+    got = spark.createDataFrame([(PAGE, selector), (None, selector), ("", selector)], "page string, selector string").select(udfs.extract_text("page", "selector").alias("t")).select("t.*").collect()
+    assert [tuple(r) for r in got] == [(text, how), ("", "page"), ("", "page")]
+
+
+@pytest.mark.parametrize("selector", ["p:first-child", "a ~ b", "", "p,"])
+def test_unknown_selectors_are_refused(selector):
+    with pytest.raises(ValueError, match="selector"):
+        udfs.parse_selector(selector)
+
+
 @pytest.mark.parametrize(("url", "label"), [("https://e.org/legal/aup", "Aup"), ("https://e.org/hub/legal/terms-of-service", "Terms Of Service"), ("https://e.org/AUP.html", "AUP"), ("https://e.org/", "e.org")])
 def test_labels(spark, url, label):
     assert one(spark, X.document_label(F.lit(url), F.lit(None).cast("string"))) == label
