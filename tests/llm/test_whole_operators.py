@@ -2,11 +2,14 @@
 
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from changewatch.llm import common, mixing, near_dedup, pii, quality_classifier, url_filters
 from changewatch.llm import queries as Q
+from conftest import SF
 
 
 def judged(spark, urls, rules=(("block", "g.org/"),)):
@@ -160,3 +163,30 @@ def test_a_cluster_must_name_the_shared_folder():
         with pytest.raises(ValueError):
             common.shared_dir(session(master))
     assert common.shared_dir(session("yarn", "s3a://b/c/")) == "s3a://b/c" and common.shared_dir(session("local[4]")) == common.FALLBACK_DIR
+
+
+def test_recall_by_planted_similarity():
+    """Bands find copies with changed words whose plain similarity reaches 0.8, and damped weights leave them above the threshold."""
+    p = near_dedup.Params()
+    texts = [t or "" for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    counts = np.zeros(p.buckets, np.int64)
+    for t in texts:
+        np.add.at(counts, (near_dedup.shingles(t)[0] & np.uint64(p.buckets - 1)).astype(np.int64), 1)
+    weights = near_dedup.Weights.of(counts, len(texts), p)
+    sampler, rng = near_dedup.Sampler(weights), np.random.default_rng(5)
+    asked = similar = found = 0
+    for t in texts:
+        words = t.split(" ")
+        if not 60 <= len(words) <= 600:
+            continue
+        for k in (1, 2, 3, 5, 8):
+            copy = list(words)
+            for _ in range(max(1, round(len(words) * k / 400))):
+                copy[rng.integers(len(copy))] = f"planted{rng.integers(1 << 30)}"
+            a, b = near_dedup.shingles(t), near_dedup.shingles(" ".join(copy))
+            if near_dedup.weighted_jaccard(a, b) >= p.similarity:
+                asked += 1
+                close = near_dedup.weighted_jaccard((a[0], weights(*a)), (b[0], weights(*b))) >= p.similarity
+                similar += close
+                found += close and bool((sampler(*a) == sampler(*b)).any())
+    assert asked > 100 and similar >= 0.97 * asked and found >= 0.995 * similar
