@@ -103,3 +103,22 @@ g AS (SELECT *, (fb + {smoothing} * corpus) / (fl + {smoothing}) AS share FROM f
 m AS (SELECT *, CASE WHEN fn > 1 AND l > 0 AND abs(b / l - share) <= {alike} * sqrt(share * (1 - share) / greatest(1, l)) THEN branch ELSE template END AS merged FROM g),
 v AS (SELECT host, template, CASE WHEN round((sum(b) OVER y + {smoothing + of_parent} * (sum(greatest(l, 1) * prior) OVER y / sum(greatest(l, 1)) OVER y)) / (sum(l) OVER y + {smoothing + of_parent}), 9) >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict FROM m WINDOW y AS (PARTITION BY host, merged))
 SELECT page_id, t.host, path, rule, coalesce(rv, v.verdict) AS verdict FROM t JOIN tree USING (host, shape) JOIN v ON v.host = t.host AND v.template = tree.template"""
+
+
+def part_codes(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """SQL of ``op13_part_codes``: every part against every entry in every round."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(v) // {parts}) AS part, (i - 1) % (len(v) // {parts}) AS place, v[i] AS x FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT part, place, e, x AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < {entries}) USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, part, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM (SELECT r, part, e, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{i} USING (part, place) GROUP BY ALL) GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (SELECT c.part, c.place, c.e, coalesce((s - ((s % n) + n) % n) // n, c.c) AS c FROM c{i} c LEFT JOIN (SELECT part, place, e, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r, part) GROUP BY ALL) USING (part, place, e))""")
+    return "WITH" + ",".join(steps) + f""",
+book AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, e, place)) AS codebooks_sha256 FROM c{rounds}),
+code AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN code USING (r), book"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changewatch.llm import chat_format, matroska, mixing, near_dedup, oracles, packing, pii, quality_classifier, quality_rules, token_counts, url_filters
+from changewatch.llm import chat_format, context_tree, matroska, mixing, near_dedup, oracles, packing, part_codes, periodic_runs, pii, quality_classifier, quality_rules, token_counts, url_filters
 from changewatch.llm.common import spread
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -85,6 +85,36 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_mixing, op4_quality_rules, op5_token_counts, op6_near_dedup, op7_pii, op8_url_filters, op9_chat_format, op10_matroska)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the documents, by checksum of the id, end in words that repeat, as op11 asks; a null id keeps its text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"))
+    n = F.size("words")
+    t = words.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    t = t.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    return t.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    t = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return t.select("doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"), F.expr("(1000 * top.length) div -top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.crc32(F.col("doc_id").cast("string")) % 10  # a null id has none: neither learnt from nor held out
+    scored = context_tree.score(table(spark, sf_dir, "documents"), learn_from=place != 0)
+    return scored.select("doc_id", F.coalesce(place == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.encode(spread(table(spark, sf_dir, "embeddings"))).drop("label")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_mixing, op4_quality_rules, op5_token_counts, op6_near_dedup, op7_pii, op8_url_filters, op9_chat_format, op10_matroska, op11_periodic_runs, op12_context_tree, op13_part_codes)}
 #: The others need tokenizers, models, samples, or parsers of bytes; tests/llm has them against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.mixing(), "op4_quality_rules": oracles.QUALITY_RULES, "op8_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.mixing(), "op4_quality_rules": oracles.QUALITY_RULES, "op8_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE), "op13_part_codes": oracles.part_codes()}
