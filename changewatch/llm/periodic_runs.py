@@ -192,7 +192,7 @@ def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     handled apart; other columns are not read. An empty table gives no rows.
     """
     rows = beside(docs, keep, text)
-    kept = docs.select(*(f"`{k}`" for k in keep)).schema.fields
+    kept = [T.StructField(f"k{i}", f.dataType) for i, f in enumerate(docs.select(*(f"`{k}`" for k in keep)).schema)]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN, False)), T.StructField("collapsed", T.StringType())])
     arrow = pa.struct([pa.field(f.name, pa.int64(), False) for f in RUN])
 
@@ -214,4 +214,4 @@ def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
             columns = [*batch.columns[: len(keep)], pa.array([len(w) for w in words], pa.int64()), runs, pa.array(collapsed, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, "n_words", "runs", "collapsed")
