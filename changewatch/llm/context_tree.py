@@ -24,11 +24,13 @@ word's or gram's occurrences: only one row for each block that has it.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,10 +60,15 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     edge = bytes([EDGE]) * depth
-    raw = np.frombuffer(edge + edge.join(texts) + bytes([EDGE]), dtype=np.uint8)
-    key = raw[depth:].astype(np.int64)
-    for back in range(1, depth + 1):
-        key |= raw[depth - back : len(raw) - back].astype(np.int64) << (8 * (depth + 1 - back))
+    raw = edge + edge.join(texts) + bytes([EDGE]) + bytes(8)
+    # eight bytes from each place on, the first lowest: the context's last byte is its highest, then comes the byte itself
+    seen = np.ndarray(len(raw) - 8 - depth, dtype="<u8", buffer=raw, strides=(1,)).copy()
+    key = seen & ((1 << (8 * depth)) - 1)
+    key <<= 8
+    seen >>= 8 * depth
+    seen &= 255
+    key |= seen
+    key = key.view(np.int64)
     gaps = np.zeros(len(key) + 1, dtype=np.int8)  # the further bytes between two texts are no one's
     ends = np.cumsum(sizes + depth - 1)[:-1] - (depth - 1)
     np.add.at(gaps, ends, 1)
@@ -175,20 +182,18 @@ def _blocks(rows: DataFrame, kept: list[T.StructField], depth: int, block_bytes:
     """Texts with their block and place in it, and of each block its grams and its words, with counts in texts to learn from.
 
     ``rows``: the kept columns, whether to learn from a row, and its text.
-    A block's id holds its partition, so a task that runs again makes the same.
+    Texts travel packed, some megabytes with their kept columns in a row. A
+    block's id holds its partition, so a task that runs again makes the same.
     """
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("value", T.BinaryType()), T.StructField("gram", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
-    types = [*(None for _ in kept), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+    types = {"block": pa.int64(), "place": pa.int64(), "packed": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, place = TaskContext.get().partitionId() << 32, 0, 0
-        known: dict[bytes, int] = {}
-        tally, keys, counts, empty = np.zeros(0, dtype=np.int64), [], [], {}
+        known = Numbers()
+        tally, keys, counts = np.zeros(0, dtype=np.int64), [], []
 
         def batch_of(rows: int, **columns) -> pa.RecordBatch:
-            arrays = [columns[f.name] if f.name in columns else pa.nulls(rows, empty.get(f.name) or t) for f, t in zip(schema, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
         def close() -> Iterator[pa.RecordBatch]:
             k, c = _summed(keys, counts)
@@ -201,11 +206,10 @@ def _blocks(rows: DataFrame, kept: list[T.StructField], depth: int, block_bytes:
                 yield batch_of(len(w), block=pa.array(np.full(len(w), block)), place=pa.array(np.arange(i, i + len(w))), word=pa.array(w, pa.binary()), n=pa.array(tally[i : i + len(w)]))
 
         for batch, texts in by_bytes(batches, len(kept) + 1, SLICE_BYTES):
-            empty = {n: c.type for n, c in zip(names, batch.columns, strict=False)}
             learn = np.array([bool(x) for x in batch.column(len(kept)).to_pylist()])
             raw = [_lower(t) for t in texts]
-            yield batch_of(len(raw), **dict(zip(names, batch.columns, strict=False)), block=pa.array(np.full(len(raw), block)), place=pa.array(np.arange(place, place + len(raw))), value=pa.array(raw, pa.binary()))
-            place += len(raw)
+            yield batch_of(1, block=pa.array([block]), place=pa.array([place]), packed=pa.array([_packed([*batch.columns[: len(kept)], pa.array(raw, pa.binary())])], pa.binary()))
+            place += 1
             ids, sizes = _words(raw, known)
             tally = np.pad(tally, (0, len(known) - len(tally))) + np.bincount(ids[np.repeat(learn, sizes)], minlength=len(known))
             for part in _parts(raw):
@@ -220,24 +224,54 @@ def _blocks(rows: DataFrame, kept: list[T.StructField], depth: int, block_bytes:
             size += sum(map(len, raw))
             if size >= block_bytes:
                 yield from close()
-                block, size, place, known, tally, keys, counts = block + 1, 0, 0, {}, np.zeros(0, dtype=np.int64), [], []
+                block, size, place, known, tally, keys, counts = block + 1, 0, 0, Numbers(), np.zeros(0, dtype=np.int64), [], []
         if place:
             yield from close()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "block long, place long, packed binary, gram long, word binary, n long")
 
 
-def _words(raw: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _packed(columns: list[pa.Array]) -> bytes:
+    batch = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+class Numbers(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _words(raw: list[bytes], known: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all words of the texts in turn, each text's followed by that of its end, the word ''; and how many each text has."""
-    ids: list[int] = []
-    sizes = []
-    number = lambda w: known.setdefault(w, len(known))
-    for t in raw:
-        words = t.split()
-        words.append(b"")
-        ids.extend(map(number, words))
-        sizes.append(len(words))
-    return np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
+    words = [t.split() for t in raw]
+    for ws in words:
+        ws.append(b"")
+    sizes = np.array([len(ws) for ws in words], dtype=np.int64)
+    return np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum())), sizes
+
+
+class Found:
+    """Places of keys in a sorted array of different ones: nearly all by a hash table, those that share a slot by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, 62 - max(len(keys), 1).bit_length()
+        self.slots = np.zeros(1 << (64 - self.shift), dtype=np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return at
 
 
 def _parts(raw: list[bytes]) -> Iterator[slice]:
@@ -299,7 +333,7 @@ def _probabilities(model: DataFrame, depth: int) -> DataFrame:
     return model.filter("gram is not null").select("gram", "bits").mapInArrow(run, "gram long, value double")
 
 
-def score(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), learn_from: Column | None = None, depth: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), learn_from: Column | None = None, depth: int = 4, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns ``keep``, then n_tokens, n_known, train_tokens, base_score, n_bytes, score and bits_per_byte, a row for each row of ``docs``.
 
     A-Z are lower-cased. score: log10 of the text's probability by trees of
@@ -324,7 +358,7 @@ def score(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_
 
     asked = blocks.df.filter("gram is not null").select("block", "gram", "n")
     model = Table(_model(asked.groupBy("gram").agg(F.sum("n").alias("n")), depth), "tree")
-    answers = asked.select("block", "gram").join(_probabilities(model.df, depth), "gram").select("block", F.col("gram").alias("key"), "value", F.lit(True).alias("is_gram"), F.lit(False).alias("first"))
+    answers = asked.select("block", "gram").join(_probabilities(model.df, depth), "gram").select("block", F.col("gram").alias("key"), F.col("value").cast("double").alias("value"), F.lit(True).alias("is_gram"), F.lit(False).alias("first"))
     same = W.partitionBy("word")
     words = blocks.df.filter("word is not null").select("block", F.col("place").alias("key"), "word", "n")
     counted = words.select("block", "key", F.sum("n").over(same).cast("double").alias("value"), F.lit(False).alias("is_gram"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
@@ -335,26 +369,28 @@ def score(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_
     schema = T.StructType([*kept, *out])
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place").combine_chunks()
         is_gram = found.column("is_gram").to_numpy()
         key, value = (found.column(c).to_numpy() for c in ("key", "value"))
         order = np.argsort(key[is_gram])
-        gram, logs = key[is_gram][order], value[is_gram][order]
+        where, logs = Found(key[is_gram][order]), value[is_gram][order].astype(np.float64)
         count = np.zeros(int((~is_gram).sum()))
         count[key[~is_gram]] = value[~is_gram]
-        raw = texts.column("value").to_pylist()
-        parts: list[list[np.ndarray]] = [[] for _ in out]
-        known_words: dict[bytes, int] = {}
-        for part in _parts(raw):
-            ids, sizes = _words(raw[part], known_words)
+        known, whole = Numbers(), []
+        for packed in texts.sort_by("place").column("packed"):
+            batch = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            raw = batch.column(len(kept)).to_pylist()
+            ids, sizes = _words(raw, known)
             c, starts = count[ids], np.cumsum(sizes) - sizes
-            g, each = grams(raw[part], depth)
-            values = (sizes, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(c + 0.1), starts), each - 1, np.add.reduceat(logs[np.searchsorted(gram, g)], np.cumsum(each) - each))
-            for to, v in zip(parts, values, strict=True):
-                to.append(v)
-        return pa.Table.from_arrays([*(texts.column(f.name) for f in kept), *(pa.array(np.concatenate(p)) for p in parts)], names=schema.names)
+            values = [sizes, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(c + 0.1), starts)]
+            parts = []
+            for part in _parts(raw):
+                g, each = grams(raw[part], depth)
+                parts.append((each - 1, np.add.reduceat(logs[where(g)], np.cumsum(each) - each)))
+            values += map(np.concatenate, zip(*parts, strict=True))
+            whole.append(pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, values)], names=schema.names))
+        return pa.Table.from_batches(whole)
 
-    texts = blocks.df.filter("value is not null").select(*(f.name for f in kept), "block", "place", "value")
+    texts = blocks.df.filter("packed is not null").select("block", "place", "packed")
     made = Table(texts.groupBy("block").cogroup(replies.df.drop("first").groupBy("block")).applyInArrow(scored, schema), "scores")
     for table in (blocks, model, replies):
         table.drop()
