@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from changewatch.llm.common import Table, by_bytes
 
 #: Bytes of text in a block, and in what is handled at once within it.
-BLOCK_BYTES, SLICE_BYTES = 32_000_000, 4_000_000
+BLOCK_BYTES, SLICE_BYTES = 32_000_000, 1_000_000
 #: A byte that UTF-8 never has: before and after every text.
 EDGE = 255
 #: Subtrees are dealt out by so many bytes of context.
