@@ -56,6 +56,7 @@ _BARE = re.compile(r"[ \t]{1,3}")
 _VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}", re.ASCII)
 _PASSWORD = re.compile(r"[^\s\"'`<>]{6,128}")
 _KEY = re.compile(r"[A-Za-z0-9_-]{12,}", re.ASCII)
+_DIGIT = re.compile(r"[0-9]")
 _AFTER_CUE = re.compile(r"\.?[ \t]{0,3}(?:(?i:no\.?|number|id|is)(?![A-Za-z0-9]))?[ \t]{0,3}[:=#]?[ \t]{0,3}")
 _END = r"(?![A-Za-z0-9])"
 _SSN = re.compile(rf"[0-9]{{3}}([ -]?)[0-9]{{2}}\1[0-9]{{4}}{_END}")
@@ -156,15 +157,24 @@ def _account(text: str, cue: str, after: int) -> tuple[int, int] | None:
     return (at, m.end()) if m and 6 <= sum(c not in " -" for c in m.group()) <= 38 else None
 
 
-def _secret(text: str, cue: str, after: int) -> tuple[int, int] | None:
-    """The value that a cue announces: one token of 12 characters or more with a digit; after a password's cue 6 or more with a digit or a sign."""
+def _secret(text: str, cue: str, after: int, past: dict[str, int]) -> tuple[int, int] | None:
+    """The value that a cue announces: one token of 12 characters or more with a digit; after a password's cue 6 or more with a digit or a sign.
+
+    What a token without a digit ends with has none either, so ``past`` keeps
+    where it ends, and no cue within it reads it again.
+    """
     m = _ASSIGNED.match(text, after) or (_BARE.match(text, after) if cue == "bearer" else None)
     if not m:
         return None
     secret = cue in ("password", "passwd", "pwd")
+    if not secret and m.end() < past["value"]:
+        return None
     found = (_PASSWORD if secret else _VALUE).match(text, m.end())
     if not found:
         return None
+    if not secret and not _DIGIT.search(text, m.end(), found.end()):
+        past["value"] = found.end()
+        return None
     value = found.group().rstrip(".,;" if secret else ".,;:!?)]}")
     if len(value) < (6 if secret else 12) or not any(c.isdigit() or (secret and c in "!@#$%^&*") for c in value):
         return None
@@ -174,7 +184,7 @@ def _secret(text: str, cue: str, after: int) -> tuple[int, int] | None:
 def spans(text: str) -> list[Span]:
     """All spans of a whole text, by start, then by kind as in ``KINDS``."""
     out: list[Span] = []
-    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "secret", "run", "query"), 0)
+    past = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "secret", "run", "query", "value", "key"), 0)
     for last, (kind, size) in _automaton().iter(_lowered(text)):
         at = last - size + 1
         if kind == "digit":
@@ -207,13 +217,16 @@ def spans(text: str) -> list[Span]:
                 out.append(("url", *got))
         elif kind == "secret":
             # an underscore may stand before it, as in the names of settings
-            if at >= past["secret"] and not (at and _LETTERS.match(text, at - 1)) and (got := _secret(text, text[at : last + 1].lower(), last + 1)):
+            if at >= past["secret"] and not (at and _LETTERS.match(text, at - 1)) and (got := _secret(text, text[at : last + 1].lower(), last + 1, past)):
                 past["secret"] = got[1]
                 out.append(("secret", *got))
         elif kind == "prefix":
-            if at >= past["secret"] and not (at and _WORD.match(text, at - 1)) and (m := _KEY.match(text, at)) and len(m.group()) >= 20 and any(map(str.isdigit, m.group())):
-                past["secret"] = m.end()
-                out.append(("secret", at, m.end()))
+            if at >= past["secret"] and at >= past["key"] and not (at and _WORD.match(text, at - 1)) and (m := _KEY.match(text, at)):
+                if not _DIGIT.search(text, at, m.end()):
+                    past["key"] = m.end()  # nor has what it ends with
+                elif len(m.group()) >= 20:
+                    past["secret"] = m.end()
+                    out.append(("secret", at, m.end()))
         elif at >= past["account"] and not (at and _WORD.match(text, at - 1)):
             if got := _account(text, text[at : last + 1].lower(), last + 1):
                 past["account"] = got[1]

@@ -190,3 +190,18 @@ def test_recall_by_planted_similarity():
                 similar += close
                 found += close and bool((sampler(*a) == sampler(*b)).any())
     assert asked > 100 and similar >= 0.97 * asked and found >= 0.995 * similar
+
+
+@pytest.mark.parametrize("piece", ["token=", "api_key=", "-ghp_", "password=", "bearer ", "a@", "+1-", "1.", "://x@", "iban "])
+def test_spans_take_time_in_proportion(piece):
+    import time
+
+    began = time.perf_counter()
+    pii.spans(piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - began < 8
+
+
+def test_a_cue_within_a_token_without_digits_finds_nothing_and_later_ones_do():
+    assert pii.spans("token=secret=abcdefghijklmnop") == []
+    text = "token=secret=abcdefghijklmnop token=abcdefghijkl0123 x-ghp_abcdefgh ghp_abcdefghijklmnop0123"
+    assert [text[a:b] for k, a, b in pii.spans(text) if k == "secret"] == ["abcdefghijkl0123", "ghp_abcdefghijklmnop0123"]
