@@ -20,7 +20,7 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft_failed) AS failed FROM j GROUP BY source),
 p AS (SELECT sum(failed) / sum(n) AS m, sum(n * (failed / n) * (failed / n)) / sum(n) AS sq, count(*) AS k, sum(n) AS total FROM h),
 q AS (SELECT m, sq - m * m - m * (1 - m) * (k - 1) / total AS spread FROM p),
-r AS (SELECT source, failed * (SELECT sum(n) FROM h) > n * (SELECT sum(failed) FROM h) AS above, (failed + m * wt) / (n + wt) AS rate FROM h, (SELECT m, CASE WHEN spread > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / spread - 1)) ELSE 1000.0 END AS wt FROM q))
+r AS (SELECT source, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + wt + 1)) > m AS above FROM (SELECT source, n, m, wt, (failed + m * wt) / (n + wt) AS rate FROM h, (SELECT m, CASE WHEN spread > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / spread - 1)) ELSE 1000.0 END AS wt FROM q)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AND NOT (above AND soft_failed) AS kept
 FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source"""
 

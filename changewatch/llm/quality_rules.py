@@ -4,8 +4,10 @@ Each document is measured by itself (``base_features``). Then the failures of
 its rules are counted by host, and each host's failure rate is shrunk towards
 the corpus by a beta prior fitted to all hosts. A host whose shrunken rate is
 too high is *rejected* with all its documents; one whose rate is above the
-corpus's is *doubted*: of its documents those that fail a soft rule go too,
-which a host without a record is forgiven.
+corpus's with a probability of 0.95 is *doubted*: of its documents those that
+fail a soft rule go too, which a host without a record is forgiven. Hosts that
+differ from the corpus no more than by chance, or of which little is known, are
+accepted.
 
 The host table is aggregated before it is shuffled (a host of any size comes
 to one row a task) and joined back; Spark broadcasts it only if it measures
@@ -27,6 +29,8 @@ from changewatch.llm.common import Table, beside, by_bytes
 BATCH_BYTES = 2_000_000
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b"\t\n\x0b\x0c\r "
+#: Standard deviations below a posterior's mean that leave 0.95 of it above.
+SURE = 1.645
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -94,8 +98,9 @@ def host_rates(failures: DataFrame, *, host: str = "source") -> DataFrame:
     hosts' rates weighted by documents and s2 their weighted variance less
     what sampling alone gives, the prior has mean m and m * (1 - m) / s2 - 1
     pseudo-documents, held between 1 and 1000 (1000 where hosts differ no more
-    than by chance). above: whether the rate is above the prior's mean, compared
-    in whole numbers. A null host is a host; a null ``failed`` counts as false.
+    than by chance). above: whether the lower bound of the host's posterior - its
+    mean less ``SURE`` of its standard deviations - is above the prior's mean. A
+    null host is a host; a null ``failed`` counts as false.
     """
     hosts = failures.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("failed"), F.lit(False)).cast("long")).alias("failed"))
     r = F.col("failed") / F.col("n")
@@ -106,15 +111,16 @@ def host_rates(failures: DataFrame, *, host: str = "source") -> DataFrame:
     m = F.col("_f") / F.col("_n")
     spread = F.col("_sq") / F.col("_n") - m * m - m * (1 - m) * (F.col("_k") - 1) / F.col("_n")
     weight = F.when(spread > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / spread - 1))).otherwise(F.lit(1000.0))
-    exact = lambda a, b: F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
-    return hosts.crossJoin(F.broadcast(whole.select("_n", "_f", m.alias("_m"), weight.alias("_w")))).select(host, "n", "failed", (exact("failed", "_n") > exact("_f", "n")).alias("above"), ((F.col("failed") + F.col("_m") * F.col("_w")) / (F.col("n") + F.col("_w"))).alias("rate"))
+    t = hosts.crossJoin(F.broadcast(whole.select("_n", "_f", m.alias("_m"), weight.alias("_w")))).withColumn("rate", (F.col("failed") + F.col("_m") * F.col("_w")) / (F.col("n") + F.col("_w")))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("_w") + 1))
+    return t.select(host, "n", "failed", (F.col("rate") - SURE * deviation > F.col("_m")).alias("above"), "rate")
 
 
 def judge(docs: DataFrame, *, text: str = "text", key: str = "doc_id", host: str = "source", reject_above: float = 0.6) -> DataFrame:
     """key, host, the features, base_failed, host_rate, host_verdict and kept, a row for each row of ``docs``.
 
     host_verdict is reject (its shrunken failure rate exceeds
-    ``reject_above``), doubt (above the corpus's) or accept. kept is false if
+    ``reject_above``), doubt (above the corpus's, surely) or accept. kept is false if
     the document fails a base rule, its host is rejected, or its host is
     doubted and it fails a soft rule. Null texts are empty and fail; rows of a
     null host are one host; repeated rows each count. An empty table gives an
