@@ -9,6 +9,7 @@ import difflib
 import html
 import re
 import unicodedata
+from collections import Counter
 from functools import cache
 from html.parser import HTMLParser
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changewatch.functions.faults import guarded, said
 from changewatch.functions.text import NBSP, ZERO_WIDTH
 
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -53,10 +55,14 @@ def normalise(text: pd.Series, noise: pd.Series) -> pd.Series:
     return pd.Series([normalise_text(t, None if n is None else list(n)) for t, n in zip(text, noise, strict=True)], dtype=object)
 
 
-DIFF = T.StructType([T.StructField("text", T.StringType()), T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType())])
+DIFF = T.StructType([T.StructField("text", T.StringType()), T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType()), T.StructField("error", T.StringType())])
 CUT_NOTE = "\n… diff truncated …"
 
 
+normalise_or_error = guarded(normalise_text, T.StringType())
+"""``normalise_text`` over (text, array of patterns or null), as (value, error)."""
+
+
 def diff_texts(old: str | None, new: str | None, label: str, context: int, limit: int) -> tuple:
     """The fields of ``DIFF``. added and removed leave out lines that look like file headers; lines_added and lines_removed count all."""
     a, b = (old or "").splitlines(), (new or "").splitlines()
@@ -75,11 +81,17 @@ def diff_texts(old: str | None, new: str | None, label: str, context: int, limit
 
 
 def unified_diff(context: int = 3, limit: int = 40000):
-    """A pandas function over (old, new, label) that returns ``DIFF``."""
+    """A pandas function over (old, new, label) that returns ``DIFF``; what fails on a row is its error, and all else null."""
+
+    def one(old: str | None, new: str | None, label: str | None) -> tuple:
+        try:
+            return *diff_texts(old, new, label or "", context, limit), None
+        except Exception as e:  # noqa: BLE001  the row's value, whatever it is
+            return (None,) * 6 + (said(e),)
 
     @F.pandas_udf(DIFF)
     def diff(old: pd.Series, new: pd.Series, label: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([diff_texts(a, b, c or "", context, limit) for a, b, c in zip(old, new, label, strict=True)], columns=DIFF.names)
+        return pd.DataFrame(list(map(one, old, new, label)), columns=DIFF.names).astype(dict.fromkeys(("added", "removed", "lines_added", "lines_removed"), "Int64"))
 
     return diff
 
@@ -125,14 +137,34 @@ def _fits(step: tuple, tag: str, attributes: dict[str, str]) -> bool:
     return wanted in ("", tag) and all(name in attributes and (not test or _HOLDS[test](attributes[name], value)) for name, test, value in conditions)
 
 
-def selected(steps: list[tuple], path: list[tuple[str, dict[str, str]]]) -> bool:
-    """Whether the last element of ``path``, from the root down, is what the steps select."""
-    if not path or not _fits(steps[-1], *path[-1]):
-        return False
-    if len(steps) == 1:
-        return True
-    above = path[:-1]
-    return any(selected(steps[:-1], above[:n]) for n in ([len(above)] if steps[-1][0] else range(len(above), 0, -1)))
+class Selection:
+    """Which elements the alternatives of a selector select, told element by element from the root down.
+
+    For every open element it keeps, as bits, the steps that the element itself
+    completes and those that it or an element above completes, so a new element
+    costs as much as there are steps, however deep it lies.
+    """
+
+    def __init__(self, alternatives: list[list[tuple]]):
+        self.alternatives = alternatives
+        self.open = [[(0, 0)] * len(alternatives)]
+
+    def enter(self, tag: str, attributes: dict[str, str]) -> bool:
+        """Whether the element is selected."""
+        states, picked = [], False
+        for steps, (parent, above) in zip(self.alternatives, self.open[-1], strict=True):
+            own = 0
+            for i, step in enumerate(steps):
+                if (i == 0 or (parent if step[0] else above) >> (i - 1) & 1) and _fits(step, tag, attributes):
+                    own |= 1 << i
+            states.append((own, above | own))
+            picked |= bool(own >> (len(steps) - 1) & 1)
+        self.open.append(states)
+        return picked
+
+    def close(self, depth: int) -> None:
+        """All elements but the first ``depth`` end."""
+        del self.open[depth + 1 :]
 
 
 class _Reader(HTMLParser):
@@ -146,18 +178,19 @@ class _Reader(HTMLParser):
 
     def __init__(self, selector: str | None = None, *, whole: bool = False):
         super().__init__(convert_charrefs=True)
-        self.wanted = parse_selector(selector) if selector else None
+        self.wanted = Selection(parse_selector(selector)) if selector else None
         self.whole, self.parts = whole, []
-        # of the open elements: (tag, attributes), and how many of them are selected, how many skipped
-        self.path, self.inside, self.skipped = [], [0], [0]
+        # of the open elements: their tags, how many are open of each, and how many of them are selected, how many skipped
+        self.path, self.tags, self.inside, self.skipped = [], Counter(), [0], [0]
 
     def _on(self) -> bool:
         return not self.skipped[-1] and (self.wanted is None or self.inside[-1] > 0)
 
     def handle_starttag(self, tag, attrs):
         attributes = {k: v or "" for k, v in attrs}
-        self.path.append((tag, attributes))
-        picked = self.wanted is not None and any(selected(steps, self.path) for steps in self.wanted)
+        self.path.append(tag)
+        self.tags[tag] += 1
+        picked = self.wanted is not None and self.wanted.enter(tag, attributes)
         skip = tag in (self.UNREAD if self.whole else self.SKIP) or not self.whole and "ad" in attributes.get("class", "").split()
         self.inside.append(self.inside[-1] + picked)
         if self._on() and tag in self.LINES:
@@ -174,11 +207,15 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, depth: int) -> None:
+        self.tags.subtract(self.path[depth:])
+        if self.wanted is not None:
+            self.wanted.close(depth)
         del self.path[depth:], self.inside[depth + 1 :], self.skipped[depth + 1 :]
 
     def handle_endtag(self, tag):
-        depth = next((i for i in range(len(self.path) - 1, -1, -1) if self.path[i][0] == tag), None)
-        if depth is not None:
+        # an end without a begin costs nothing; else what is passed over ends too
+        if self.tags[tag] > 0:
+            depth = next(i for i in range(len(self.path) - 1, -1, -1) if self.path[i] == tag)
             on = self.inside[depth + 1] > 0 or self.wanted is None
             self._close(depth)
             if on and not self.skipped[-1] and tag in self.LINES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from changewatch.config import Config
 from changewatch.functions import udfs
 from changewatch.operators import gates as G
+from changewatch.operators import ordered
 
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 # a word boundary that means the same in every Java version and in RE2
@@ -80,11 +83,23 @@ def line_differences(pairs: DataFrame, keys: list[str], old: str, new: str) -> D
     return net.select(*keys, "line", F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"), F.abs("net").alias("n"))
 
 
-def combine(diffs: DataFrame, by: str = "set_name") -> DataFrame:
-    """(by, combined): a section for each document with changes, in order of its address."""
-    shown = diffs.filter((F.col("diff.added") > 0) | (F.col("diff.removed") > 0))
+def _shown(diffs: DataFrame) -> DataFrame:
+    """Diffs that have changes, with ``section``: a heading and the diff."""
     section = F.concat(F.lit("===== "), F.col("label"), F.lit(" — +"), F.col("diff.added"), F.lit(" / -"), F.col("diff.removed"), F.lit(" =====\n"), F.col("diff.text"))
-    return shown.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", section.alias("s")))), lambda x: x["s"]), "\n\n").alias("combined"))
+    return diffs.filter((F.col("diff.added") > 0) | (F.col("diff.removed") > 0)).withColumn("section", section)
+
+
+def combine(diffs: DataFrame, by: str = "set_name", limit: int | None = None) -> DataFrame:
+    """(by, combined): a section for each document with changes, in order of its address, as one text, which must fit in a row.
+
+    ``limit``: so many bytes at most, as a model's prompt has room for; a note says where it was cut.
+    """
+    return ordered.joined(_shown(diffs), [by], ["url"], "section", sep="\n\n", name="combined", limit=limit, note=udfs.CUT_NOTE)
+
+
+def combine_parts(diffs: DataFrame, by: str = "set_name", hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """(by, part, text): the combined diff of a set of any size, a numbered part for each document with changes; the parts join to the whole."""
+    return ordered.parts(_shown(diffs), [by], ["url"], "section", sep="\n\n", hold=hold).select(by, "part", F.col("section").alias("text"))
 
 
 def parse(diffs: DataFrame, keys: list[str], text: str) -> DataFrame:

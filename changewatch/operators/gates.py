@@ -85,21 +85,23 @@ def reading(captures: DataFrame, normalised: Column | None = None) -> DataFrame:
     return captures.withColumn("text_now", F.when(F.col("status") == "ok", X.squeeze(F.col("text")) if normalised is None else normalised))
 
 
-def gate(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None) -> DataFrame:
+def gate(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None, fault: Column | None = None) -> DataFrame:
     """Captures, without their texts, with their prior state and the outcome that their hash gives them.
 
     What is asked of a text is worked out where it is read, so that only a few
-    numbers and a hash of each document meet its prior state.
+    numbers and a hash of each document meet its prior state. ``prior`` says by
+    ``has_text`` whether a text is stored, or has the text itself as ``stored``.
+    ``fault``: what failed in reading a text, kept as a column of that name.
     """
-    t = reading(captures, normalised)
+    t = reading(captures if fault is None else captures.withColumn("fault", F.when(F.col("status") == "ok", fault)), normalised)
     now = F.col("text_now")
     t = t.withColumns({
         "_blank": F.btrim(F.coalesce(now, F.lit("")), F.lit(" \t\n\r")) == "",
         "_signed": F.when(has_signature(now, cfg.validation.failure_signatures), signature(now, cfg.validation.failure_signatures)),
         "_hash": X.content_hash(now), "length_now": F.length(now).cast("long"),
     }).drop("text", "text_now")
-    has_text = F.coalesce("stored", F.lit("")) != ""
-    known = prior.select(*KEYS, has_text.alias("_has_text"), *(F.col(c).alias(f"prior_{c}") for c in prior.columns if c not in (*KEYS, "stored")))
+    has_text = F.coalesce(F.col("has_text"), F.lit(False)) if "has_text" in prior.columns else F.coalesce("stored", F.lit("")) != ""
+    known = prior.select(*KEYS, has_text.alias("_has_text"), *(F.col(c).alias(f"prior_{c}") for c in prior.columns if c not in (*KEYS, "stored", "has_text")))
     t = t.join(known, KEYS, "left")
     ok = F.col("status") == "ok"
     t = t.withColumn("reason", F.when(ok, refusal(F.col("_blank"), F.col("_signed"), F.col("length_now"), F.col("prior_length"), cfg)))
@@ -110,7 +112,7 @@ def gate(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalis
 
 
 def texts_of(keys: DataFrame, captures: DataFrame, prior: DataFrame, normalised: Column | None = None) -> DataFrame:
-    """(set_name, url, text_now, prior_stored) of the documents in ``keys`` alone: no other text is moved."""
+    """(set_name, url, text_now, prior_stored) of the documents in ``keys`` alone: no other text is moved. ``prior`` has set_name, url and stored."""
     new = reading(captures.join(keys.select(*KEYS), KEYS, "left_semi"), normalised).select(*KEYS, "text_now")
     old = prior.select(*KEYS, F.col("stored").alias("prior_stored")).join(keys.select(*KEYS), KEYS, "left_semi")
     return new.join(old, KEYS, "left")
@@ -122,7 +124,7 @@ def same_lines(old: Column, new: Column) -> Column:
     return lines(old) == lines(new)
 
 
-def classify(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def classify(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), normalised: Column | None = None, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist, stored: Callable[[DataFrame], DataFrame] | None = None, fault: Column | None = None) -> DataFrame:
     """Captures, without their texts, with their prior state and outcome.
 
     ``captures``: set_name, url, status, text and more; ``prior``: set_name,
@@ -132,10 +134,13 @@ def classify(captures: DataFrame, prior: DataFrame, cfg: Config = Config(), norm
 
     Hashes decide for all but a few documents. Where they differ the texts are
     fetched, and a document with the same lines is unchanged after all. The
-    narrow result of the hashes is read twice, so ``hold`` keeps it.
+    narrow result of the hashes is read twice, so ``hold`` keeps it. ``stored``
+    gives the texts (set_name, url, stored) of the documents that it is asked
+    for, where ``prior`` has ``has_text`` in their place.
     """
-    held = hold(gate(captures, prior, cfg, normalised))
-    moved = texts_of(held.filter(F.col("outcome") == CHANGED), captures, prior, normalised)
+    held = hold(gate(captures, prior, cfg, normalised, fault))
+    doubted = held.filter(F.col("outcome") == CHANGED)
+    moved = texts_of(doubted, captures, prior if stored is None else stored(doubted.select(*KEYS)), normalised)
     cosmetic = moved.filter(same_lines(F.col("prior_stored"), F.col("text_now"))).select(*KEYS, F.lit(True).alias("_same"))
     return held.join(cosmetic, KEYS, "left").withColumn("outcome", F.when(F.col("_same"), UNCHANGED).otherwise(F.col("outcome"))).drop("_same")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from changewatch.config import PIPELINE_VERSION, Config
 from changewatch.functions import text as X
 from changewatch.operators import gates as G
+from changewatch.operators import ordered
 
 PRIORITIES = ("critical", "high", "medium", "low")
 VERDICTS = ("material_change", "no_material_change", "uncertain")
@@ -62,14 +65,24 @@ def carry_forward(previous: DataFrame, current: DataFrame, key: str = "set_name"
 
 
 def rollup_hash(documents: DataFrame, by: str = "set_name") -> DataFrame:
-    """(by, hash) over its documents' hashes in order of their addresses; a missing one is empty."""
-    return documents.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", F.coalesce("hash", F.lit("")).alias("h")))), lambda x: x["h"]), "\n"), 256).alias("hash"))
+    """(by, hash) over its documents' hashes in order of their addresses; a missing one is empty. A set of any size: its hashes stream in order."""
+    return ordered.digest(documents, [by], ["url"], "hash")
+
+
+def section(url: str, text: str) -> Column:
+    """A document's section of an aggregate: its marker and its text."""
+    return F.concat(F.lit("--- Content from "), F.col(url), F.lit(" ---\n\n"), F.coalesce(F.col(text), F.lit("")))
+
 
+def aggregate_snapshot(texts: DataFrame, by: str, order: str, url: str, text: str) -> DataFrame:
+    """(by, aggregate): every document's text under its marker, in order, as one text, which must fit in a row."""
+    return ordered.joined(texts.withColumn("_section", section(url, text)), [by], [order], "_section", sep="\n\n", name="aggregate")
 
-def aggregate_snapshot(sections: DataFrame, by: str, order: str, url: str, text: str) -> DataFrame:
-    """(by, aggregate): every document's text under its marker, in order."""
-    section = F.concat(F.lit("--- Content from "), F.col(url), F.lit(" ---\n\n"), F.coalesce(F.col(text), F.lit("")))
-    return sections.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, section.alias("s")))), lambda x: x["s"]), "\n\n").alias("aggregate"))
+
+def aggregate_parts(texts: DataFrame, by: str, order: str, url: str, text: str, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """(by, part, text): the aggregate of a set of any size, a numbered part for each document; the parts join to the whole."""
+    t = texts.select(F.col(by), F.col(order).alias("_order"), section(url, text).alias("text"))
+    return ordered.parts(t, [by], ["_order"], "text", sep="\n\n", hold=hold).select(by, "part", "text")
 
 
 def split_aggregate(aggregates: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -132,16 +145,18 @@ def badge(t: DataFrame, now: str) -> DataFrame:
 RESTORED = ("hash", "length", "etag", "last_modified")
 
 
-def archive(artefacts: DataFrame, replaced: DataFrame) -> DataFrame:
-    """(file_name, text): the artefacts of the sets that a run replaces, under the names of the archive.
+#: The names of artefacts in the archive.
+ARCHIVED = {"analysis": "analysis.json", "snapshot": "snapshot.txt", "diff": "diff.txt"}
+
+
+def archive(artefacts: DataFrame) -> DataFrame:
+    """(file_name, part, text) of artefacts under the names of the archive.
 
-    ``artefacts``: set_name, file_id, at (an ISO time), and the texts analysis,
-    snapshot and diff; what is null is not archived.
+    ``artefacts``: file_id, kind, part, at (an ISO time, which the name has) and
+    text; what is null is not archived.
     """
     stamp = X.stamp(X.instant(F.col("at")))
-    kinds = F.array(*(F.struct(F.lit(name).alias("kind"), F.col(c).alias("text")) for c, name in (("analysis", "analysis.json"), ("snapshot", "snapshot.txt"), ("diff", "diff.txt"))))
-    t = artefacts.join(replaced.select("set_name").distinct(), "set_name", "left_semi").select("file_id", stamp.alias("stamp"), F.inline(kinds))
-    return t.filter("text is not null").select(F.concat_ws("_", "file_id", "stamp", "kind").alias("file_name"), "text")
+    return artefacts.filter("text is not null").select(F.concat_ws("_", "file_id", stamp, X.recode(F.col("kind"), ARCHIVED)).alias("file_name"), "part", "text")
 
 
 def revert(documents: DataFrame, prior: DataFrame, failed_sets: DataFrame) -> DataFrame:

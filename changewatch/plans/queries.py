@@ -12,6 +12,7 @@ from changewatch.functions import udfs
 from changewatch.operators import analysis as A
 from changewatch.operators import diffs as D
 from changewatch.operators import gates as G
+from changewatch.operators import ordered
 from changewatch.operators import reports as R
 from changewatch.operators import state as S
 from changewatch.plans import scenario as C
@@ -608,8 +609,10 @@ SELECT file_id || '_' || stamp || '_' || kind AS file_name, text FROM a WHERE te
 def archive_previous(spark, d) -> DataFrame:
     """The artefacts that a run replaces, under their names in the archive."""
     t = C.monitored_sets(spark, d).filter("last_amended is not null")
-    artefacts = t.select("set_name", "file_id", iso("last_amended").alias("at"), F.lit("{}").alias("analysis"), F.when(F.col("id") % 2 == 0, F.col("set_name")).alias("snapshot"), F.concat(F.lit("d"), "id").alias("diff"))
-    return S.archive(artefacts, t.filter("id % 3 = 0"))
+    texts = (("analysis", F.lit("{}")), ("snapshot", F.when(F.col("id") % 2 == 0, F.col("set_name"))), ("diff", F.concat(F.lit("d"), "id")))
+    each = F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in texts)))
+    artefacts = t.filter("id % 3 = 0").select("file_id", F.lit(0).alias("part"), iso("last_amended").alias("at"), each)
+    return S.archive(artefacts).select("file_name", "text")
 
 
 # --- replies of the model -----------------------------------------------------------
@@ -776,7 +779,8 @@ def briefing_summary(spark, d) -> DataFrame:
 def briefing_markdown(spark, d) -> DataFrame:
     failing = _with_health(spark, d).filter("health <> 'ok'").select(F.lit(1).alias("part"), "id", F.concat(F.lit("- "), "set_name", F.lit(" — "), "health").alias("line"))
     changes = _recent(spark, d).select(F.lit(2).alias("part"), "id", F.concat(F.lit("### "), "set_name", F.lit(" — "), F.upper("last_priority")).alias("line"))
-    return failing.unionByName(changes).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    lines = failing.unionByName(changes)
+    return ordered.joined(lines, ["part"], ["id"], "line", sep="\n", name="lines").join(lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part")
 
 
 @query(f"WITH {C.CLASSIFIED} SELECT url, outcome AS status, outcome = 'changed' AS changed FROM cls")

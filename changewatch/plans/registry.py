@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changewatch.plans import log_queries  # noqa: F401  registers its queries
 from changewatch.plans.queries import ORACLE, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -6,6 +6,8 @@ different keys, and nothing is inferred. A missing path gives an empty frame.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,30 +102,61 @@ def keep(spark: SparkSession, frame: DataFrame, root: str, run_id: str, name: st
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def publish(spark: SparkSession, root: str, run_id: str) -> str:
+def publish(spark: SparkSession, root: str, run_id: str, base: int | None = None) -> str:
     """Make a run's folder the current one; returns it.
 
     Every publication is a new empty file, whose name has the next number and
-    the run; the greatest number counts. Nothing is deleted or replaced, so
-    at every moment readers see the run before or this one. Raises OSError if
-    another run took the number.
+    the run; the greatest number counts. Nothing is deleted or replaced, so at
+    every moment readers see the run before or this one. A number is claimed
+    first, by a file that only one run can create. A run may die at any step:
+    a claim without a publication is passed over by the next run, which takes a
+    greater number. ``base``: the number that the run's state was read at.
+    Raises OSError if another run was published since then, or claimed a number
+    before this one was published, since this run would undo that one.
     """
-    numbers = [n for n, _ in _published(spark, root)]
-    number = max(numbers, default=0) + 1
-    # the number alone decides who was first, as creating it fails if it is there
-    claim, fs = _path(spark, f"{root}/claims/{number:012d}")
-    if not fs.createNewFile(claim):
-        raise OSError(f"run {number} of {root} was published meanwhile")
-    pointer, _ = _path(spark, f"{root}/published/{number:012d}-{run_id}")
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"not a name of a folder: {run_id!r}")
+    meanwhile = f"another run of {root} was published meanwhile"
+    found = number(spark, root)
+    if base is not None and found != base:
+        raise OSError(meanwhile)
+    mine = max([found, *_claimed(spark, root)]) + 1
+    claim, fs = _path(spark, f"{root}/claims/{mine:012d}")
+    # creating it fails if it is there, so the number alone decides who was first
+    if not fs.createNewFile(claim) or max(_claimed(spark, root)) > mine or number(spark, root) != found:
+        raise OSError(meanwhile)
+    pointer, _ = _path(spark, f"{root}/published/{mine:012d}-{run_id}")
     fs.create(pointer, False).close()
     return home_of(root, run_id)
 
 
-def _published(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+def _claimed(spark: SparkSession, root: str) -> list[int]:
+    p, fs = _path(spark, f"{root}/claims/*")
+    return [int(f.getPath().getName()) for f in fs.globStatus(p) or []]
+
+
+def published(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     """(number, run) of every publication: one name for each run, without its contents."""
     p, fs = _path(spark, f"{root}/published/*")
     found = fs.globStatus(p) or []
-    return [(int(number), run_id) for number, _, run_id in (f.getPath().getName().partition("-") for f in found)]
+    return [(int(n), run_id) for n, _, run_id in (f.getPath().getName().partition("-") for f in found)]
+
+
+def number(spark: SparkSession, root: str) -> int:
+    """The number of the current run; 0 before the first."""
+    return max((n for n, _ in published(spark, root)), default=0)
+
+
+def folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, milliseconds of its last change) of the folders in a folder."""
+    p, fs = _path(spark, f"{path}/*")
+    return [(f.getPath().getName(), f.getModificationTime()) for f in fs.globStatus(p) or [] if f.isDirectory()]
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder and all below it; False if it was not there."""
+    p, fs = _path(spark, path)
+    return bool(fs.delete(p, True))
 
 
 def commit(spark: SparkSession, frames: dict[str, DataFrame], root: str, run_id: str) -> str:
@@ -135,7 +168,7 @@ def commit(spark: SparkSession, frames: dict[str, DataFrame], root: str, run_id:
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the run that was published last; None before the first."""
-    found = _published(spark, root)
+    found = published(spark, root)
     return home_of(root, max(found)[1]) if found else None
 
 

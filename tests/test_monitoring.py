@@ -163,6 +163,33 @@ def test_text_of_pages(spark, selector, text, how):
     assert [tuple(r) for r in got] == [(text, how), ("", "page"), ("", "page")]
 
 
+def plainly_selected(steps, path):
+    """Whether the last element of a path is selected, by trying every way."""
+    if not path or not udfs._fits(steps[-1], *path[-1]):
+        return False
+    above = path[:-1]
+    return len(steps) == 1 or any(plainly_selected(steps[:-1], above[:n]) for n in ([len(above)] if steps[-1][0] else range(len(above), 0, -1)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["", "x", "y"])), max_size=9), st.lists(st.tuples(st.sampled_from([" ", " > "]), st.sampled_from(["a", "b", "*", ".x", "a.y"])), min_size=1, max_size=4))
+def test_selection_equals_trying_every_way(path, steps):
+    wanted = udfs.parse_selector("".join(s if i == 0 else sep + s for i, (sep, s) in enumerate(steps)))
+    selection, sofar = udfs.Selection(wanted), []
+    for tag, c in path:
+        sofar.append((tag, {"class": c}))
+        assert selection.enter(*sofar[-1]) == any(plainly_selected(w, sofar) for w in wanted)
+
+
+@pytest.mark.parametrize(("page", "selector"), [("<div>" * 60 + "<p>x" * 50, "span div div div p"), ("<b>" * 100_000 + "</i>" * 100_000, None), ("<div>" * 100_000 + "x", "div > p div div > p"), ("<b><i>" * 50_000 + "</b></u>" * 50_000, "u i b i u")])
+def test_pages_take_time_in_proportion(page, selector):
+    import time
+
+    began = time.perf_counter()
+    udfs.html_text(page, selector)
+    assert time.perf_counter() - began < 15
+
+
 @pytest.mark.parametrize("selector", ["p:first-child", "a ~ b", "", "p,"])
 def test_unknown_selectors_are_refused(selector):
     with pytest.raises(ValueError, match="selector"):
@@ -289,13 +316,27 @@ def test_a_run_that_dies_leaves_the_one_before(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="boom"):
         files.commit(spark, {"a": spark.range(2), "b": spark.range(1).select(F.raise_error(F.lit("boom")).alias("x"))}, root, "r2")
     assert files.current(spark, root) == home
-    # dies after its tables, between the claim of a number and the publication
+    # dies after its tables, between the claim of a number and the publication: the next run takes another number
     files.keep(spark, spark.range(3), root, "r3", "a")
-    (tmp_path / "claims").mkdir(exist_ok=True)
     (tmp_path / "claims" / f"{2:012d}").touch()
     assert files.current(spark, root) == home and spark.read.parquet(f"{home}/a").count() == 1
+    files.commit(spark, {"a": spark.range(4)}, root, "r4")
+    assert spark.read.parquet(f"{files.current(spark, root)}/a").count() == 4 and sorted(files.published(spark, root)) == [(1, "r1"), (3, "r4")]
+
+
+def test_a_run_does_not_undo_one_that_was_published_meanwhile(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    files.publish(spark, root, "r1")
+    with pytest.raises(OSError, match="published meanwhile"):
+        files.publish(spark, root, "r2", base=0)
+    # another run claims a later number before this one is published
+    claimed = files._claimed
+    monkeypatch.setattr(files, "_claimed", lambda *a: [*claimed(*a), *([9] if (tmp_path / "claims" / f"{2:012d}").exists() else [])])
     with pytest.raises(OSError, match="published meanwhile"):
-        files.publish(spark, root, "r4")
+        files.publish(spark, root, "r2", base=1)
+    assert sorted(files.published(spark, root)) == [(1, "r1")]
+    with pytest.raises(ValueError, match="folder"):
+        files.publish(spark, root, "a/b")
 
 
 def test_old_days_of_the_log_are_dropped(spark, tmp_path):
