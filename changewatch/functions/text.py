@@ -191,3 +191,8 @@ def url_component(text: Column) -> Column:
 def recode(value: Column, names: Mapping[str, str], default: Column | None = None) -> Column:
     out = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[value]
     return out if default is None else F.coalesce(out, default)
+
+
+def in_locale(text: Column, collation: str = "UNICODE") -> Column:
+    """For sorting: the text in the order that readers of a locale expect, letters before their accents and case, small before capital."""
+    return F.collate(text, collation)

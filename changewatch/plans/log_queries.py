@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changewatch.functions import udfs
+from changewatch.functions import keyed, udfs
+from changewatch.functions import text as X
 from changewatch.operators import diffs as D
 from changewatch.operators import faults as E
 from changewatch.operators import folds, noise, ordered, watch
 from changewatch.operators import state as S
 from changewatch.operators import versions as V
 from changewatch.plans import scenario as C
-from changewatch.plans.queries import iso, now, query
+from changewatch.plans.queries import _places, iso, now, query
 
 # --- a log of versions ---------------------------------------------------------
 
@@ -166,3 +167,21 @@ def noise_by_table(spark, d) -> DataFrame:
     everywhere = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("host"), F.lit(0).alias("no"), F.lit("^Printed [0-9]+ times$").alias("pattern"))
     t = docs.select("doc_id", F.concat(F.lit("h"), F.col("doc_id") % 10000, F.lit(".org")).alias("host"), F.concat(F.lit("Notice "), F.col("doc_id") % 10000, F.lit(" of today\n"), F.coalesce("text", F.lit("")), F.lit("\nNotice "), (F.col("doc_id") + 1) % 10000, F.lit(" of today\nPrinted 12 times")).alias("raw"))
     return noise.removed(t, hosts.unionByName(everywhere), "host", "raw").select("doc_id", F.col("raw").alias("text"))
+
+
+# --- keyed JSON, locale order ------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT user_id AS doc, event_id, '{"e' || event_id || '": ' || coalesce(props, 'null') || ', "type": {"name": "' || event_type || '", "k": ' || event_id % 5 || '}}' AS j FROM events)
+SELECT event_id, o.key AS outer_key, i.key AS inner_key, i.value::VARCHAR AS value FROM t, json_each(t.j) o, json_each(o.value) i WHERE o.type = 'OBJECT'""")
+def keyed_state(spark, d) -> DataFrame:
+    """The records of objects that are keyed by name, whose fields differ."""
+    e = C.table(spark, d, "events")
+    j = F.concat(F.lit('{"e'), "event_id", F.lit('": '), F.coalesce("props", F.lit("null")), F.lit(', "type": {"name": "'), "event_type", F.lit('", "k": '), F.col("event_id") % 5, F.lit("}}"))
+    return keyed.nested(e.select("event_id", j.alias("j")), "j", ["outer_key", "inner_key"]).select("event_id", "outer_key", "inner_key", F.to_json("value").alias("value"))
+
+
+@query(f"WITH {C.SETS} SELECT id, row_number() OVER (ORDER BY set_name, id) AS place FROM sets")
+def sidebar_sort_locale(spark, d) -> DataFrame:
+    """Every set's place by name in the order of a locale, in which these plain names stand as by their code points."""
+    return _places(C.monitored_sets(spark, d).select("id", "set_name"), X.in_locale(F.col("set_name")).asc(), F.col("id").asc()).select("id", "place")

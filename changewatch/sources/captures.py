@@ -13,7 +13,7 @@ from __future__ import annotations
 import importlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +52,18 @@ def request_headers(watched: dict, agent: str) -> dict[str, str]:
     return out
 
 
+# fixed values: the settings that make up a proxy's address
+PROXY_SETTINGS = ("PROXY_HOST", "PROXY_PORT", "PROXY_USER", "PROXY_PASS")
+
+
+def proxy_address(settings: Mapping[str, str | None]) -> str | None:
+    """A proxy's address from its four settings, for the column ``proxy``; None unless all four are there, so that half a setting is no proxy. User and password are percent-encoded."""
+    from urllib.parse import quote
+
+    host, port, user, password = (settings.get(k) for k in PROXY_SETTINGS)
+    return f"http://{quote(user, safe='')}:{quote(password, safe='')}@{host}:{port}" if host and port and user and password else None
+
+
 def is_safe(url: str) -> bool:
     from urllib.parse import urlsplit
 
