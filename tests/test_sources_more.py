@@ -113,3 +113,22 @@ def test_a_proxy_takes_all_four_settings():
     assert captures.proxy_address(whole) == "http://u%40x:p%3A%2F@h:8080"
     for k in whole:
         assert captures.proxy_address(whole | {k: ""}) is None and captures.proxy_address({n: v for n, v in whole.items() if n != k}) is None
+
+
+def test_documents_that_fall_silent_are_reported_once(spark, tmp_path):
+    from changewatch.streaming import silence
+
+    spark.conf.set(*silence.STORE)
+    schema = "set_name string, url string, captured_at timestamp, status string"
+    for i, found in enumerate(([("s", "a", "2026-08-01", "ok"), ("s", "b", "2026-08-01", "ok")], [("s", "a", "2026-08-03", "failed"), ("s", "a", "2026-08-04", "failed")], [("s", "c", "2026-08-07", "ok")], [("s", "b", "2026-08-08", "ok")], [("s", "c", "2026-08-20", "ok")])):
+        spark.createDataFrame(found, "set_name string, url string, captured_at string, status string").withColumn("captured_at", F.to_timestamp("captured_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/n={i}")
+    stream = spark.readStream.schema(schema + ", n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("n")
+    query = silence.silent(stream).writeStream.format("memory").queryName("quiet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination(120)
+        got = sorted((r["url"], str(r["last_captured"])[:10], r["failures"], str(r["silent_since"])[:10]) for r in spark.table("quiet").collect())
+    finally:
+        query.stop()
+        spark.conf.unset(silence.STORE[0])
+    # a was captured again before it was due, b after it was; each is told once for each silence
+    assert got == [("a", "2026-08-04", 2, "2026-08-07"), ("b", "2026-08-01", 0, "2026-08-04"), ("b", "2026-08-08", 0, "2026-08-11"), ("c", "2026-08-07", 0, "2026-08-10")]
