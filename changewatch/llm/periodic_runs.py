@@ -146,6 +146,11 @@ def runs_of(words: list[np.ndarray], least: int) -> np.ndarray:
             t, q, p, right, left, more, back = (x[far] for x in (t, q, p, right, left, more, going))
             if extend is None:
                 extend = _Texts(s, starts, lengths, np.unique(t) if one else np.arange(len(words)))
+            # one that has a whole period to its left is not its run's first: most in texts of one long run
+            at = np.flatnonzero(back & (p - q >= starts[t]))
+            inner = np.zeros(len(p), dtype=bool)
+            inner[at] = extend(t[at], p[at] - q[at], q[at]) >= q[at]
+            t, q, p, right, left, more, back = (x[~inner] for x in (t, q, p, right, left, more, back))
             right[more] = extend(t[more], p[more], q[more])
             # to the left: as far as the extension to the right from there still reaches the anchor
             at = np.flatnonzero(back)
