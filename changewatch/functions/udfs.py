@@ -55,7 +55,9 @@ def normalise(text: pd.Series, noise: pd.Series) -> pd.Series:
     return pd.Series([normalise_text(t, None if n is None else list(n)) for t, n in zip(text, noise, strict=True)], dtype=object)
 
 
-DIFF = T.StructType([T.StructField("text", T.StringType()), T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType()), T.StructField("error", T.StringType())])
+DIFF = T.StructType([T.StructField("text", T.StringType()), T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType())])
+#: A diff, or what failed.
+DIFF_OR_ERROR = T.StructType([*DIFF.fields, T.StructField("error", T.StringType())])
 CUT_NOTE = "\n… diff truncated …"
 
 
@@ -81,17 +83,17 @@ def diff_texts(old: str | None, new: str | None, label: str, context: int, limit
 
 
 def unified_diff(context: int = 3, limit: int = 40000):
-    """A pandas function over (old, new, label) that returns ``DIFF``; what fails on a row is its error, and all else null."""
+    """A pandas function over (old, new, label) that returns ``DIFF_OR_ERROR``; what fails on a row is its error, and all else null."""
 
     def one(old: str | None, new: str | None, label: str | None) -> tuple:
         try:
             return *diff_texts(old, new, label or "", context, limit), None
         except Exception as e:  # noqa: BLE001  the row's value, whatever it is
-            return (None,) * 6 + (said(e),)
+            return (None,) * len(DIFF) + (said(e),)
 
-    @F.pandas_udf(DIFF)
+    @F.pandas_udf(DIFF_OR_ERROR)
     def diff(old: pd.Series, new: pd.Series, label: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(map(one, old, new, label)), columns=DIFF.names).astype(dict.fromkeys(("added", "removed", "lines_added", "lines_removed"), "Int64"))
+        return pd.DataFrame(list(map(one, old, new, label)), columns=DIFF_OR_ERROR.names).astype(dict.fromkeys(("added", "removed", "lines_added", "lines_removed"), "Int64"))
 
     return diff
 
