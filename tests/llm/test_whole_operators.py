@@ -205,3 +205,29 @@ def test_a_cue_within_a_token_without_digits_finds_nothing_and_later_ones_do():
     assert pii.spans("token=secret=abcdefghijklmnop") == []
     text = "token=secret=abcdefghijklmnop token=abcdefghijkl0123 x-ghp_abcdefgh ghp_abcdefghijklmnop0123"
     assert [text[a:b] for k, a, b in pii.spans(text) if k == "secret"] == ["abcdefghijkl0123", "ghp_abcdefghijklmnop0123"]
+
+
+def changed(spark, urls, rules, **off):
+    """The addresses without a rule whose verdict differs if a part of the method is off, with both verdicts."""
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = lambda params: {urls[r["page_id"]]: r["verdict"] for r in url_filters.judge(t, rules, params).filter("rule is null").collect()}
+    whole, less = verdicts(url_filters.Params()), verdicts(url_filters.Params(**off))
+    return {u: (whole[u], less[u]) for u in whole if whole[u] != less[u]}
+
+
+def test_wildcards_decide_where_names_vary(spark):
+    """Forty users with advertisements and news, rules for half of them: without wildcards each user is a branch of its own, of which nothing is known."""
+    users = [c + d for c in "abcdefgh" for d in "klmno"]
+    urls = [f"http://w.org/u/{u}/{kind}/{p}" for u in users for kind in ("ads", "news") for p in "xyz"]
+    rules = [(verdict, f"w.org/u/{u}/{kind}/") for u in users[::2] for kind, verdict in (("ads", "block"), ("news", "allow"))]
+    got = changed(spark, urls, rules, many=10**9)
+    assert got == {u: ("block", "allow") for u in urls if "/ads/" in u and u.split("/")[4] in users[1::2]}
+
+
+def test_merged_branches_decide_where_labels_are_few(spark):
+    """Sixteen like sections with one label each, twelve of them blocked: alone, a section with the odd label is allowed by it; four differ no more than by chance."""
+    sections = "abcdefghijklmnop"
+    urls = [f"http://m.org/sec/{s}/{i}" for s in sections for i in (1, 2, 3)] + [f"http://m.org/free/{s}/{i}" for s in sections for i in (1, 2, 3)]
+    rules = [("block" if i % 4 else "allow", f"m.org/sec/{s}/1") for i, s in enumerate(sections)] + [("allow", f"m.org/free/{s}/1") for s in sections]
+    got = changed(spark, urls, rules, alike=-1.0)
+    assert got == {f"http://m.org/sec/{s}/{i}": ("block", "allow") for s in sections[::4] for i in (2, 3)}
