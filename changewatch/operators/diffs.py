@@ -83,23 +83,28 @@ def line_differences(pairs: DataFrame, keys: list[str], old: str, new: str) -> D
     return net.select(*keys, "line", F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"), F.abs("net").alias("n"))
 
 
-def _shown(diffs: DataFrame) -> DataFrame:
-    """Diffs that have changes, with ``section``: a heading and the diff."""
+def _shown(diffs: DataFrame, by: str) -> DataFrame:
+    """(by, url, section) of diffs that have changes: a heading and the diff."""
     section = F.concat(F.lit("===== "), F.col("label"), F.lit(" — +"), F.col("diff.added"), F.lit(" / -"), F.col("diff.removed"), F.lit(" =====\n"), F.col("diff.text"))
-    return diffs.filter((F.col("diff.added") > 0) | (F.col("diff.removed") > 0)).withColumn("section", section)
+    return diffs.filter((F.col("diff.added") > 0) | (F.col("diff.removed") > 0)).select(by, "url", section.alias("section"))
 
 
-def combine(diffs: DataFrame, by: str = "set_name", limit: int | None = None) -> DataFrame:
+Hold = Callable[[DataFrame], DataFrame]
+
+
+def combine(diffs: DataFrame, by: str = "set_name", limit: int | None = None, hold: Hold = DataFrame.persist) -> DataFrame:
     """(by, combined): a section for each document with changes, in order of its address, as one text, which must fit in a row.
 
-    ``limit``: so many bytes at most, as a model's prompt has room for; a note says where it was cut.
+    ``limit``: so many bytes at most, as a model's prompt has room for; a note
+    says where it was cut. Finding the ranges of an order reads the diffs once
+    more, so ``hold`` keeps their sections.
     """
-    return ordered.joined(_shown(diffs), [by], ["url"], "section", sep="\n\n", name="combined", limit=limit, note=udfs.CUT_NOTE)
+    return ordered.joined(hold(_shown(diffs, by)), [by], ["url"], "section", sep="\n\n", name="combined", limit=limit, note=udfs.CUT_NOTE)
 
 
-def combine_parts(diffs: DataFrame, by: str = "set_name", hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def combine_parts(diffs: DataFrame, by: str = "set_name", hold: Hold = DataFrame.persist) -> DataFrame:
     """(by, part, text): the combined diff of a set of any size, a numbered part for each document with changes; the parts join to the whole."""
-    return ordered.parts(_shown(diffs), [by], ["url"], "section", sep="\n\n", hold=hold).select(by, "part", F.col("section").alias("text"))
+    return ordered.parts(hold(_shown(diffs, by)), [by], ["url"], "section", sep="\n\n", hold=hold).select(by, "part", F.col("section").alias("text"))
 
 
 def parse(diffs: DataFrame, keys: list[str], text: str) -> DataFrame:

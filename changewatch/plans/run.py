@@ -136,7 +136,7 @@ def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, no
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
         F.sum("diff.lines_added").alias("added"), F.sum("diff.lines_removed").alias("removed"),
     )
-    asked = per.join(D.combine(moved, limit=PROMPT_BYTES), "set_name", "left").withColumn("combined", F.coalesce("combined", F.lit("")))
+    asked = per.join(D.combine(moved, limit=PROMPT_BYTES, hold=_kept), "set_name", "left").withColumn("combined", F.coalesce("combined", F.lit("")))
     asked = asked.withColumn("prompt", A.prompt(F.col("set_name"), F.col("combined"), F.col("labels"), F.col("tags"))).drop("combined")
     if dry_run:
         nothing = F.lit(0).cast("long")
@@ -225,6 +225,11 @@ def run(spark: SparkSession, sets: DataFrame, captures: DataFrame, root: str, no
     return Run(documents=docs, baselines=state("baselines", fresh).select(*schemas.BASELINE.names), sets=state("sets", out_sets), reviews=reviews, quarantine=quarantine, artefacts=state("artefacts", made, True), archive=archive, history=history, path=path, **own)
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is written already need no keeping."""
+    return rows
+
+
 def _after(before: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A table with the rows that a run changed, before they are written."""
     return before.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows.select(*before.columns))
@@ -253,7 +258,8 @@ def _artefacts(decided: DataFrame, reviews: DataFrame, moved: DataFrame, baselin
     new_text = act.filter(found | first | (F.col("decision") == "rebaselined"))
     sections = S.aggregate_parts(_texts(baselines, fresh, new_text), "set_name", "url", "url", "text", hold=lambda df: keep("sections", df))
     snapshots = sections.join(new_text.select("set_name", "file_id"), "set_name").select("set_name", "file_id", F.lit("snapshot").alias("kind"), "part", F.lit(now).alias("at"), "text")
-    changes = D.combine_parts(moved.join(act.filter(found), "set_name", "left_semi"), hold=lambda df: keep("changes", df))
+    # diffs are written already; what is numbered is written once
+    changes = D.combine_parts(moved.join(act.filter(found), "set_name", "left_semi"), hold=lambda df: keep("changes", df) if "_range" in df.columns else df)
     diffs = changes.join(act.select("set_name", "file_id"), "set_name").select("set_name", "file_id", F.lit("diff").alias("kind"), "part", F.lit(now).alias("at"), "text")
     texts = snapshots.unionByName(diffs)
     made = whole(act.filter(first).withColumn("text", begun), "analysis").unionByName(reviewed.join(act.filter(badged), "set_name", "left_semi")).unionByName(texts)
