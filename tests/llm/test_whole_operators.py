@@ -231,3 +231,17 @@ def test_merged_branches_decide_where_labels_are_few(spark):
     rules = [("block" if i % 4 else "allow", f"m.org/sec/{s}/1") for i, s in enumerate(sections)] + [("allow", f"m.org/free/{s}/1") for s in sections]
     got = changed(spark, urls, rules, alike=-1.0)
     assert got == {f"http://m.org/sec/{s}/{i}": ("block", "allow") for s in sections[::4] for i in (2, 3)}
+
+
+def test_weights_keep_documents_with_a_common_header_apart(spark):
+    """Forty letters that share a header of 500 words, with 57 words of their own: by plain shares of shingles, just above 0.8, they are one class; weighted, the header counts for less than what is rare."""
+    header = " ".join(f"h{i}" for i in range(500))
+    rows = [(k, header + " " + " ".join(f"b{k}x{i}" for i in range(57))) for k in range(40)]
+    copies = [(100 + k, " ".join(f"c{j}" for j in range(300) if j % 150 != k)) for k in range(3)]  # near copies stay together
+    t = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    classes = lambda params: {r["doc_id"]: r["class_id"] for r in near_dedup.classes(t, params).collect()}
+    plain, weighted = classes(near_dedup.Params(damping=0.0)), classes(near_dedup.Params())
+    shared, own = 496, 57
+    assert shared / (shared + 2 * own) > 0.8
+    assert len({plain[k] for k in range(40)}) == 1 and len({weighted[k] for k in range(40)}) == 40
+    assert len({weighted[100 + k] for k in range(3)}) == 1
