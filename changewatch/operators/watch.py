@@ -1,6 +1,6 @@
 """Many watched terms at once: terms meet texts by a join on trigrams, not as a plan with a branch for each.
 
-Every term is filed under the one of its three-letter pieces that the fewest
+Every term is filed under the one of its five-letter pieces that the fewest
 other terms have, or under itself if it is shorter. A text comes to its
 different pieces; an equi-join finds the terms filed under any of them, and only
 those are searched in it. The plan is the same for five terms and for fifty
@@ -17,28 +17,21 @@ from pyspark.sql import functions as F
 from changewatch.functions import text as X
 
 #: Letters of a piece; terms that are shorter are filed whole, under pieces of their own length.
-PIECE = 3
+PIECE = 5
 #: An index up to this many bytes is sent to all tasks; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
-def _pieces(letters: str, lengths: Sequence[int] = (PIECE,)) -> Column:
-    """The different pieces of a column that holds an array of letters."""
-    c = F.col(letters)
-    n = F.size(c)
-    def of(k: int) -> Column:
-        shifted = [F.slice(c, F.lit(i + 1), F.greatest(n - (k - 1), F.lit(0))).alias(f"p{i}") for i in range(k)]
-        return F.transform(F.arrays_zip(*shifted), lambda z: F.concat(*(z[f"p{i}"] for i in range(k))))
-
-    return F.array_distinct(F.concat(*map(of, lengths)))
+def _pieces(folded: str, lengths: Sequence[int] = (PIECE,)) -> Column:
+    """The different pieces of a text. A search that looks ahead finds those that overlap, too, in one pass for each length."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in lengths)))
 
 
 def index(terms: DataFrame, term: str = "term") -> DataFrame:
     """(piece, folded, term): each different term under its rarest piece. Null and empty terms are left out."""
     t = terms.select(F.col(term).alias("term")).filter("term <> ''").distinct().withColumn("folded", X.fold(F.col("term")))
-    t = t.withColumn("letters", F.split("folded", ""))
-    short = F.size("letters") < PIECE
-    each = t.filter(~short).select("term", "folded", F.explode(_pieces("letters")).alias("piece"))
+    short = F.length("folded") < PIECE
+    each = t.filter(~short).select("term", "folded", F.explode(_pieces("folded")).alias("piece"))
     common = each.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     filed = each.join(common, "piece").groupBy("term", "folded").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     return filed.unionByName(t.filter(short).select("term", "folded", F.col("folded").alias("piece"))).select("piece", "folded", "term")
@@ -58,9 +51,9 @@ def hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text: str) ->
     pieces, and then searched for that term alone.
     """
     size = terms.agg(F.sum(F.octet_length("piece") + F.octet_length("folded") + F.octet_length("term") + 64).alias("b")).first()["b"] or 0
-    lengths = sorted({PIECE} | {r["n"] for r in terms.select(F.length("piece").alias("n")).distinct().collect()})  # of one to three
+    lengths = sorted({PIECE} | {r["n"] for r in terms.select(F.length("piece").alias("n")).distinct().collect()})  # of one to five
     t = texts.filter(F.col(text).isNotNull()).select(*keys, X.fold(F.col(text)).alias("_folded"))
-    pieces = t.withColumn("_letters", F.split("_folded", "")).select(*keys, F.explode(_pieces("_letters", lengths)).alias("piece"))
+    pieces = t.select(*keys, F.explode(_pieces("_folded", lengths)).alias("piece"))
     near = pieces.join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "piece").select(*keys, "folded", "term")
     return near.join(t, list(keys)).filter(F.contains("_folded", "folded")).select(*keys, "term")
 
