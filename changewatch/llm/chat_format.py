@@ -7,13 +7,14 @@ of its own: all turns before it as context, and only its reply trainable. If
 turns follow the last reply, one more example without a target holds them.
 
 Examples of a conversation are prefixes of one rendered text, so they are kept
-as ranges of it with their last turn (``examples``) and turned into strings
-only when asked for (``example_texts``): n replies cost n rows, not n squared
-texts.
+as ranges of it with their last turn (``examples``), n rows for n replies, or
+expanded to strings, each a whole prefix and its target (``example_texts``).
+``read_back`` reads the strings, whose size grows with the square of a
+conversation's replies.
 
 Rows of a conversation are brought together and sorted, then streamed. A task
-holds one turn at a time and running digests, whatever the conversation's
-length.
+holds one turn at a time while it formats, and one example at a time while it
+expands or reads.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def example_texts(formatted: DataFrame) -> DataFrame:
                     prefix = []
                 prefix.append(rendered)
                 if ends:
-                    yield pa.RecordBatch.from_arrays([pa.array([c], batch.schema.field("conv_id").type), pa.array([k], pa.int64()), pa.array(["".join(prefix)], pa.string()), pa.array([a], pa.int64()), pa.array([b], pa.int64())], names=schema.names)
+                    prefix = ["".join(prefix)]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], batch.schema.field("conv_id").type), pa.array([k], pa.int64()), pa.array(prefix, pa.string()), pa.array([a], pa.int64()), pa.array([b], pa.int64())], names=schema.names)
 
     return formatted.mapInArrow(run, schema)
 
@@ -168,22 +170,22 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 
 
 def read_examples(expanded: DataFrame) -> DataFrame:
-    """(conv_id, loss_chars, loss_sha256, formatted_chars) from ``examples``: of the unescaped text under their loss masks, and of the lengths of all."""
+    """(conv_id, loss_chars, loss_sha256, formatted_chars) from ``example_texts``: of the unescaped text under their loss masks, and of the lengths of all."""
 
     def start():
         return [0, hashlib.sha256(), 0]
 
-    def add(state, length, a, b, last_start, last_turn):
-        state[2] += length
+    def add(state, text, a, b):
+        state[2] += len(text)
         if a is not None:
-            trained = unescape(last_turn[a - last_start : b - last_start])
+            trained = unescape(text[a:b])
             state[0] += len(trained)
             state[1].update(trained.encode("utf-8", "surrogatepass"))
 
-    return _digests(expanded, ("length", "loss_start", "loss_end", "last_start", "last_turn"), "example_no", start, add, lambda s: (s[0], s[1].hexdigest(), s[2]), "loss_chars:long loss_sha256:string formatted_chars:long")
+    return _digests(expanded, ("text", "loss_start", "loss_end"), "example_no", start, add, lambda s: (s[0], s[1].hexdigest(), s[2]), "loss_chars:long loss_sha256:string formatted_chars:long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, turns_sha256 from what was rendered; loss_chars, loss_sha256, formatted_chars from its examples."""
-    turns, expanded = read_turns(formatted), read_examples(examples(formatted)).withColumnRenamed("conv_id", "_conv")
+    """One row for each conversation: conv_id, n_turns, turns_sha256 from what was rendered; loss_chars, loss_sha256, formatted_chars from the texts of its examples, each a whole prefix and its target."""
+    turns, expanded = read_turns(formatted), read_examples(example_texts(formatted)).withColumnRenamed("conv_id", "_conv")
     return turns.join(expanded, turns["conv_id"].eqNullSafe(expanded["_conv"])).drop("_conv")
