@@ -50,3 +50,12 @@ def test_lines_of_pairs_are_not_moved(spark):
     out = diffs.line_differences(pairs, ["doc_id"], "old", "new")
     assert _exchanges_with_text(out) == 1
     assert sorted(map(tuple, out.collect())) == [(1, "a", "removed", 1), (1, "b", "removed", 1), (1, "c", "added", 1)]
+
+
+def test_a_review_makes_its_diffs_once(spark):
+    from changewatch.plans import registry
+
+    spark.catalog.clearCache()
+    leaves = registry.queries()["analyse_sets"](spark, SF)._jdf.queryExecution().withCachedData().collectLeaves()
+    # nothing but kept diffs is read, by labels and tags and by sections alike
+    assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.length())} == {"InMemoryRelation"}
